@@ -2,16 +2,39 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keidai.llm import decontaminate, line_dedup, quality, secrets
+from keidai.llm import decontaminate, lang_id, line_dedup, lm_score, quality, secrets, sentencepieces, token_files
 from keidai.llm.common import table
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is; KEIDAI_TOKENIZERS names another folder."""
+    folder = os.environ.get("KEIDAI_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = vocabulary("piece_bpe_32k.model")
+    encoded = sentencepieces.encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return sentencepieces.decode_pieces(encoded, model).select("doc_id", "n_tokens", "ids", "decoded", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.predict_fold(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -20,12 +43,23 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(table(spark, sf_dir, "documents"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op6_quality_rules, op7_secret_scan, op9_decontaminate)}
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_fold(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_sentencepiece, op2_line_dedup, op5_language_id, op6_quality_rules, op7_secret_scan, op8_token_files, op9_decontaminate, op10_lm_score)
+}
 
 ORACLE_SQL = {
     "op2_line_dedup": line_dedup.SQL,
