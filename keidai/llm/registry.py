@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keidai.llm import decontaminate, jaccard_join, lang_id, line_dedup, lm_score, quality, secrets, sentencepieces, token_files
+from keidai.llm import decontaminate, html_extract, jaccard_join, lang_id, line_dedup, lm_score, quality, secrets, sentencepieces, token_files
 from keidai.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -62,7 +66,7 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_line_dedup, op4_ngram_jaccard_join, op5_language_id, op6_quality_rules, op7_secret_scan, op8_token_files, op9_decontaminate, op10_lm_score)
+    for f in (op1_sentencepiece, op2_line_dedup, op3_html_extract, op4_ngram_jaccard_join, op5_language_id, op6_quality_rules, op7_secret_scan, op8_token_files, op9_decontaminate, op10_lm_score)
 }
 
 ORACLE_SQL = {
