@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from keidai.plans import fixture_queries, table_queries
+
+QUERIES: dict = {**table_queries.QUERIES, **fixture_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**table_queries.SQL, **fixture_queries.SQL}

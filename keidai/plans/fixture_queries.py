@@ -1,0 +1,3 @@
+"""x"""
+QUERIES: dict = {}
+SQL: dict = {}
