@@ -90,7 +90,7 @@ def validate(t: dict[str, DataFrame]) -> DataFrame:
 
     def shared(key: Column) -> DataFrame:
         keyed = names.select("ord", "pos", "id", "alias", key.alias("key"))
-        owner = keyed.groupBy(c("key").alias("o_key")).agg(F.min_by("id", F.struct("ord", "pos")).alias("owner"))
+        owner = keyed.groupBy(c("key").alias("o_key")).agg(F.min_by(F.struct(c("id").alias("id"), "alias"), F.struct("ord", "pos")).alias("o")).select("o_key", c("o.id").alias("owner"), c("o.alias").alias("owner_alias"))
         return keyed.join(owner, c("key") == c("o_key")).where(c("id") != c("owner"))
 
     used = t["mappings"].select("ord", "cluster", F.explode(F.array(F.struct(F.lit("primary").alias("kind"), c("primary").alias("ids")), F.struct(F.lit("secondary").alias("kind"), c("secondary").alias("ids")))).alias("x"))
@@ -104,7 +104,7 @@ def validate(t: dict[str, DataFrame]) -> DataFrame:
         issue(missing, "V3", "error", "benefits", q("大分類が欠けています: ", F.array_join(F.transform("m", lambda x: x["id"]), ", "))),
         issue(repeated(t["clusters"], "id", "ord"), "V4", "error", "deity_clusters", q('クラスタID "', c("id"), '" が重複しています')),
         issue(shared(c("alias")), "V5", "warning", "deity_clusters", q('別名 "', c("alias"), '" が ', c("owner"), " と ", c("id"), " の両方にあります")),
-        issue(shared(deity_key(c("alias"))).where("alias <> key"), "V5b", "warning", "deity_clusters", q('別名 "', c("alias"), '" の正規形が ', c("owner"), " と重なります")),
+        issue(shared(deity_key(c("alias"))).where("alias <> owner_alias"), "V5b", "warning", "deity_clusters", q('別名 "', c("alias"), '" の正規形が ', c("owner"), " と重なります")),
         issue(absent(t["mappings"], "cluster", t["clusters"], "id"), "V6", "error", "cluster_benefits", q('クラスタ "', c("cluster"), '" が存在しません')),
         issue(repeated(t["mappings"], "cluster", "ord"), "V7", "error", "cluster_benefits", q('クラスタ "', c("cluster"), '" の割り当てが重複しています')),
         issue(absent(used, "benefit", minors, "id"), "V8", "error", "cluster_benefits", q(c("cluster"), ".", c("kind"), ' の御利益ID "', c("benefit"), '" が存在しません')),
