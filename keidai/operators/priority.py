@@ -29,7 +29,7 @@ def newyear_ratio(views: DataFrame, key: str, year: int, month: int) -> DataFram
     medians = exclude_current_month(views, year, month).groupBy(key).agg(F.median(month_in(BASE_MONTHS)).alias("pv_base_median"), F.median(month_in((1,))).alias("pv_january"))
     raw = F.col("pv_january") / F.nullif(F.col("pv_base_median"), F.lit(0.0))
     return medians.select(
-        key, "pv_base_median", "pv_january", round_half_up(F.least(raw, F.lit(RATIO_CLIP)), 2).alias("new_year_ratio"), F.coalesce(raw > RATIO_CLIP, F.lit(False)).alias("clipped")
+        key, "pv_base_median", "pv_january", round_half_up(F.when(raw > RATIO_CLIP, RATIO_CLIP).otherwise(raw), 2).alias("new_year_ratio"), F.coalesce(raw > RATIO_CLIP, F.lit(False)).alias("clipped")
     )
 
 
@@ -41,8 +41,8 @@ def ranges(inputs: DataFrame) -> DataFrame:
 
 
 def normalize(value: Column, low: Column, high: Column) -> Column:
-    """0 to 1 between the ends; where they meet, 1 from there on."""
-    return F.when(high <= low, F.when(value >= high, 1.0).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (high - low))))
+    """0 to 1 between the ends; where they meet, 1 from there on. Null stays null."""
+    return F.when(value.isNull(), None).when(high <= low, F.when(value >= high, 1.0).otherwise(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (high - low))))
 
 
 def score(inputs: DataFrame) -> DataFrame:

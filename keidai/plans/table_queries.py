@@ -38,7 +38,7 @@ RATIO_SQL = f"""
 v AS (SELECT l_suppkey AS site_id, year(l_shipdate) AS year, month(l_shipdate) AS month, count(*) AS views FROM lineitem GROUP BY 1, 2, 3),
 m AS (SELECT site_id, median(CASE WHEN month IN (3, 4, 6, 7) THEN views END) AS pv_base_median, median(CASE WHEN month = 1 THEN views END) AS pv_january
       FROM v WHERE NOT (year = {NOW[0]} AND month = {NOW[1]}) GROUP BY site_id),
-r AS (SELECT site_id, pv_base_median, pv_january, floor(least(pv_january / nullif(pv_base_median, 0), 3.0) * 100 + 0.5) / 100 AS new_year_ratio,
+r AS (SELECT site_id, pv_base_median, pv_january, floor(CASE WHEN pv_january / nullif(pv_base_median, 0) > 3.0 THEN 3.0 ELSE pv_january / nullif(pv_base_median, 0) END * 100 + 0.5) / 100 AS new_year_ratio,
       coalesce(pv_january / nullif(pv_base_median, 0) > 3.0, false) AS clipped FROM m)
 """
 
@@ -83,7 +83,7 @@ def _normalized(sql: str) -> str:
                     parts.append(sql[begin:i])
                     break
         x, low, high = (p.strip() for p in parts)
-        sql = sql[:start] + f"CASE WHEN {high} <= {low} THEN CASE WHEN {x} >= {high} THEN 1.0 WHEN {x} < {high} THEN 0.0 END ELSE greatest(0.0, least(1.0, ({x} - {low}) / ({high} - {low}))) END" + sql[i + 1 :]
+        sql = sql[:start] + f"CASE WHEN {x} IS NULL THEN NULL WHEN {high} <= {low} THEN CASE WHEN {x} >= {high} THEN 1.0 WHEN {x} < {high} THEN 0.0 END ELSE greatest(0.0, least(1.0, ({x} - {low}) / ({high} - {low}))) END" + sql[i + 1 :]
     return sql
 
 
