@@ -37,8 +37,7 @@ def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text that decoding gives."""
-    model = vocabulary("piece_bpe_32k.model")
-    return sentencepieces.decode_pieces(sentencepieces.encode_pieces(docs, model), model)
+    return sentencepieces.encode_pieces(docs, vocabulary("piece_bpe_32k.model"), decoded="decoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -22,9 +22,8 @@ def vocabulary(name: str) -> str:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = vocabulary("piece_bpe_32k.model")
-    encoded = sentencepieces.encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    return sentencepieces.decode_pieces(encoded, model).select("doc_id", "n_tokens", "ids", "decoded", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    coded = sentencepieces.encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"), decoded="decoded")
+    return coded.select("doc_id", "n_tokens", "ids", "decoded", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ share the forward states of their common prefixes."""
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -157,7 +158,7 @@ class Codec:
                 out += [self.bytes[b] for b in p.encode("utf-8", "replace")] if k % 2 else ids[p] if p else []
             ids[w] = out
         for w in words:
-            self.known[w] = np.array(ids[w], "<i4").tobytes()
+            self.known[w] = array("i", ids[w]).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """32-bit ids of each text, as bytes; none for null or empty texts."""
@@ -174,14 +175,16 @@ def codec(model: str, kind: str) -> Codec:
     return _MEMO[model, kind]
 
 
-def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", kind: str = "bpe") -> DataFrame:
-    """Adds ids (array<int>) and n_tokens (long) of every whole text.
+def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", kind: str = "bpe", decoded: str | None = None) -> DataFrame:
+    """Adds ids (array<int>) and n_tokens (long) of every whole text, and with a name in `decoded` the text that the ids give.
 
-    Null texts have null ids and no tokens, empty ones an empty array. Every other column stays; columns named ids or
-    n_tokens are replaced. Rows are encoded each on its own, repeated ones alike.
+    Null texts have null ids and no tokens, empty ones an empty array. Every other column stays; columns named as the new
+    ones are replaced. Rows are encoded each on its own, repeated ones alike. Decoding here, not in a step of its own, spares
+    each task a second Python worker.
     """
     ship(docs.sparkSession)
-    docs = docs.drop(*[c for c in docs.columns if c in ("ids", "n_tokens")])
+    made = ["ids", "n_tokens", *([decoded] if decoded else [])]
+    docs = docs.drop(*[c for c in docs.columns if c in made])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with_pieces = codec(model, kind)
@@ -194,9 +197,13 @@ def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", kind: str
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype("<i4")
                 null = np.fromiter((t is None for t in texts), bool, len(texts))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(null, False)) if null.any() else pa.array(offsets), pa.array(np.frombuffer(b"".join(found), "<i4")))
-                yield pa.RecordBatch.from_arrays([*rows.columns, lists, pa.array(counts)], names=[*rows.schema.names, "ids", "n_tokens"])
+                columns = [*rows.columns, lists, pa.array(counts)]
+                if decoded:
+                    columns.append(pa.array([None if t is None else with_pieces.decode(memoryview(x).cast("i").tolist()) for t, x in zip(texts, found)], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*rows.schema.names, *made])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())])
+    kinds = [T.ArrayType(T.IntegerType()), T.LongType(), T.StringType()]
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(c, k) for c, k in zip(made, kinds)]])
     return docs.mapInArrow(encode, schema)
 
 

@@ -57,6 +57,8 @@ def test_pieces_equal_the_library(make):
         t = texts[r["doc_id"]]
         assert r["ids"] == library.encode(t) and r["n_tokens"] == len(r["ids"])
         assert r["decoded"] == t.replace("▁", " ")
+    at_once = sentencepieces.encode_pieces(make(texts), vocabulary("piece_bpe_32k.model"), decoded="decoded").collect()
+    assert [(r["doc_id"], r["ids"], r["decoded"]) for r in at_once] == [(r["doc_id"], r["ids"], r["decoded"]) for r in rows]
 
 
 def test_null_texts_and_columns_of_pieces(make):
