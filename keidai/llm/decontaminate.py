@@ -12,8 +12,8 @@ K = 8  # words of a fingerprinted k-gram
 WINNOW = SPAN - K + 1  # k-grams of a winnowing window: each SPAN words hold one whole window
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same runs in a text whose A-Z are still capitals.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What is between words in a text whose A-Z are still capitals.
+BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A capital letter other than A-Z, which lower() would change too.
 OTHER_CAPITAL = r"[\p{javaUpperCase}\p{javaTitleCase}&&[^A-Z]]"
 POSITION_BITS = 31
@@ -45,7 +45,7 @@ def winnow(hashes: str, k: int, window: int) -> Column:
         F.array_distinct(
             F.transform(
                 F.array(grams()),
-                lambda g: F.transform(F.sequence(F.lit(1), F.greatest(n - k - window + 2, F.lit(1))), lambda i: F.array_min(F.slice(g, i, window))),
+                lambda g: F.transform(F.sequence(F.lit(0), F.greatest(n - k - window + 1, F.lit(0))), lambda i: F.least(*[F.get(g, i + j) for j in range(window)])),
             )[0]
         ),
     )
@@ -122,31 +122,44 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         .agg(F.collect_list(F.struct((F.col("dc_pos") - F.col("dc_left")).alias("at"), "dc_len", "dc_item", "dc_ctx")).alias("dc_hits")),
         "benchmark-hits",
     )
-    joined = (
-        docs.withColumn("dc_doc_text", F.xxhash64(text_col))
-        .join(small(hits), (F.col(id_col) == F.col("dc_id")) & (F.col("dc_doc_text") == F.col("dc_text")), "left")
-        .withColumn("dc_words", F.when(F.col("dc_hits").isNotNull(), words_of(F.col(text_col))))
-        .withColumn("dc_wh", word_hashes("dc_words"))
+    searched = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("dc_doc"), F.col(text_col).alias("dc_doc_text"))
+    # Written with their hashed words: read as a plain column, these aren't split and hashed again for every word that is compared.
+    candidates = written(
+        searched.join(small(hits), (F.col("dc_doc") == F.col("dc_id")) & (F.xxhash64("dc_doc_text") == F.col("dc_text")))
+        .select("dc_id", "dc_text", "dc_hits", words_of(F.col("dc_doc_text")).alias("dc_words"))
+        .select("dc_id", "dc_text", "dc_hits", word_hashes("dc_words").alias("dc_wh")),
+        "benchmark-candidates",
     )
 
     def found(hit: Column) -> Column:
         """The hit's item and the words of the windows that agree in every word."""
         same = F.transform(hit["dc_ctx"], lambda x, j: F.coalesce(x == F.when(hit["at"] + j >= 0, F.get(F.col("dc_wh"), hit["at"] + j)), F.lit(False)))
-        windows = F.filter(F.sequence(F.lit(0), F.size(hit["dc_ctx"]) - hit["dc_len"]), lambda s: F.forall(F.slice(same, s + 1, hit["dc_len"]), lambda x: x))
+        starts = F.sequence(F.lit(0), F.size(hit["dc_ctx"]) - hit["dc_len"])
+        windows = F.transform(F.array(same), lambda g: F.filter(starts, lambda s: F.forall(F.slice(g, s + 1, hit["dc_len"]), lambda x: x)))[0]
         return F.struct(hit["dc_item"].alias("item"), F.flatten(F.transform(windows, lambda s: F.sequence(hit["at"] + s, hit["at"] + s + hit["dc_len"] - 1))).alias("words"))
 
-    verified = joined.withColumn("dc_found", F.filter(F.transform("dc_hits", found), lambda f: F.size(f["words"]) > 0))
-    counted = verified.select(
-        *docs.columns,
-        F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"),
-        F.coalesce(F.size(F.array_distinct(F.flatten(F.transform("dc_found", lambda f: f["words"])))), F.lit(0)).cast("long").alias("dc_n_hit"),
-        F.coalesce(F.sort_array(F.array_distinct(F.transform("dc_found", lambda f: f["item"]))), F.array().cast("array<string>")).alias("dc_items"),
+    verified = candidates.select("dc_id", "dc_text", F.filter(F.transform("dc_hits", found), lambda f: F.size(f["words"]) > 0).alias("dc_found")).select(
+        "dc_id",
+        "dc_text",
+        F.size(F.array_distinct(F.flatten(F.transform("dc_found", lambda f: f["words"])))).cast("long").alias("dc_n_hit"),
+        F.sort_array(F.array_distinct(F.transform("dc_found", lambda f: f["item"]))).alias("dc_items"),
+    )
+    marked = written(verified.where("dc_n_hit > 0").distinct(), "benchmark-marked")  # repeated rows are one
+    counted = (
+        docs.withColumn("dc_doc_text", F.xxhash64(text_col))
+        .join(small(marked), (F.col(id_col) == F.col("dc_id")) & (F.col("dc_doc_text") == F.col("dc_text")), "left")
+        .select(
+            *docs.columns,
+            F.size(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), BETWEEN, -1), "")).cast("long").alias("n_words"),
+            F.coalesce("dc_n_hit", F.lit(0)).cast("long").alias("n_hit"),
+            F.coalesce("dc_items", F.array().cast("array<string>")).alias("dc_items"),
+        )
     )
-    n_hit = F.greatest(F.col("dc_n_hit"), F.lit(0))
+    n_hit = F.col("n_hit")
     return counted.select(
         *docs.columns,
         "n_words",
-        n_hit.alias("n_hit"),
+        "n_hit",
         F.size("dc_items").cast("long").alias("n_items"),
         F.sha2(F.array_join("dc_items", ","), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
