@@ -17,7 +17,7 @@ from keidai.llm.common import fresh_path, ship, written
 
 END_ID = 2
 #: Words whose ids a worker remembers, at most; then it starts anew.
-MEMO_WORDS = 800_000
+MEMO_WORDS = 400_000
 _MEMO: dict = {}
 
 
@@ -109,7 +109,7 @@ def encoder(vocabulary: str) -> WordEncoder:
     return _MEMO[vocabulary]
 
 
-def blocks(batch: pa.RecordBatch, text_col: str, chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def blocks(batch: pa.RecordBatch, text_col: str, chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch that hold about `chars` bytes of text, or one longer text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
