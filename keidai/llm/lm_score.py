@@ -7,7 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keidai.llm.common import held_out, ship, written
@@ -16,17 +18,17 @@ from keidai.llm.token_files import blocks
 END = b"\n"  # no word holds white space
 #: Most frequent words whose exact counts every worker holds; the counts of all others are joined.
 FREQUENT = 200_000
-#: Bytes of the filter, at most. If not all n-grams fit at BITS each, those under the least count that fits are left out.
-FILTER_BYTES = 64 << 20
-BITS = 10
-#: Distinct n-grams of a segment, about: what one task counts and sets.
-SEGMENT_GRAMS = 1 << 18
+BITS = 10  # of the filter, for each entry
+#: Tokens of the corpus for each segment of the filter, about: what one group counts, enters and probes.
+SEGMENT_TOKENS = 1 << 20
 PROBES = 4  # bits of an entry within one 64-bit block
 PRIOR = 2.0  # weight of the shorter context
 FLUSH_WORDS = 200_000
-#: Bytes of text whose tokens are held at once, about.
-PART = 1_000_000
+#: Bytes of text whose tokens are held at once, about: what asks the filter together.
+PART = 4_000_000
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of an n-gram's hash that are shuffled: 48, so that of 10**11 n-grams one in 3,000 meets another, far under the filter's own error.
+KEPT = np.uint64(0xFFFFFFFFFFFF0000)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -76,7 +78,7 @@ def grams(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     keep = np.ones(len(tokens), bool)
     keep[starts[:-1]] = False
     pair = mix(tokens[:-1] * MULTIPLY + tokens[1:])
-    return mix(tokens[keep]), pair[keep[1:]]
+    return mix(tokens[keep]) & KEPT, pair[keep[1:]] & KEPT
 
 
 def packed(values: np.ndarray, counts: np.ndarray) -> bytes:
@@ -139,47 +141,78 @@ def frequent(counts: DataFrame, most: int = FREQUENT) -> dict[bytes, float]:
     return {bytes(r["word"]): r["log"] for r in counts.where(size >= least).select("word", F.log10(F.col("n") + 1).alias("log")).collect()}
 
 
-def gram_counts(train: DataFrame, text_col: str, segments: int) -> DataFrame:
-    """seg, blob of the counts of all 1- and 2-grams whose hashes fall in a segment of the hash range, levels: their number by quantised count."""
-    shift = np.uint64(64 - max(segments.bit_length() - 1, 0))
+def parted(rows: DataFrame) -> DataFrame:
+    """part, asks, payload: rows (id, key, out, text, learn, ask) packed some PART bytes of text to a row, so that a part stays the same in all stages."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def row():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for x in held:
+                    out.write_batch(x)
+            asks = any(pc.any(x.column("ask")).as_py() for x in held)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([asks]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["part", "asks", "payload"])
+
+        for batch in batches:
+            for a, b in blocks(batch, "text", PART):
+                piece = batch.slice(a, b - a)
+                held.append(piece)
+                size += (pc.sum(pc.binary_length(piece.column("text"))).as_py() or 0) + piece.num_rows
+                if size >= PART // 2:
+                    yield row()
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield row()
+
+    # Few parts to a file, as readers take many rows of a file at once.
+    return written(rows.mapInArrow(pack, "part long, asks boolean, payload binary"), "score-parts", maxRecordsPerFile=8)
 
-    def cut(values: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        seg = (values >> shift).astype(np.int64) if segments > 1 else np.zeros(len(values), np.int64)
-        edges = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]])) if len(seg) else []
-        ends = [*edges[1:], len(seg)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([int(seg[a]) for a in edges], pa.int64()), pa.array([packed(values[a:b], counts[a:b]) for a, b in zip(edges, ends)], pa.binary())], names=["seg", "blob"]
-        )
+
+def rows_of(payload: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(payload.as_buffer()).read_all().combine_chunks()
+
+
+def gram_levels(parts: DataFrame, segments: int) -> DataFrame:
+    """part, seg, levels: the filter's levels (a byte each) of the distinct 1- and 2-grams of a part whose hashes fall in a segment of the hash range.
+
+    A part's n-grams go to their segments with their counts in what is learned from; a segment's filter holds all of its
+    n-grams, is asked there, and the answers go back, so nothing is broadcast and no task's share grows with the corpus.
+    """
+    shift = np.uint64(64 - max(segments.bit_length() - 1, 0))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, counts, waiting, held = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
         for batch in batches:
-            column = batch.column(0)
-            for a, b in blocks(batch, text_col, PART):
-                one, two = grams(*sequences(column[a:b].to_pylist()))
-                waiting += [one, two]
-                held += len(one) + len(two)
-                if held > 1_500_000:
-                    more, n = np.unique(np.concatenate(waiting), return_counts=True)
-                    values, counts = summed(np.concatenate([values, more]), np.concatenate([counts, n]))
-                    waiting, held = [], 0
-                if len(values) > 2_500_000:
-                    yield from cut(values, counts)
-                    values, counts = values[:0], counts[:0]
-        if waiting:
-            more, n = np.unique(np.concatenate(waiting), return_counts=True)
-            values, counts = summed(np.concatenate([values, more]), np.concatenate([counts, n]))
-        if len(values):
-            yield from cut(values, counts)
-
-    def merge(key, rows):
-        parts = [unpacked(b.as_py()) for b in rows.column("blob")]
-        values, counts = summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        levels = np.bincount(quantised(counts), minlength=33)[:33]
-        blob = packed(values, np.minimum(counts, 2**32 - 1))
-        return pa.table({"seg": pa.array([key[0].as_py()], pa.int64()), "blob": pa.array([blob], pa.binary()), "levels": pa.array([levels.tolist()], pa.list_(pa.int64()))})
-
-    return train.select(text_col).mapInArrow(count, "seg long, blob binary").groupBy("seg").applyInArrow(merge, "seg long, blob binary, levels array<long>")
+            for part, asks, payload in zip(batch.column("part"), batch.column("asks"), batch.column("payload")):
+                rows = rows_of(payload)
+                found = []
+                for learn in (True, False):
+                    texts = rows.filter(pc.equal(rows["learn"], learn))["text"].to_pylist()
+                    if texts and (learn or asks.as_py()):
+                        values, n = np.unique(np.concatenate(grams(*sequences(texts))), return_counts=True)
+                        found.append((values, n if learn else np.zeros(len(n), np.int64)))
+                if not found:
+                    continue
+                values, counts = found[0] if len(found) == 1 else summed(*(np.concatenate(x) for x in zip(*found)))
+                seg = (values >> shift).astype(np.int64) if segments > 1 else np.zeros(len(values), np.int64)
+                edges = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
+                blobs = [packed(values[a:b], counts[a:b]) for a, b in zip(edges, [*edges[1:], len(seg)])]
+                k = len(edges)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part.as_py()] * k, pa.int64()), pa.array([asks.as_py()] * k), pa.array(seg[edges], pa.int64()), pa.array(blobs, pa.binary())], names=["part", "asks", "seg", "blob"]
+                )
+
+    def ask(key, rows):
+        blobs = [unpacked(b.as_py()) for b in rows["blob"]]
+        values, counts = summed(np.concatenate([x[0] for x in blobs]), np.concatenate([x[1] for x in blobs]))
+        words = entered(values, quantised(counts))
+        levels = CountFilter(words, np.array([0, len(words)])).levels(values).astype(np.uint8)
+        asks = rows["asks"].to_pylist()
+        answers = [levels[np.searchsorted(values, x[0])].tobytes() if a else None for x, a in zip(blobs, asks)]
+        return pa.table({"part": rows["part"], "seg": rows["seg"], "levels": pa.array(answers, pa.binary())}).filter(rows["asks"])
+
+    return parts.mapInArrow(count, "part long, asks boolean, seg long, blob binary").groupBy("seg").applyInArrow(ask, "part long, seg long, levels binary")
 
 
 def quantised(counts: np.ndarray) -> np.ndarray:
@@ -212,6 +245,9 @@ class CountFilter:
 
     def counts(self, hashes: np.ndarray) -> np.ndarray:
         distinct, back = np.unique(hashes, return_inverse=True)
+        return expected(self.levels(distinct))[back]
+
+    def levels(self, distinct: np.ndarray) -> np.ndarray:
         levels = np.zeros(len(distinct), np.int64)
         seg = (distinct >> self.shift).astype(np.int64) if self.shift is not None else np.zeros(len(distinct), np.int64)
         active = np.flatnonzero(self.edges[seg + 1] > self.edges[seg])
@@ -223,36 +259,24 @@ class CountFilter:
             level += 1
             if level > 48:
                 break
-        return expected(levels)[back]
+        return levels
+
+
+def entered(values: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The 64-bit blocks of one segment's filter, with room for all of its entries."""
+    blocks = -(-int(levels.sum()) * BITS // 64)
+    words = np.zeros(blocks, np.uint64)
+    for q in range(1, int(levels.max(initial=0)) + 1):
+        block, bits = places(values[levels >= q], q, np.uint64(max(blocks, 1)), 0)
+        np.bitwise_or.at(words, block, bits)
+    return words
 
 
 def build_filter(counted: DataFrame, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """The filter's 64-bit blocks and the segments' edges. Each segment is made in its own task; together they are at most FILTER_BYTES."""
-    totals = counted.select(F.posexplode("levels").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()  # 33 rows
-    by_level = {r["level"]: r["n"] for r in totals}
-    least = 1
-    while sum(q * n for q, n in by_level.items() if q >= least) * BITS > FILTER_BYTES * 8 and least < 32:
-        least += 1
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for seg, blob in zip(batch.column("seg").to_pylist(), batch.column("blob")):
-                values, counts = unpacked(blob.as_py())
-                levels = quantised(counts)
-                values, levels = values[levels >= least], levels[levels >= least]
-                blocks = -(-int(levels.sum()) * BITS // 64)
-                words = np.zeros(blocks, np.uint64)
-                for q in range(1, int(levels.max(initial=0)) + 1):
-                    block, bits = places(values[levels >= q], q, np.uint64(max(blocks, 1)), 0)
-                    np.bitwise_or.at(words, block, bits)
-                yield pa.RecordBatch.from_arrays([pa.array([seg], pa.int64()), pa.array([words.tobytes()], pa.binary())], names=["seg", "words"])
-
-    parts = written(counted.select("seg", "blob").repartition("seg").mapInArrow(build, "seg long, words binary"), "count-filter")
-    found: dict[int, bytes] = {}
-    for r in parts.toLocalIterator():
-        found[r["seg"]] = bytes(r["words"])
-    sizes = [len(found.get(i, b"")) // 8 for i in range(segments)]
-    return np.frombuffer(b"".join(found.get(i, b"") for i in range(segments)), np.uint64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    """Blocks of all segments and their edges, on the driver: for counts known to be few. `score` asks each segment where it is made."""
+    found = {r["seg"]: entered(v, quantised(n)) for r in counted.select("seg", "blob").toLocalIterator() for v, n in [unpacked(bytes(r["blob"]))]}
+    parts = [found.get(i, np.zeros(0, np.uint64)) for i in range(segments)]
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
 
 
 def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,77 +287,93 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
     Null and empty texts are one end token. Repeated rows are scored each, ids may be null; other columns are left out. With
     nothing to learn from, N and V are 0 and every base probability is 1.
     """
-    spark = docs.sparkSession
+    asking = docs.select(*asked(docs, id_col, text_col), F.lit(False).alias("learn"), F.lit(True).alias("ask"))
+    kind = docs.schema[id_col].dataType
+    learning = train.select(F.lit(None).cast(kind).alias("id"), F.lit(0).cast("long").alias("key"), F.lit(False).alias("out"), F.col(text_col).alias("text"), F.lit(True).alias("learn"), F.lit(False).alias("ask"))
+    return scored(asking.unionAll(learning), train.select(F.col(text_col).alias("text")), id_col)
+
+
+def asked(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    return [F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), held_out(id_col, 7, 2).alias("out"), F.col(text_col).alias("text")]
+
+
+def scored(rows: DataFrame, train: DataFrame, id_col: str) -> DataFrame:
+    """Scores of the rows to `ask` for, from those to `learn`, whose texts are `train`."""
+    spark = rows.sparkSession
     ship(spark)
-    counts = written(word_counts(train, text_col), "word-counts")
+    counts = written(word_counts(train, "text"), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    segments = 1 << max(0, (int(total) // SEGMENT_GRAMS).bit_length())
-    counted = written(gram_counts(train, text_col, segments), "gram-counts")
-    grid = spark.sparkContext.broadcast(build_filter(counted, segments))  # FILTER_BYTES at most
+    segments = 1 << max(0, (int(total) // SEGMENT_TOKENS).bit_length())
+    kind = rows.schema["id"].dataType.simpleString()
+    parts = parted(rows)
+    answers = written(gram_levels(parts, segments), "gram-levels")
     often = spark.sparkContext.broadcast(frequent(counts))  # FREQUENT rows at most
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_ = CountFilter(*grid.value)
+    def partial(left: pa.Table, right: pa.Table) -> pa.Table:
         logs = often.value
-        for batch in batches:
-            column = batch.column("text")
-            for a, b in blocks(batch, "text", PART):
-                texts = column[a:b].to_pylist()
-                tokens, starts = sequences(texts)
-                model = np.zeros(len(texts))
-                if total:
-                    one, two = grams(tokens, starts)
-                    c1 = filter_.counts(one)
-                    # The context of a text's first word is the end token, whose count is that of texts.
-                    ends = np.cumsum(np.diff(starts) - 1)
-                    context = np.empty(len(one))
-                    context[1:] = c1[:-1]
-                    first = np.concatenate([[0], ends[:-1]])
-                    context[first] = c1[ends - 1]
-                    single = (c1 + 1) / (total + distinct + 1)
-                    p = (np.minimum(filter_.counts(two), context) + PRIOR * single) / (context + PRIOR)
-                    model = np.add.reduceat(np.log10(np.minimum(p, 1.0)), first)
-                index, words, times, n_tokens, known, base = [], [], [], [], [], []
-                for i, t in enumerate(texts):
-                    found = Counter(words_of(t))
-                    found[END] = 1
-                    sum_, n, k, rest = 0.0, 0, 0, 0
-                    for w, tf in found.items():
-                        n += tf
-                        log = logs.get(w)
-                        if log is None:
-                            words.append(w)
-                            times.append(tf)
-                            rest += 1
-                        else:
-                            sum_ += tf * log
-                            k += tf
-                    index += [i] * (rest + 1)
-                    words.append(None)
-                    times.append(0)
-                    n_tokens.append(n)
-                    known.append(k)
-                    base.append(sum_)
-                index = np.array(index)
-                last = np.concatenate([index[1:] != index[:-1], [True]])
-                row = lambda x, kind: pa.array(np.array(x)[index], kind, mask=~last)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *[batch.column(c).slice(a, len(texts)).take(pa.array(index)) for c in ("id", "key", "out")],
-                        pa.array(words, pa.binary()),
-                        pa.array(times, pa.int64()),
-                        row(n_tokens, pa.int64()),
-                        row(known, pa.int64()),
-                        row(base, pa.float64()),
-                        row(model, pa.float64()),
-                    ],
-                    names=["id", "key", "out", "word", "times", "n_tokens", "known", "base", "score"],
-                )
+        table = rows_of(left["payload"][0])
+        texts = table["text"].to_pylist()
+        tokens, starts = sequences(texts)
+        one, two = grams(tokens, starts)
+        order = np.argsort(right["seg"].to_numpy())
+        levels = right["levels"].to_pylist()
+        found = expected(np.frombuffer(b"".join(levels[i] for i in order), np.uint8))
+        _, back = np.unique(np.concatenate([one, two]), return_inverse=True)
+        c1, c2 = found[back[: len(one)]], found[back[len(one) :]]
+        # The context of a text's first word is the end token, whose count is that of texts.
+        ends = np.cumsum(np.diff(starts) - 1)
+        context = np.empty(len(one))
+        context[1:] = c1[:-1]
+        first = np.concatenate([[0], ends[:-1]])
+        context[first] = c1[ends - 1]
+        single = (c1 + 1) / (total + distinct + 1)
+        p = (np.minimum(c2, context) + PRIOR * single) / (context + PRIOR)
+        model = np.add.reduceat(np.log10(np.minimum(p, 1.0)), first)
+        asks = np.array(table["ask"].to_pylist(), bool)
+        index, words, times, n_tokens, known, base = [], [], [], [], [], []
+        for i, t in enumerate(texts):
+            if not asks[i]:
+                continue
+            found = Counter(words_of(t))
+            found[END] = 1
+            sum_, n, k, rest = 0.0, 0, 0, 0
+            for w, tf in found.items():
+                n += tf
+                log = logs.get(w)
+                if log is None:
+                    words.append(w)
+                    times.append(tf)
+                    rest += 1
+                else:
+                    sum_ += tf * log
+                    k += tf
+            index += [i] * (rest + 1)
+            words.append(None)
+            times.append(0)
+            n_tokens.append(n)
+            known.append(k)
+            base.append(sum_)
+        index = np.array(index)
+        last = np.concatenate([index[1:] != index[:-1], [True]])
+        nth = np.cumsum(last) - last  # of the texts asked for
+        row = lambda x, kind: pa.array(np.array(x)[nth], kind, mask=~last)
+        return pa.table(
+            {
+                **{c: table[c].take(pa.array(index)) for c in ("id", "key", "out")},
+                "word": pa.array(words, pa.binary()),
+                "times": pa.array(times, pa.int64()),
+                "n_tokens": row(n_tokens, pa.int64()),
+                "known": row(known, pa.int64()),
+                "base": row(base, pa.float64()),
+                "score": row(model[asks], pa.float64()),
+            }
+        )
 
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = (
-        docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("key"), held_out(id_col, 7, 2).alias("out"), F.col(text_col).alias("text"))
-        .mapInArrow(partial, f"id {kind}, key long, out boolean, word binary, times long, n_tokens long, known long, base double, score double")
+        parts.where("asks")
+        .groupBy("part")
+        .cogroup(answers.groupBy("part"))
+        .applyInArrow(partial, f"id {kind}, key long, out boolean, word binary, times long, n_tokens long, known long, base double, score double")
         # A row without a word stands for its document; a key of its own keeps such rows from meeting in one task.
         .withColumn("word", F.coalesce("word", F.concat(F.lit(b" "), F.encode(F.concat_ws(" ", "id", "key"), "utf-8"))))
     )
@@ -363,7 +403,8 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
 
 def score_fold(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of all documents, learned outside the fold crc32(id) mod 7 = 2."""
-    return score(docs.select(id_col, text_col), docs.where(~held_out(id_col, 7, 2)), id_col, text_col)
+    rows = docs.select(*asked(docs, id_col, text_col), (~held_out(id_col, 7, 2)).alias("learn"), F.lit(True).alias("ask"))
+    return scored(rows, docs.where(~held_out(id_col, 7, 2)).select(F.col(text_col).alias("text")), id_col)
 
 
 #: DuckDB, for base_score and the counts of small tables in tests: the fold is passed in as a table, as DuckDB has no crc32.
