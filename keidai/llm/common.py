@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if it has at most this many rows, counted before.
 BROADCAST_ROWS = 200_000
+#: And at most so many bytes, as JSON.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +43,11 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a written table for broadcast if its counted rows are within the bound, else leaves the join to be shuffled."""
-    return F.broadcast(df) if df.count() <= rows else df
+    """Marks a written table for broadcast if its counted rows and their bytes are within the bounds, else leaves the join to be shuffled."""
+    if df.count() > rows:
+        return df
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
