@@ -10,19 +10,19 @@ from keidai.llm.common import written
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 RUN = 5  # words of a window that counts as repeated
-#: At most this share of a stratum's good documents may be rejected by the rules together ...
+#: At most this share of a stratum's good documents may be rejected by the cutoffs ...
 RISK = 0.02
-#: ... with this probability that any of all the tested cutoffs breaks it.
+#: ... with this probability that any stratum breaks it.
 DELTA = 0.05
-#: Per-mille cutoffs tried for every feature: a document is rejected above the cutoff.
-CUTOFFS = (20, 50, 100, 200, 300, 400, 500, 600, 700, 800, 900, 1000)
-#: Per-mille features, of integers: name and SQL over the base counts; the same in Spark and DuckDB.
+#: Per-mille features, of integers: name, SQL over the base counts (the same in Spark and DuckDB), and a cutoff for each level, lenient
+#: to strict. At a level a document is rejected if any feature is over its cutoff there; so each level rejects what the ones before it do.
 FEATURES = (
-    ("symbols", "least(1000 * n_symbols // greatest(n_words, 1), 100000)"),
-    ("dup_lines", "least(1000 * n_dup_lines // greatest(n_lines, 1), 100000)"),
-    ("repeats", "1000 * n_repeat_words // greatest(n_words, 1)"),
-    ("long_words", "greatest(0, 1000 * word_chars // greatest(n_words, 1) - 8000) // 10"),
+    ("symbols", "least(1000 * n_symbols // greatest(n_words, 1), 100000)", (1000, 700, 500, 400, 300, 200, 100, 50)),
+    ("dup_lines", "least(1000 * n_dup_lines // greatest(n_lines, 1), 100000)", (900, 800, 700, 600, 500, 400, 300, 200)),
+    ("repeats", "1000 * n_repeat_words // greatest(n_words, 1)", (200, 190, 180, 170, 160, 150, 130, 110)),
+    ("long_words", "greatest(0, 1000 * word_chars // greatest(n_words, 1) - 8000) // 10", (1000, 800, 600, 500, 400, 300, 200, 150)),
 )
+LEVELS = len(FEATURES[0][2])
 
 
 def base_counts(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
@@ -92,25 +92,28 @@ def binomial_cdf(k: Column, n: Column, p: Column) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(terms)
 
 
-def cutoffs(features: DataFrame, good: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The lowest safe cutoff of each stratum and feature: qr_stratum, qr_feature, cutoff; no row where none is safe.
+def level_sql() -> str:
+    """The first level that rejects a document, beyond the base rule; LEVELS + 1 if none does. The same in Spark and DuckDB, over f_ columns."""
+    over = lambda t: " OR ".join(f"f_{name} > {cuts[t]}" for name, _, cuts in FEATURES)
+    return f"CASE WHEN base_failed THEN {LEVELS + 1} " + " ".join(f"WHEN {over(t)} THEN {t + 1}" for t in range(LEVELS)) + f" ELSE {LEVELS + 1} END"
 
-    `good` holds the ids (qr_good) labelled good. A cutoff is safe if the hypothesis "it rejects more than
-    risk / features of the good documents" is refuted by the exact binomial tail at delta over the number of all tests
-    (strata x features x cutoffs, Bonferroni). With every rule within its share, the union of them stays within `risk`.
+
+def safe_levels(features: DataFrame, good: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """The strictest safe level of each stratum: qr_stratum, safe; no row where none is.
+
+    `features` has qr_id, qr_stratum and qr_level, `good` the ids (qr_good) labelled good; an id counts once, by its strictest row. A level
+    is safe if the hypothesis "it rejects more than `risk` of the stratum's good documents" is refuted by the exact binomial tail at
+    delta over the number of strata (Bonferroni). Within a stratum levels are tested in order and testing ends at the first that isn't
+    safe, so these need no further correction.
     """
-    labelled = features.join(good, features["qr_id"] == good["qr_good"])
-    long = labelled.select(
-        "qr_stratum", F.explode(F.array(*[F.struct(F.lit(name).alias("qr_feature"), F.col(f"f_{name}").alias("value")) for name, _ in FEATURES])).alias("x")
-    ).select("qr_stratum", "x.*")
-    counted = long.groupBy("qr_stratum", "qr_feature").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("value") > c).alias(f"k{c}") for c in CUTOFFS])
-    tests = counted.select("qr_stratum", "qr_feature", "n", F.explode(F.array(*[F.struct(F.lit(c).alias("cutoff"), F.col(f"k{c}").alias("k")) for c in CUTOFFS])).alias("t")).select(
-        "qr_stratum", "qr_feature", "n", "t.cutoff", "t.k"
-    )
-    number = counted.select(F.greatest(F.count(F.lit(1)) * len(CUTOFFS), F.lit(1)).alias("tests"))
-    p = F.lit(risk / len(FEATURES))
-    safe = tests.crossJoin(F.broadcast(number)).where(binomial_cdf(F.col("k"), F.col("n"), p) <= F.lit(delta) / F.col("tests"))  # one row, of the number of tests
-    return safe.groupBy("qr_stratum", "qr_feature").agg(F.min("cutoff").alias("cutoff"))
+    labelled = features.join(good, F.col("qr_id") == F.col("qr_good")).groupBy("qr_stratum", "qr_id").agg(F.min("qr_level").alias("qr_level"))
+    counted = labelled.groupBy("qr_stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("qr_level") <= t).alias(f"k{t}") for t in range(1, LEVELS + 1)])
+    tests = counted.select("qr_stratum", "n", F.explode(F.array(*[F.struct(F.lit(t).alias("level"), F.col(f"k{t}").alias("k")) for t in range(1, LEVELS + 1)])).alias("t")).select("qr_stratum", "n", "t.*")
+    number = counted.select(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("strata"))
+    refuted = binomial_cdf(F.col("k"), F.col("n"), F.lit(risk)) <= F.lit(delta) / F.col("strata")
+    tested = tests.crossJoin(F.broadcast(number)).withColumn("refuted", refuted)  # one row, of the number of strata
+    safe = F.coalesce(F.min(F.when(~F.col("refuted"), F.col("level"))), F.lit(LEVELS + 1)) - 1
+    return tested.groupBy("qr_stratum").agg(safe.alias("safe")).where("safe > 0")
 
 
 def quality_rules(
@@ -118,23 +121,20 @@ def quality_rules(
 ) -> DataFrame:
     """Base counts, base_failed and kept of every document.
 
-    Rejects a document that fails the base rule, or whose symbols, duplicate lines, repeated words or word length exceed
-    the cutoff of its stratum. Cutoffs come from documents labelled good (labels: doc_id, quality), see cutoffs().
+    Rejects a document that fails the base rule, or whose symbols, duplicate lines, repeated words or word length exceed the
+    cutoffs of its stratum's level. Levels come from documents labelled good (labels: doc_id, quality), see safe_levels().
 
     Null and empty texts have no words and fail the base rule. A null stratum is a stratum of its own; a stratum with too
     few labels rejects by the base rule only. Repeated label rows count once; ids labelled both good and bad are not good.
-    Repeated documents are judged alike; a null id is judged by its stratum's cutoffs.
+    Repeated documents are judged alike, and count once as labelled; a null id is judged by its stratum's level.
     """
-    features = base_counts(docs, id_col, text_col, F.coalesce(F.col(stratum).cast("string"), F.lit("")))
-    features = written(features.withColumnRenamed("qr_more0", "qr_stratum").withColumns({f"f_{name}": F.expr(sql.replace("//", "div")) for name, sql in FEATURES}), "quality-counts")
-    good = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("qr_good")).agg(F.min("quality").alias("q")).where("q = 1").select("qr_good")
-    chosen = cutoffs(features, good, risk, delta).groupBy("qr_stratum").agg(*[F.min(F.when(F.col("qr_feature") == name, F.col("cutoff"))).alias(f"c_{name}") for name, _ in FEATURES])
-    # A row a stratum: a salted copy of each would serve if one stratum's documents had to be split; adaptive execution does that.
-    joined = features.join(written(chosen, "quality-cutoffs"), "qr_stratum", "left")
+    counts = base_counts(docs, id_col, text_col, F.coalesce(F.col(stratum).cast("string"), F.lit(""))).withColumnRenamed("qr_more0", "qr_stratum")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    over = F.lit(False)
-    for name, _ in FEATURES:
-        over = over | F.coalesce(F.col(f"f_{name}") > F.col(f"c_{name}"), F.lit(False))
+    features = counts.withColumn("base_failed", failed).withColumns({f"f_{name}": F.expr(sql.replace("//", "div")) for name, sql, _ in FEATURES})
+    features = written(features.withColumn("qr_level", F.expr(level_sql())).drop(*[f"f_{name}" for name, _, _ in FEATURES]), "quality-counts")
+    good = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("qr_good")).agg(F.min("quality").alias("q")).where("q = 1").select("qr_good")
+    # A row a stratum; where one stratum holds most documents adaptive execution splits them.
+    joined = features.join(written(safe_levels(features, good, risk, delta), "quality-levels"), "qr_stratum", "left")
     return joined.select(
         F.col("qr_id").alias(id_col),
         "n_words",
@@ -142,17 +142,14 @@ def quality_rules(
         "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
-        failed.alias("base_failed"),
-        (~failed & ~over).alias("kept"),
+        "base_failed",
+        (~F.col("base_failed") & (F.col("qr_level") > F.coalesce("safe", F.lit(0)))).alias("kept"),
     )
 
 
 def _sql() -> str:
-    feature = ", ".join(f"CAST({sql} AS BIGINT) AS f_{name}" for name, sql in FEATURES)
-    long = " UNION ALL ".join(f"SELECT stratum, '{name}' AS feature, f_{name} AS value FROM g" for name, _ in FEATURES)
-    chosen = ", ".join(f"min(CASE WHEN feature = '{name}' THEN cutoff END) AS c_{name}" for name, _ in FEATURES)
-    over = " OR ".join(f"coalesce(f_{name} > c_{name}, false)" for name, _ in FEATURES)
-    p = RISK / len(FEATURES)
+    feature = ", ".join(f"CAST({sql} AS BIGINT) AS f_{name}" for name, sql, _ in FEATURES)
+    over = f"SELECT *, {level_sql()} AS level FROM (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {feature} FROM b)"
     blank = r"[\x20\x09-\x0D]"
     return f"""
 WITH t AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
@@ -166,20 +163,17 @@ b AS (SELECT w.doc_id, stratum, CAST(len(w) AS BIGINT) AS n_words, CAST(length(r
       CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
       CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words
       FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id),
-f AS (SELECT *, {feature} FROM b),
-q AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
-g AS (SELECT f.* FROM f JOIN q ON f.doc_id = q.doc_id),
-s AS ({long}),
-c AS (SELECT stratum, feature, cutoff, count(*) AS n, count(*) FILTER (WHERE value > cutoff) AS k
-      FROM s, (SELECT unnest([{", ".join(map(str, CUTOFFS))}]) AS cutoff) GROUP BY stratum, feature, cutoff),
-terms AS (SELECT stratum, feature, cutoff, n, k, unnest(range(0, k + 1)) AS j FROM c WHERE k < n * {p!r}),
-logs AS (SELECT stratum, feature, cutoff, n, k, j, n * ln(1 - {p!r}) + sum(CASE WHEN j = 0 THEN 0 ELSE ln((n - j + 1) / CAST(j AS DOUBLE)) + ln({p!r} / (1 - {p!r})) END)
-         OVER (PARTITION BY stratum, feature, cutoff ORDER BY j) AS lp FROM terms),
-cdf AS (SELECT stratum, feature, cutoff, sum(exp(lp)) AS pv FROM logs GROUP BY stratum, feature, cutoff),
-safe AS (SELECT stratum, feature, min(cutoff) AS cutoff FROM cdf WHERE pv <= {DELTA!r} / (SELECT count(*) FROM c) GROUP BY stratum, feature),
-ch AS (SELECT stratum, {chosen} FROM safe GROUP BY stratum),
-o AS (SELECT f.*, ch.* EXCLUDE (stratum), n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f LEFT JOIN ch ON f.stratum = ch.stratum)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({over}) AS kept FROM o
+f AS ({over}),
+q AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+g AS (SELECT stratum, doc_id, min(level) AS level FROM f JOIN q USING (doc_id) GROUP BY ALL),
+c AS (SELECT stratum, t, count(*) AS n, count(*) FILTER (WHERE level <= t) AS k FROM g, (SELECT unnest(range(1, {LEVELS + 1})) AS t) GROUP BY stratum, t),
+terms AS (SELECT stratum, t, n, k, unnest(range(0, k + 1)) AS j FROM c WHERE k < n * {RISK!r}),
+logs AS (SELECT stratum, t, n * ln(1 - {RISK!r}) + sum(CASE WHEN j = 0 THEN 0 ELSE ln((n - j + 1) / CAST(j AS DOUBLE)) + ln({RISK!r} / (1 - {RISK!r})) END)
+         OVER (PARTITION BY stratum, t ORDER BY j) AS lp FROM terms),
+cdf AS (SELECT stratum, t, sum(exp(lp)) AS pv FROM logs GROUP BY stratum, t),
+ok AS (SELECT c.stratum, c.t, coalesce(pv <= {DELTA!r} / (SELECT count(DISTINCT stratum) FROM g), false) AS refuted FROM c LEFT JOIN cdf ON c.stratum = cdf.stratum AND c.t = cdf.t),
+ch AS (SELECT stratum, coalesce(min(CASE WHEN NOT refuted THEN t END), {LEVELS + 1}) - 1 AS safe FROM ok GROUP BY stratum)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND level > coalesce(safe, 0) AS kept FROM f LEFT JOIN ch ON f.stratum = ch.stratum
 """
 
 
