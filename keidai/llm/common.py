@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 #: And at most so many bytes, as JSON.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of rows sent to Python at once, about: 10,000 rows of text, Spark's own bound, may be any number of bytes.
+ARROW_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +57,17 @@ def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
+def without(df: DataFrame, names: list[str]) -> DataFrame:
+    """The other columns than those of these names, in whatever case."""
+    gone = {n.lower() for n in names}
+    return df.drop(*[c for c in df.columns if c.lower() in gone])
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a session, so that functions pickled by name can be loaded there."""
+    """Makes a session ready for functions that run in Python: sends this package to the executors, once, so that functions pickled
+    by name can be loaded there, and bounds the bytes of Arrow batches, where the session doesn't say how many it wants."""
+    if spark.conf.get(ARROW_BYTES[0], None) is None:
+        spark.conf.set(*ARROW_BYTES)
     sc = spark.sparkContext
     if getattr(sc, "_keidai_shipped", False):
         return

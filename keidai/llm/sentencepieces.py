@@ -12,13 +12,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from keidai.llm.common import ship
-from keidai.llm.token_files import Memo, blocks, joined
+from keidai.llm.common import ship, without
+from keidai.llm.token_files import blocks, file_bytes
 
 MARK = "▁"
-#: Pairs of pieces that a worker remembers, at most; then it starts anew.
-MEMO_PAIRS = 1_000_000
-_MEMO: dict = {}
+#: Bytes of words and their ids that a task remembers, about; then it starts anew.
+MEMO_BYTES = 64 << 20
+ENTRY_BYTES = 180  # of two objects and their place in a dict
+#: Pairs of pieces that a task remembers, at most; then it starts anew.
+MEMO_PAIRS = 400_000
+
+
+class Memo(dict):
+    """Encoded words, of about MEMO_BYTES at most; a word that is not there is noted and reads as empty."""
+
+    def __init__(self):
+        self.noted: list = []
+        self.held = 0
+
+    def __missing__(self, word):
+        self.noted.append(word)
+        return b""
+
+    def add(self, words, ids):
+        for w, x in zip(words, ids):
+            self[w] = x
+            self.held += len(w) + len(x) + ENTRY_BYTES
+
+    def clear(self):
+        dict.clear(self)
+        self.held = 0
+
+
+def joined(memo: Memo, learn, split: list[list]) -> list[bytes]:
+    """The encoded words of each text, one after another; `learn` is given the distinct words that the memo lacks."""
+    get = memo.__getitem__
+    out, incomplete, missing = [], [], set()
+    for i, words in enumerate(split):
+        out.append(b"".join(map(get, words)))
+        if memo.noted:
+            missing.update(memo.noted)
+            memo.noted.clear()
+            incomplete.append(i)
+    if missing:
+        if memo.held > MEMO_BYTES:
+            memo.clear()
+            missing.update(*[split[i] for i in incomplete])
+        learn(missing)
+        for i in incomplete:
+            out[i] = b"".join(map(get, split[i]))
+    return out
 
 
 def bpe(word: str, score: dict[str, float]) -> list[str]:
@@ -120,10 +163,10 @@ class Lattice:
 class Codec:
     """Encodes and decodes with a SentencePiece model file of byte fallback and identity normalisation."""
 
-    def __init__(self, model: str, kind: str = "bpe"):
+    def __init__(self, model: bytes, kind: str = "bpe"):
         import sentencepiece
 
-        self.model = m = sentencepiece.SentencePieceProcessor(model_file=model)
+        self.model = m = sentencepiece.SentencePieceProcessor(model_proto=model)
         every = [m.id_to_piece(i) for i in range(m.get_piece_size())]
         plain = [i for i in range(len(every)) if not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i) or m.is_byte(i))]
         if any(MARK in every[i].lstrip(MARK) for i in plain):
@@ -157,8 +200,7 @@ class Codec:
             for k, p in enumerate(parts):
                 out += [self.bytes[b] for b in p.encode("utf-8", "replace")] if k % 2 else ids[p] if p else []
             ids[w] = out
-        for w in words:
-            self.known[w] = array("i", ids[w]).tobytes()
+        self.known.add(words, (array("i", ids[w]).tobytes() for w in words))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """32-bit ids of each text, as bytes; none for null or empty texts."""
@@ -169,12 +211,6 @@ class Codec:
         return b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
-def codec(model: str, kind: str) -> Codec:
-    if (model, kind) not in _MEMO:
-        _MEMO[model, kind] = Codec(model, kind)
-    return _MEMO[model, kind]
-
-
 def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", kind: str = "bpe", decoded: str | None = None) -> DataFrame:
     """Adds ids (array<int>) and n_tokens (long) of every whole text, and with a name in `decoded` the text that the ids give.
 
@@ -183,11 +219,12 @@ def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", kind: str
     each task a second Python worker.
     """
     ship(docs.sparkSession)
+    content = docs.sparkSession.sparkContext.broadcast(file_bytes(model))
     made = ["ids", "n_tokens", *([decoded] if decoded else [])]
-    docs = docs.drop(*[c for c in docs.columns if c in made])
+    docs = without(docs, made)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with_pieces = codec(model, kind)
+        with_pieces = Codec(content.value, kind)  # goes with the task
         for batch in batches:
             for a, b in blocks(batch, text_col):
                 rows = batch.slice(a, b - a)
@@ -210,10 +247,11 @@ def encode_pieces(docs: DataFrame, model: str, text_col: str = "text", kind: str
 def decode_pieces(encoded: DataFrame, model: str, ids_col: str = "ids", out: str = "decoded", kind: str = "bpe") -> DataFrame:
     """Adds the text of the ids; null for null ids. A column named `out` is replaced."""
     ship(encoded.sparkSession)
-    encoded = encoded.drop(*[c for c in encoded.columns if c == out])
+    content = encoded.sparkSession.sparkContext.broadcast(file_bytes(model))
+    encoded = without(encoded, [out])
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with_pieces = codec(model, kind)
+        with_pieces = Codec(content.value, kind)  # goes with the task
         for batch in batches:
             column = batch.column(ids_col)
             values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()

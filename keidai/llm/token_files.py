@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -16,9 +18,8 @@ from pyspark.sql import functions as F
 from keidai.llm.common import fresh_path, ship, written
 
 END_ID = 2
-#: Words whose ids a worker remembers, at most; then it starts anew.
-MEMO_WORDS = 400_000
-_MEMO: dict = {}
+#: Bytes of text that are encoded at once, about: the more, the fewer words are met again.
+BLOCK = 8 << 20
 
 
 def opened(uri: str):
@@ -38,83 +39,109 @@ def mapped(files, path: str):
         return f.read_buffer()
 
 
-class Memo(dict):
-    """Encoded words; a word that is not there is noted and reads as empty."""
+#: Words of letters that are one piece of the splitter by any Unicode version, and the run of marks at their end, a piece of its own.
+SIMPLE = r"^(?P<core>(?:[A-Za-zÀ-ÖØ-öø-ÿ])+)(?P<tail>[!\"#$%&()*+,\-./:;=>?@\[\]^_`{}~]*)$"
+# What a vocabulary file must say for its words to be encoded on their own.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self):
-        self.noted: list = []
 
-    def __missing__(self, word):
-        self.noted.append(word)
-        return b""
+def splits_words(described: dict) -> bool:
+    """Whether white space always ends a word in a vocabulary, runs of letters are whole pieces, and each piece's last id says so."""
+    steps = (described.get("normalizer") or {}).get("normalizers") or []
+    pre = (described.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    return (
+        [x["type"] for x in steps] == NORMALIZERS
+        and steps[1]["pattern"] == {"Regex": r"\s+"}
+        and steps[1]["content"] == " "
+        and [x["type"] for x in pre] == ["Split", "ByteLevel"]
+        and (pre[0]["pattern"], pre[0]["behavior"], pre[0]["invert"]) == ({"Regex": SPLIT}, "Removed", True)
+        and not pre[1]["add_prefix_space"]
+        and not pre[1]["use_regex"]
+        and described["model"]["type"] == "BPE"
+        and described["model"]["end_of_word_suffix"] == "</w>"
+        and not described["model"]["dropout"]
+        and all(x["content"].startswith("<|") and x["content"].endswith("|>") and not re.search(r"\s", x["content"]) for x in described["added_tokens"])
+    )
 
 
-def joined(memo: Memo, learn, split: list[list]) -> list[bytes]:
-    """The encoded words of each text, one after another; `learn` is given the distinct words that the memo lacks."""
-    get = memo.__getitem__
-    out, incomplete, missing = [], [], set()
-    for i, words in enumerate(split):
-        out.append(b"".join(map(get, words)))
-        if memo.noted:
-            missing.update(memo.noted)
-            memo.noted.clear()
-            incomplete.append(i)
-    if missing:
-        if len(memo) + len(missing) > MEMO_WORDS:
-            memo.clear()
-            missing.update(*[split[i] for i in incomplete])
-        learn(missing)
-        for i in incomplete:
-            out[i] = b"".join(map(get, split[i]))
-    return out
+def spread(starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the elements of the pieces `which`, one piece after another, and where each ends."""
+    n = lengths[which]
+    ends = np.cumsum(n)
+    return np.repeat(starts[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0), ends
 
 
 class WordEncoder:
-    """Ids of whole texts. White space always ends a word of this kind of vocabulary, so each distinct word is encoded once."""
+    """Ids of whole texts. If the vocabulary lets words be told apart, each distinct word of a block is encoded once; else texts are encoded as they are."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(vocabulary)
+        self.tokenizer = Tokenizer.from_buffer(vocabulary)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known = Memo()
-        self.parts: dict[str, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        """Encodes distinct words. Stops and commas after a letter or digit are always a piece of their own, and A-Z read as a-z."""
-        split = {}
-        for w in words:
-            s = w.lower().decode("utf-8", "replace") if b"<|" not in w else w.decode("utf-8", "replace")
-            core = s.rstrip(".,;:!?")
-            split[w] = (core, s[len(core) :]) if core and core[-1].isalnum() else (s, "")
-        if len(self.parts) > MEMO_WORDS:
-            self.parts.clear()
-        new = list({p for both in split.values() for p in both if p and p not in self.parts})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.parts[p] = np.array(e.ids, self.kind).tobytes()
-        self.parts[""] = b""
-        for w, (core, tail) in split.items():
-            self.known[w] = self.parts[core] + self.parts[tail]
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        return joined(self.known, self.learn, [(t or "").encode("utf-8", "replace").split() for t in texts])
-
-
-def encoder(vocabulary: str) -> WordEncoder:
-    if vocabulary not in _MEMO:
-        _MEMO[vocabulary] = WordEncoder(vocabulary)
-    return _MEMO[vocabulary]
-
-
-def blocks(batch: pa.RecordBatch, text_col: str, chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch that hold about `chars` bytes of text, or one longer text."""
+        described = json.loads(vocabulary)
+        self.by_word = splits_words(described)
+        if self.by_word:
+            last = [i for piece, i in described["model"]["vocab"].items() if piece.endswith("</w>")]
+            self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+            self.ends[last] = True
+
+    def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((i for x in found for i in x), self.kind, int(lengths.sum())), lengths
+
+    def pieces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of distinct words of letters: as one text, since white space ends a word and a word's last id says that it ends there."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words.to_pylist())], add_special_tokens=False)[0].ids, self.kind)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words):
+            raise ValueError("a word without an end of its own: the vocabulary isn't what it says")
+        return ids, np.diff(stops, prepend=0)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and where each text begins and the last ends."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            ids, lengths = self.each(texts.to_pylist())
+            return ids, np.concatenate([[0], np.cumsum(lengths)])
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        core, tail = pc.extract_regex(words.dictionary, SIMPLE).flatten()
+        simple = core.is_valid().to_numpy(zero_copy_only=False)
+        tailed = pc.fill_null(pc.greater(pc.binary_length(tail), 0), False).to_numpy(zero_copy_only=False)
+        cores = pc.utf8_lower(core.filter(pa.array(simple))).dictionary_encode()
+        others = pa.concat_arrays([words.dictionary.filter(pa.array(~simple)), tail.filter(pa.array(tailed))]).dictionary_encode()
+        parts = [self.pieces(cores.dictionary), self.each(others.dictionary.to_pylist())]
+        ids, lengths = (np.concatenate(x) for x in zip(*parts))
+        # Each word is a piece, or one and its tail.
+        at = np.concatenate([[0], np.cumsum(1 + tailed)]).astype(np.int64)
+        which = np.empty(at[-1], np.int64)
+        rest = len(cores.dictionary) + others.indices.to_numpy()
+        which[at[:-1][simple]] = cores.indices.to_numpy()
+        which[at[:-1][~simple]] = rest[: len(rest) - tailed.sum()]
+        which[at[1:][tailed] - 1] = rest[len(rest) - tailed.sum() :]
+        places, ends = spread(np.cumsum(lengths) - lengths, lengths, which)
+        ids, ends = ids[places], np.concatenate([[0], ends])[at]
+        places, ends = spread(ends[:-1], np.diff(ends), words.indices.to_numpy())
+        return ids[places], np.concatenate([[0], ends])[split.offsets.to_numpy()]
+
+
+def file_bytes(path: str) -> bytes:
+    """A vocabulary file, read on the driver; it is broadcast, so executors need no copy of it."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def blocks(batch: pa.RecordBatch, text_col: str, size: int = 1_000_000) -> Iterator[tuple[int, int]]:
+    """Row ranges of a batch that hold about `size` bytes of text, or one longer text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes):
-        if held and held + n > chars:
+        if held and held + n > size:
             yield start, i
             start, held = i, 0
         held += int(n)
@@ -122,6 +149,20 @@ def blocks(batch: pa.RecordBatch, text_col: str, chars: int = 1_000_000) -> Iter
         yield start, len(sizes)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], text_col: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about so many bytes of text, or of one longer text."""
+    held, n = [], 0
+    for batch in batches:
+        for a, b in blocks(batch, text_col, size):
+            held.append(batch.slice(a, b - a))
+            n += held[-1].column(text_col).nbytes
+            if n >= size:
+                yield pa.concat_batches(held)
+                held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write_tokens(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """Encodes all texts and writes them in ascending id order; returns the manifest.
 
@@ -132,26 +173,24 @@ def write_tokens(docs: DataFrame, vocabulary: str, folder: str, id_col: str = "d
     """
     spark = docs.sparkSession
     ship(spark)
+    words = spark.sparkContext.broadcast(file_bytes(vocabulary))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
-        encode = encoder(vocabulary)
-        end = np.array([end_id], encode.kind).tobytes()
+        encode = WordEncoder(words.value)  # goes with the task
         files, path = opened(folder)
         lengths, ids, n, out = [np.zeros(1, "<i8")], [], 0, None
         name = f"{path}/part-{part:05d}"
-        for batch in batches:
-            for a, b in blocks(batch, "text"):
-                rows = batch.slice(a, b - a)
-                if out is None:
-                    out = files.open_output_stream(f"{name}.bin.{attempt}")
-                encoded = encode(rows.column("text").to_pylist())
-                out.write(end.join(encoded) + end)
-                lengths.append(np.fromiter((len(x) // encode.kind.itemsize + 1 for x in encoded), "<i8", len(encoded)))
-                valid = rows.column("id").is_valid().to_numpy(zero_copy_only=False).astype("<i8")
-                ids.append(np.stack([valid, pc.fill_null(rows.column("id"), 0).to_numpy(zero_copy_only=False).astype("<i8")], 1))
-                n += len(encoded)
+        for rows in gathered(batches, "text", BLOCK):
+            if out is None:
+                out = files.open_output_stream(f"{name}.bin.{attempt}")
+            encoded, at = encode(rows.column("text"))
+            out.write(np.insert(encoded, at[1:], end_id).tobytes())
+            lengths.append((np.diff(at) + 1).astype("<i8"))
+            valid = rows.column("id").is_valid().to_numpy(zero_copy_only=False).astype("<i8")
+            ids.append(np.stack([valid, pc.fill_null(rows.column("id"), 0).to_numpy(zero_copy_only=False).astype("<i8")], 1))
+            n += rows.num_rows
         if out is None:
             return
         out.close()

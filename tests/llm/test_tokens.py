@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from keidai.llm import sentencepieces, token_files
@@ -90,3 +91,55 @@ def test_unigram_lattice_is_the_best_segmentation(seed):
     for w, ids in zip(words, sentencepieces.Lattice(pieces, scores, "unigram").encode_sorted(words)):
         assert "".join(back[i] for i in ids) == w
         assert sum(scores[back[i]] for i in ids) == pytest.approx(best(w))
+
+
+def encoded(encoder, texts):
+    ids, at = encoder(pa.array(texts, pa.string()))
+    return [ids[a:b].tobytes() for a, b in zip(at, at[1:])]
+
+
+def test_words_equal_the_library_for_odd_capitals_and_marks():
+    import random
+
+    from tokenizers import Tokenizer
+
+    rng = random.Random(11)
+    alphabet = "abcsti \n.,;:!?'-1\u0130\u0131\u017f\u212a\u00df\u00c4\u00e9\u03a3\u03c2\ufb01\u01c5\u0307\u0301\u0308\u00a0\u200d\u2028\u4e2d\U0001f600\u00d7\u00f7\u00aa\u00b2\x1c\x00"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12))) for _ in range(60_000)]
+    texts += ["\u0130. \u0130, a\u0130!", "don't we'll I'M 's'", "<|endoftext|>. a<|startoftext|>b", "<|ENDOFTEXT|>,"]
+    content = token_files.file_bytes(vocabulary("word_bpe_49k.json"))
+    encoder = token_files.WordEncoder(content)
+    assert encoder.by_word
+    library = Tokenizer.from_buffer(content)
+    want = [np.array(e.ids, encoder.kind).tobytes() for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    got = [x for i in range(0, len(texts), 500) for x in encoded(encoder, texts[i : i + 500])]
+    assert [t for t, a, b in zip(texts, got, want) if a != b] == []
+
+
+def test_a_vocabulary_whose_words_cant_be_told_apart_is_given_whole_texts():
+    from tokenizers import Tokenizer
+
+    content = token_files.file_bytes(vocabulary("byte_bpe_50k.json"))
+    encoder = token_files.WordEncoder(content)
+    assert not encoder.by_word
+    library = Tokenizer.from_buffer(content)
+    for t, got in zip(TEXTS, encoded(encoder, TEXTS)):
+        assert np.frombuffer(got, encoder.kind).tolist() == library.encode(t or "", add_special_tokens=False).ids
+
+
+def test_memos_start_anew_within_their_bytes(monkeypatch):
+    content = token_files.file_bytes(vocabulary("piece_bpe_32k.model"))
+    texts = [f"word{i} {'abcdefghij'[i % 10]}{'xyz'[i % 3]}, Stop." for i in range(3000)]
+    whole = sentencepieces.Codec(content).encode(texts)
+    monkeypatch.setattr(sentencepieces, "MEMO_BYTES", 20_000)
+    small = sentencepieces.Codec(content)
+    assert [x for i in range(0, 3000, 7) for x in small.encode(texts[i : i + 7])] == whole
+    assert len(small.known) < 1000
+
+
+def test_blocks_of_any_size_give_the_same_files(documents, monkeypatch):
+    rows = [(r["doc_id"], r["text"]) for r in documents.limit(60).collect()]
+    batch = pa.record_batch([pa.array([r[1] for r in rows], pa.string())], names=["text"])
+    for size in (1, 1000, 10_000, 1 << 30):
+        found = list(token_files.gathered(iter([batch, batch.slice(0, 0), batch.slice(10, 5)]), "text", size))
+        assert [t for b in found for t in b.column("text").to_pylist()] == [r[1] for r in rows] + [r[1] for r in rows[10:15]]
