@@ -58,3 +58,27 @@ def test_empty_tables_and_repeated_rows(spark, make):
     found = decontaminate(make([(1, text), (1, text)]), spark.createDataFrame([(5, text), (5, text)], "item_id long, text string")).collect()
     assert [(r["n_hit"], r["n_items"]) for r in found] == [(20, 1), (20, 1)]
     assert decontaminate(make([(1, text)]).limit(0), spark.createDataFrame([(5, text)], "item_id long, text string")).count() == 0
+
+
+def test_null_ids_are_searched_and_clashing_names_stay(spark, make):
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"k{i}" for i in range(20))
+    names = ("dc_id", "dc_items", "dc_doc_text", "dc_text", "dc_n_hit", "dc_a", "dc_b", "dc_row", "DC_WORDS")
+    docs = make([(None, text), (3, text), (None, "clean words"), (3, text + " more"), (None, None)]).withColumns({c: F.lit(c) for c in names}).withColumn("N_Hit", F.lit(-1))
+    found = decontaminate(docs, spark.createDataFrame([(5, text), (6, text)], "item_id long, text string"))
+    assert [c for c in found.columns if c.lower() == "n_hit"] == ["n_hit"]
+    rows = found.collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["n_items"], r["contaminated"]) for r in rows) == [
+        ("3", 20, 20, 2, True), ("3", 21, 20, 2, True), ("None", 0, 0, 0, False), ("None", 2, 0, 0, False), ("None", 20, 20, 2, True),
+    ]
+    assert all(r[c] == c for r in rows for c in names)
+
+
+def test_without_broadcasts_and_a_long_text(spark, make, monkeypatch):
+    from keidai.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(30))) for i in range(5)]
+    docs = [(0, " ".join(f"f{j}" for j in range(100_000)) + " " + items[2][1]), (1, items[3][1]), (2, "x"), (3, items[3][1])]
+    assert run(spark, make, docs, items) == brute(docs, items)
