@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keidai.llm.common import held_out, ship
+from keidai.llm.common import held_out, ship, without
 
-#: Documents of each language that are sampled, and characters taken of each: what bounds the dictionaries.
+#: Documents of each language that are sampled, with their whole texts, and bytes of these texts: what bounds the dictionaries.
 SAMPLE_DOCS = 160
-SAMPLE_CHARS = 1500
+SAMPLE_BYTES = 1 << 20
 #: Characters compressed at once: short enough that the dictionary, not the text itself, explains a piece.
 PIECE = 2000
 LEVEL = 3
@@ -33,16 +33,21 @@ def plain(text: str) -> str:
 
 
 def dictionaries(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, bytes]:
-    """Raw-content dictionaries by language, of a bounded sample: the SAMPLE_DOCS documents of least id hash that have letters."""
+    """Raw-content dictionaries by language, of a bounded sample: of the documents that have letters those of least id hash, SAMPLE_DOCS at
+    most and no more than fill SAMPLE_BYTES. Whole texts are taken, one at least; texts over an eighth of these bytes come after all others."""
+    in_order = Window.partitionBy("lang").orderBy("long", "h", "text")
     ranked = (
         docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-        .select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, SAMPLE_CHARS).alias("part"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"))
-        .withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part")))
+        .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"), F.octet_length(text_col).alias("size"))
+        .withColumn("long", F.col("size") > SAMPLE_BYTES // 8)
+        .withColumn("nth", F.row_number().over(in_order))
         .where(F.col("nth") <= SAMPLE_DOCS)
+        .withColumn("total", F.sum(F.col("size").cast("long")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+        .where((F.col("total") <= SAMPLE_BYTES) | (F.col("nth") == 1))
     )
     parts: dict[str, list[str]] = {}
-    for r in ranked.orderBy("lang", "nth").collect():  # languages x SAMPLE_DOCS x SAMPLE_CHARS at most
-        parts.setdefault(r["lang"], []).append(r["part"])
+    for r in ranked.select("lang", "nth", "text").orderBy("lang", "nth").collect():  # languages x SAMPLE_BYTES, or one longer text
+        parts.setdefault(r["lang"], []).append(r["text"])
     return {lang: "\n".join(map(plain, x)).encode("utf-8", "replace") for lang, x in sorted(parts.items())}
 
 
@@ -77,13 +82,13 @@ def identify(docs: DataFrame, learn_from: DataFrame, id_col: str = "doc_id", tex
     Learns from `learn_from` (id, text, lang), a bounded sample of each language; predicts from the whole text alone.
     Null or letterless texts, and all texts if nothing could be learned, are `und` with score 0. `rejected` is true for
     `und` and for scores under `margin`. Equal sizes go to the language first in alphabet. Rows are kept as they are,
-    repeated ones and null ids too; columns named as the new ones are replaced.
+    repeated ones and null ids too; columns named as the new ones, in whatever case, are replaced.
     """
     spark = docs.sparkSession
     ship(spark)
     content = spark.sparkContext.broadcast(dictionaries(learn_from, id_col, text_col, lang_col))
     made = ["lang_pred", "score", "rejected"]
-    docs = docs.drop(*[c for c in docs.columns if c in made])
+    docs = without(docs, made)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(content.value)

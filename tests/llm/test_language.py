@@ -27,3 +27,55 @@ def test_equal_sizes_go_by_alphabet_and_long_texts_are_whole():
     assert same("hello world") == ("a", 0.0)
     by = Classifier({"de": b"der die das und nicht aber schon wieder " * 20, "en": b"the and not but again already house " * 20})
     assert by("the house " + "und nicht aber schon wieder die das " * 2000)[0] == "de"
+
+
+def test_against_plain_compression(spark, documents):
+    """Every prediction and score equals what one-shot compression with the sampled documents' whole texts gives."""
+    import zstandard
+    from pyspark.sql import functions as F
+
+    from keidai.llm import lang_id
+    from keidai.llm.common import held_out
+
+    learn = documents.where(~held_out("doc_id", 4, 2) & F.col("lang").isNotNull())
+    by = {}
+    for r in learn.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h")).collect():
+        if r["text"] and lang_id.LETTER.search(r["text"]):
+            by.setdefault(r["lang"], []).append((len(r["text"].encode()) > lang_id.SAMPLE_BYTES // 8, r["h"], r["text"]))
+    content = {}
+    for lang, rows in by.items():
+        taken, size = [], 0
+        for _, _, t in sorted(rows)[: lang_id.SAMPLE_DOCS]:
+            size += len(t.encode())
+            if size <= lang_id.SAMPLE_BYTES or not taken:
+                taken.append(t)
+        content[lang] = "\n".join(lang_id.plain(t) for t in taken).encode()
+    assert content == lang_id.dictionaries(learn, "doc_id", "text", "lang")
+
+    def size(lang, text):
+        d = zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=lang_id.LEVEL)
+        c = zstandard.ZstdCompressor(level=lang_id.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        text = lang_id.plain(text)
+        return sum(len(c.compress(text[i : i + lang_id.PIECE].encode() + lang_id.PAD)) for i in range(0, len(text), lang_id.PIECE))
+
+    texts = {r["doc_id"]: r["text"] for r in documents.select("doc_id", "text").collect()}
+    for r in predict_fold(documents).collect():
+        text = texts[r["doc_id"]]
+        if not text or not lang_id.LETTER.search(text):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        sizes = sorted((size(lang, text), lang) for lang in content)
+        assert (r["lang_pred"], r["score"]) == (sizes[0][1], max(0.0, (sizes[1][0] - sizes[0][0]) / sizes[1][0]))
+
+
+def test_repeated_rows_null_ids_and_long_texts_in_the_sample(make, monkeypatch):
+    from keidai.llm import lang_id
+
+    monkeypatch.setattr(lang_id, "SAMPLE_BYTES", 1000)
+    docs = make([(None, "the house"), (None, "the house"), (4, None), (5, "the " * 100_000), (6, "word " * 20)])
+    content = lang_id.dictionaries(docs, "doc_id", "text", "lang")["en"]
+    assert content.count(b"the house") == 2 and b"word" in content and len(content) < 1000  # the long text comes last and doesn't fit
+    assert len(lang_id.dictionaries(docs.where("doc_id = 5"), "doc_id", "text", "lang")["en"]) == 400_000  # alone it is taken whole
+    found = identify(docs, docs).collect()
+    assert len(found) == 5 and len({(r["lang_pred"], r["score"]) for r in found if r["text"] == "the house"}) == 1
