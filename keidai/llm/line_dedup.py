@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keidai.llm.common import written
+from keidai.llm.common import without, written
 
 WINDOW = 3
 
@@ -50,10 +50,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Nulls: a null text or id passes unchanged (n_lines null for a null text). Empty text: one blank line. Windows of
     blank lines only, and texts of fewer lines than a window, remove nothing. Repeated rows with the same id and text
-    count as one document and stay alike; rows with one id and different texts are different documents.
+    count as one document and stay alike; rows with one id and different texts are different documents. Columns named as the
+    new ones, in whatever case, are replaced; all others stay, whatever their names.
     """
-    extra = [c for c in docs.columns if c in ("n_lines", "n_removed")]
-    docs = docs.drop(*extra)
+    docs = without(docs, ["n_lines", "n_removed"])
     occurrences = line_windows(docs, id_col, text_col, window)
     me = F.struct("ld_id", "ld_text", "ld_pos")
     # Counting combines before the shuffle, so a window that a third of all lines repeat is one row a task.
@@ -72,22 +72,21 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.min("ld_pos").alias("a"), (F.max("ld_pos") + window).alias("b"))
         .groupBy("ld_id", "ld_text")
         .agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("ld_cover"))
-        .withColumnRenamed("ld_id", "ld_key")
-        .withColumnRenamed("ld_text", "ld_key_text")
     )
-    joined = docs.withColumn("ld_text", F.xxhash64(text_col)).join(
-        merged, (F.col(id_col) == F.col("ld_key")) & (F.col("ld_text") == F.col("ld_key_text")), "left"
-    )
-    split = joined.withColumn("ld_lines", F.split(F.col(text_col), "\n", -1))
+    # A row's own columns stay in a struct, where no name of theirs can meet one of these.
+    rows = docs.select(F.struct("*").alias("ld_row"), F.col(id_col).alias("ld_key"), F.xxhash64(text_col).alias("ld_key_text"))
+    joined = rows.join(merged, (F.col("ld_key") == F.col("ld_id")) & (F.col("ld_key_text") == F.col("ld_text")), "left")
+    own = F.col("ld_row").getField
+    split = joined.withColumn("ld_lines", F.split(own(text_col), "\n", -1))
     starts = F.concat(F.array(F.lit(0)), F.transform("ld_cover", lambda c: c["b"]))
     ends = F.concat(F.transform("ld_cover", lambda c: c["a"]), F.array(F.size("ld_lines")))
     kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(F.col("ld_lines"), a + 1, b - a)))
     out = split.withColumn("ld_kept", F.when(F.col("ld_cover").isNotNull(), kept))
     removed = F.when(F.col("ld_cover").isNotNull(), F.size("ld_lines") - F.size("ld_kept")).otherwise(F.lit(0))
-    text = F.when(F.col("ld_cover").isNotNull(), F.array_join("ld_kept", "\n")).otherwise(F.col(text_col))
+    text = F.when(F.col("ld_cover").isNotNull(), F.array_join("ld_kept", "\n")).otherwise(own(text_col))
     return out.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.when(F.col(text_col).isNotNull(), F.size("ld_lines")).cast("long").alias("n_lines"),
+        *[(text if c == text_col else own(c)).alias(c) for c in docs.columns],
+        F.when(own(text_col).isNotNull(), F.size("ld_lines")).cast("long").alias("n_lines"),
         removed.cast("long").alias("n_removed"),
     )
 

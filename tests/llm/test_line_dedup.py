@@ -50,3 +50,13 @@ def test_columns_stay(make):
     out = line_dedup(df)
     assert out.columns == [*df.columns, "n_lines", "n_removed"]
     assert line_dedup(out).columns == out.columns
+
+
+def test_clashing_names_in_any_case(make):
+    from pyspark.sql import functions as F
+
+    clash = make(["a\nb\nc", "a\nb\nc\nd"]).withColumns({c: F.lit(c) for c in ("ld_text", "ld_key", "ld_lines", "ld_cover", "ld_kept", "ld_row", "ld_id", "LD_H")})
+    out = {r["doc_id"]: r for r in line_dedup(clash).collect()}
+    assert out[1]["text"] == "d" and all(out[1][c] == c for c in ("ld_text", "ld_key", "ld_lines", "ld_cover", "ld_kept", "ld_row", "ld_id", "LD_H"))
+    again = line_dedup(clash.withColumn("N_Lines", F.lit("old")))
+    assert [c for c in again.columns if c.lower() == "n_lines"] == ["n_lines"] and again.where("doc_id = 1").first()["n_lines"] == 4
