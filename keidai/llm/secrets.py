@@ -34,6 +34,8 @@ MORE = (
 )
 RULES = BASE + MORE
 RULE_VERSION = "1"
+SPANS = "array<struct<start:int,ord:int,kind:string,stop:int>>"
+CHUNK = 256
 
 
 def kind_spans(text: Column, rule: Rule, order: int) -> Column:
@@ -46,31 +48,35 @@ def kind_spans(text: Column, rule: Rule, order: int) -> Column:
         plain = head if head.isalnum() else ""
         if not head or plain:
             pattern = f"{pattern[:-1]}{{{rule.least - len(plain)},}}"
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)) if rule.group else whole
-    found = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), whole.alias("m"), inner.alias("v")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,ord:int,kind:string,stop:int>>").alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"),
-            F.when(
-                F.coalesce(F.length(x["v"]), F.lit(-1)) >= rule.least,
-                F.concat(
-                    acc["spans"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + x["gap"]).alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), (acc["at"] + x["gap"] + F.length(x["m"])).alias("stop")
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
+    lengths = lambda strings: F.transform(strings, lambda x: F.length(x))
+    whole = lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    inner = lengths(F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group))) if rule.group else whole
+    every = F.arrays_zip(lengths(F.split(text, pattern, -1)).alias("gap"), whole.alias("m"), inner.alias("v"))
+    step = lambda x: x["gap"] + F.coalesce(x["m"], F.lit(0))
+    # Arrays grow by copying, so sums run within chunks and over the chunks' totals: a text of many matches isn't quadratic.
+    chunks = lambda e: F.transform(F.sequence(F.lit(0), F.floor((F.size(e) - 1) / CHUNK).cast("int")), lambda c: F.slice(e, c * CHUNK + 1, CHUNK))
+    total = lambda chunk: F.aggregate(chunk, F.lit(0), lambda t, x: t + step(x))
+    starts = lambda parts: F.aggregate(
+        parts,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
+        lambda acc, chunk: F.struct((acc["at"] + total(chunk)).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")),
+        lambda acc: acc["all"],
     )
-    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast("array<struct<start:int,ord:int,kind:string,stop:int>>"))
+
+    def spans(chunk: Column, at: Column) -> Column:
+        span = lambda acc, x: F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), (acc["at"] + x["gap"] + x["m"]).alias("stop"))
+        return F.aggregate(
+            chunk,
+            F.struct(at.alias("at"), F.array().cast(SPANS).alias("spans")),
+            lambda acc, x: F.struct(
+                (acc["at"] + step(x)).alias("at"), F.when(F.coalesce(x["v"], F.lit(-1)) >= rule.least, F.concat(acc["spans"], F.array(span(acc, x)))).otherwise(acc["spans"]).alias("spans")
+            ),
+            lambda acc: acc["spans"],
+        )
+
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  binds a value that f uses more than once
+    found = once(every, lambda e: once(chunks(e), lambda parts: F.flatten(F.zip_with(parts, starts(parts), spans))))
+    return F.when(F.regexp_like(text, F.lit(pattern)), found).otherwise(F.array().cast(SPANS))
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -80,7 +86,7 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def empty_ledger(spark) -> DataFrame:
-    return spark.createDataFrame([], "blob binary, rule_version string, spans array<struct<start:int,ord:int,kind:string,stop:int>>")
+    return spark.createDataFrame([], f"blob binary, rule_version string, spans {SPANS}")
 
 
 def blob_id(text: Column) -> Column:
@@ -103,8 +109,8 @@ def scan_incremental(versions: DataFrame, text: str, ledger: DataFrame | None =
 
 def findings(versions: DataFrame, text: str, ledger: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
     """Joins the ledger's findings back to every version: its columns (without the text) and sc_spans."""
-    # Blobs without findings need no join; one hot blob's versions are split by adaptive execution.
-    hit = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select(F.col("blob").alias("sc_blob"), F.col("spans").alias("sc_spans"))
+    # Blobs without findings need no join; one hot blob's versions are split by adaptive execution. A pair that a ledger has twice is one.
+    hit = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).groupBy(F.col("blob").alias("sc_blob")).agg(F.min("spans").alias("sc_spans"))
     keyed = versions.select(*[c for c in versions.columns if c not in (text, "sc_spans", "sc_key")], blob_id(F.col(text)).alias("sc_key"))
     return keyed.join(hit, F.col("sc_key") == F.col("sc_blob"), "left").drop("sc_key", "sc_blob")
 

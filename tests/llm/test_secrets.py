@@ -49,3 +49,14 @@ def test_ledger_scans_unseen_pairs_only(spark, make):
 
 def test_empty_table(make):
     assert secret_scan(make(["x"]).limit(0)).count() == 0
+
+
+def test_repeated_rows_doubled_ledgers_and_many_matches(spark, make):
+    rows = [(1, "secret=abcdefghijklmnop"), (1, "secret=abcdefghijklmnop"), (None, "secret=abcdefghijklmnop"), (2, None)]
+    assert sorted((str(r["doc_id"]), r["n_assign"]) for r in secret_scan(make(rows)).collect()) == [("1", 1), ("1", 1), ("2", 0), ("None", 1)]
+    ledger = scan_incremental(make(rows), "text")
+    assert secret_scan(make(rows), ledger=ledger.unionAll(ledger)).count() == 4
+    for n in (255, 256, 257, 20_000):
+        text = " ".join(f"token={'abcdefghijklmnop' if i % 3 else 'short'}{i}" for i in range(n))
+        r = secret_scan(make([text])).first()
+        assert (r["n_assign"], r["base_sha256"]) == (brute(text)[0][0], hashlib.sha256(brute(text)[1].encode()).hexdigest())
