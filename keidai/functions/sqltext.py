@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keidai.functions.text import DIGITS, HONORIFICS, LIGATURES, SAME_CHARACTER, UNITS, VARIANTS, WHITE
+from keidai.functions.text import CHARACTERS, DIGITS, HONORIFICS, LIGATURES, SPELLINGS, UNITS, WHITE
 
 
 def _quote(s: str) -> str:
@@ -33,10 +33,9 @@ def _kansuji() -> str:
 
 def _deity_key() -> str:
     s = _trim("s")
-    for pattern, to in (("[（(][^）)]*[）)]", ""), (f"[{WHITE}・･、,。．.]", ""), ("^(主祭神|祭神|本尊|御祭神)[:：]?", ""), *VARIANTS):
+    for pattern, to in (("[（(][^）)]*[）)]", ""), (f"[{WHITE}・･、,。．.]", ""), ("^(主祭神|祭神|本尊|御祭神)[:：]?", ""), *SPELLINGS):
         s = f"regexp_replace({s}, {_quote(pattern)}, '{to}')"
-    kana = "".join(map(chr, range(0x30A1, 0x30F7)))
-    s = f"translate({s}, '{''.join(a for a, _ in SAME_CHARACTER) + kana}', '{''.join(b * len(a) for a, b in SAME_CHARACTER) + ''.join(chr(ord(k) - 0x60) for k in kana)}')"
+    s = f"translate({s}, '{''.join(CHARACTERS)}', '{''.join(CHARACTERS.values())}')"
     return f"regexp_replace({s}, {_quote('^(.+?)(?:' + '|'.join(HONORIFICS) + ')+$')}, '$1')"
 
 

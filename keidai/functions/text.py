@@ -14,12 +14,19 @@ UNITS = {"十": 10, "拾": 10, "百": 100, "佰": 100, "陌": 100, "千": 1000,
 LIGATURES = {"廿": 20, "卄": 20, "卅": 30, "丗": 30, "卌": 40}
 SEATS = "([〇零一二三四五六七八九十百千壱壹弐貳貮参參肆伍陸柒漆捌玖拾佰陌仟阡廿卄卅丗卌0-9〓■]+)座"
 
-# What the key of a deity's name drops or replaces, in order.
-VARIANTS = (("毘古|比古", "彦"), ("毘売|比売|媛", "姫"), ("戔盞", "戔"), ("嗚鳴", "嗚"))
-SAME_CHARACTER = (("國", "国"), ("龍", "竜"), ("櫻", "桜"), ("藝", "芸"), ("燈", "灯"), ("禱祷", "祷"), ("彌", "弥"), ("體", "体"), ("惠", "恵"), ("濱", "浜"), ("劍釼", "剣"), ("甞", "嘗"))
+# What the key of a deity's name drops or replaces, in order; spellings of several characters first.
+VARIANTS = (
+    ("毘古|比古", "彦"), ("毘売|比売|媛", "姫"), ("[戔盞]", "戔"), ("[嗚鳴]", "嗚"), ("[國国]", "国"), ("[龍竜]", "竜"), ("[櫻桜]", "桜"), ("[藝芸]", "芸"), ("[燈灯]", "灯"), ("[禱祷]", "祷"), ("[彌弥]", "弥"), ("[體体]", "体"),
+    ("[惠恵]", "恵"), ("[濱浜]", "浜"), ("[劍剣釼]", "剣"), ("[甞嘗]", "嘗"),
+)
 HONORIFICS = ("大御神", "大明神", "大権現", "大神", "御魂", "命", "尊", "神", "公", "卿", "様", "菩薩", "如来", "明王", "天", "権現")
 
 
+#: Of the variants, those of single characters and the kana, for one pass of translate().
+SPELLINGS = tuple(v for v in VARIANTS if not v[0].startswith("["))
+CHARACTERS = {ch: to for pattern, to in VARIANTS if pattern.startswith("[") for ch in pattern[1:-1] if ch != to} | {chr(k): chr(k - 0x60) for k in range(0x30A1, 0x30F7)}
+
+
 def js_trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{WHITE}]+|[{WHITE}]+$", "")
 
@@ -76,29 +83,43 @@ def deity_key(c: Column) -> Column:
     s = F.regexp_replace(s, "[（(][^）)]*[）)]", "")
     s = F.regexp_replace(s, f"[{WHITE}・･、,。．.]", "")
     s = F.regexp_replace(s, "^(主祭神|祭神|本尊|御祭神)[:：]?", "")
-    for pattern, to in VARIANTS:
+    for pattern, to in SPELLINGS:
         s = F.regexp_replace(s, pattern, to)
-    kana = "".join(map(chr, range(0x30A1, 0x30F7)))
-    s = F.translate(s, "".join(a for a, _ in SAME_CHARACTER) + kana, "".join(b * len(a) for a, b in SAME_CHARACTER) + "".join(chr(ord(k) - 0x60) for k in kana))
+    s = F.translate(s, "".join(CHARACTERS), "".join(CHARACTERS.values()))
     return F.regexp_replace(s, f"^(.+?)(?:{'|'.join(HONORIFICS)})+$", "$1")
 
 
+def js_number(c: Column) -> Column:
+    """A double as JavaScript writes it: 35 for 35.0, plain decimals from a millionth up to 10**21, else with an exponent."""
+    short = c.cast("double").cast("string")
+    plain = F.regexp_replace(F.regexp_replace(short.try_cast("decimal(38,12)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    exponent = F.regexp_replace(F.regexp_replace(short, r"\.0E", "E"), r"E(\d)", "e+$1")
+    size = F.abs(c.cast("double"))
+    return F.when(size == 0, F.lit("0")).when((size >= 1e-6) & (size < 1e21), plain).otherwise(F.replace(exponent, F.lit("E"), F.lit("e")))
+
+
 def unescape_xml(c: Column) -> Column:
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(a), F.lit(b))
     return c
 
 
+# Markup that is dropped or replaced, in order: editors' notes, what else isn't body, annotations of infobox fields.
+SOURCE_NOTES = (
+    (r"\{\{\s*另\s*\|([^|}]*)\|[^}]*\}\}", "$1"),
+    (r"<ref[^>]*/>", ""),
+    (r"(?s)<ref[^>]*>.*?</ref>", ""),
+    (r"(?s)<!--.*?-->", ""),
+    (r"(?i)\{\{\s*(?:page|頁|ページ)[^}]*\}\}", ""),
+    (r"(?m)[ \t]+$", ""),
+)
+BODY = ((r"(?m)^\s*\{\{[^}]*\}\}\s*$", ""), (r"(?i)\[\[Category:[^\]]*\]\]", ""), (r"\[\[分类:[^\]]*\]\]", ""), (r"\n{3,}", "\n\n"))
+ANNOTATIONS = (r"(?s)<!--.*?-->", r"<ref[^>]*/>", r"(?s)<ref[^>]*>.*?</ref>", r"(?s)\{\{efn\|.*?\}\}", r"(?s)\{\{sfn\|.*?\}\}")
+
+
 def strip_source_notes(c: Column) -> Column:
     """Drops editors' notes: of variant readings the first stays; references, comments, page marks and trailing blanks go."""
-    for pattern, to in (
-        (r"\{\{\s*另\s*\|([^|}]*)\|[^}]*\}\}", "$1"),
-        (r"<ref[^>]*/>", ""),
-        (r"(?s)<ref[^>]*>.*?</ref>", ""),
-        (r"(?s)<!--.*?-->", ""),
-        (r"(?i)\{\{\s*(?:page|頁|ページ)[^}]*\}\}", ""),
-        (r"(?m)[ \t]+$", ""),
-    ):
+    for pattern, to in SOURCE_NOTES:
         c = F.regexp_replace(c, pattern, to)
     return c
 
@@ -106,13 +127,13 @@ def strip_source_notes(c: Column) -> Column:
 def body_text(c: Column) -> Column:
     """The notes' removal, then lines of one template only, categories, and runs of empty lines."""
     c = strip_source_notes(c)
-    for pattern, to in ((r"(?m)^\s*\{\{[^}]*\}\}\s*$", ""), (r"(?i)\[\[Category:[^\]]*\]\]", ""), (r"\[\[分类:[^\]]*\]\]", ""), (r"\n{3,}", "\n\n")):
+    for pattern, to in BODY:
         c = F.regexp_replace(c, pattern, to)
     return js_trim(c)
 
 
 def strip_annotations(c: Column) -> Column:
-    for pattern in (r"(?s)<!--.*?-->", r"<ref[^>]*/>", r"(?s)<ref[^>]*>.*?</ref>", r"(?s)\{\{efn\|.*?\}\}", r"(?s)\{\{sfn\|.*?\}\}"):
+    for pattern in ANNOTATIONS:
         c = F.regexp_replace(c, pattern, "")
     return c
 

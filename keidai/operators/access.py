@@ -26,6 +26,12 @@ class Thresholds:
 MODE_ORDER = {"TRAIN_ONLY": 0, "TRAIN_BUS": 1, "CAR_RECOMMENDED": 2, "UNKNOWN": 3, "CAR_ONLY": 4}
 LOAD_ORDER = {"EASY": 0, "MODERATE": 1, "HARD": 2}
 MODE_LABELS = {"TRAIN_ONLY": ("🚃", "電車のみ"), "TRAIN_BUS": ("🚌", "電車＋バス"), "CAR_RECOMMENDED": ("🚗", "車がおすすめ"), "CAR_ONLY": ("🚗", "車が必要"), "UNKNOWN": ("❓", "判定不能")}
+NOT_SURVEYED = "アクセス未調査"
+UNKNOWN_NOTE = "この地域はバスの運行データが公開されていないため、車が必要かどうかを判定できていません。バス停の位置は地図に表示しています。現地の時刻表をご確認ください。"
+HARD_NOTE = "参道の登りがあります。歩きやすい靴をおすすめします。"
+CAR_FREE_LABELS = {True: "車なしで行ける", False: "車が必要"}
+NOT_SURVEYED_LABEL = "未調査"
+HIGH_RELIEF = 30  # metres above what is around
 LOAD_LABELS = {"EASY": "らく", "MODERATE": "ふつう", "HARD": "きつい"}
 
 
@@ -97,14 +103,25 @@ def without_car(mode: Column, include_unknown: bool = False) -> Column:
     return mode.isin(*(["TRAIN_ONLY", "TRAIN_BUS"] + ["UNKNOWN"] * include_unknown))
 
 
+def car_free_label(mode: Column) -> Column:
+    """Whether a site is reached without a car, in words; a null mode is a site not looked at yet."""
+    return F.when(mode.isNull(), F.lit(NOT_SURVEYED_LABEL)).when(without_car(mode), F.lit(CAR_FREE_LABELS[True])).otherwise(F.lit(CAR_FREE_LABELS[False]))
+
+
 def badge(mode: Column, load: Column, minutes: Column, ascent: Column, around: Column) -> Column:
-    """What a list shows of a site's access: icon, label, walk, notices on relief and on hard walks."""
-    walk = F.concat_ws(" / ", F.when(minutes.isNotNull(), F.format_string("徒歩%d分", minutes)), F.when(ascent.isNotNull(), F.concat(F.lit("登り"), F.round(ascent).cast("long").cast("string"), F.lit("m"))))
+    """What a list shows of a site's access: icon, label, load, walk, and the notices that are due. A null mode is a site not looked at yet."""
+    walk = F.concat_ws(" / ", F.when(minutes.isNotNull(), F.format_string("徒歩%d分", minutes)), F.when(ascent.isNotNull(), F.concat(F.lit("登り"), F.floor(ascent + 0.5).cast("string"), F.lit("m"))))
+    notes = F.array_compact(
+        F.array(
+            F.when(mode == "UNKNOWN", F.lit(UNKNOWN_NOTE)),
+            F.when(load == "HARD", F.lit(HARD_NOTE)),
+            F.when(around >= HIGH_RELIEF, F.format_string("周辺より約%dm 高い場所にあります。", F.floor(around + 0.5))),
+        )
+    )
     return F.struct(
-        label(mode, {k: v[0] for k, v in MODE_LABELS.items()}).alias("icon"),
-        label(mode, {k: v[1] for k, v in MODE_LABELS.items()}).alias("label"),
-        label(load, LOAD_LABELS).alias("load"),
+        F.coalesce(label(mode, {k: v[0] for k, v in MODE_LABELS.items()}), F.lit("❓")).alias("icon"),
+        F.coalesce(label(mode, {k: v[1] for k, v in MODE_LABELS.items()}), F.lit(NOT_SURVEYED)).alias("label"),
+        F.concat(F.lit("徒歩"), label(load, LOAD_LABELS)).alias("load"),
         walk.alias("walk"),
-        F.coalesce(around >= 30, F.lit(False)).alias("hilly"),
-        (load == "HARD").alias("hard"),
+        notes.alias("notes"),
     )

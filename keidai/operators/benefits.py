@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keidai.functions.joins import small_side
+
 # Fixed values.
-DISCLAIMER = "ご利益は信仰上のいわれであり、効果を保証するものではありません。"
-CONFIDENCE_LABELS = {"official": "公式", "derived": "推定", "unverified": "未確認"}
+DISCLAIMER = "本サイトのご利益分類は、祭神・本尊に関する一般的な言説にもとづく参考情報です。正式なご祈祷の内容は各社寺の公式情報をご確認ください。"
+CONFIDENCE_LABELS = {"official": "公式サイト記載", "derived": "祭神・本尊からの推定", "unknown": "未確認"}
+NO_BENEFIT_NOTICE = "この社寺のご利益は、祭神・本尊からは特定できていません。文化財指定・札所・御朱印の情報をご覧ください。"
 
 
 def derive(deities: DataFrame, mapping: DataFrame, taxonomy: DataFrame, include_secondary: bool = True) -> DataFrame:
@@ -21,7 +24,10 @@ def derive(deities: DataFrame, mapping: DataFrame, taxonomy: DataFrame, include_
     if not include_secondary:
         rules = rules.where(F.col("weight") == "primary")
     rules = rules.select(F.col("cluster").alias("m_cluster"), "benefit", "weight", "weight_rank", F.col("pos").alias("list_pos"))
-    joined = deities.join(rules, F.col("cluster_id") == F.col("m_cluster")).join(taxonomy.select(F.col("benefit").alias("t_benefit"), "major"), F.col("benefit") == F.col("t_benefit"))
+    rules = small_side(rules.join(taxonomy.select(F.col("benefit").alias("t_benefit"), "major"), F.col("benefit") == F.col("t_benefit")))
+    # Of a site's deities of one cluster only the first matters, so they are one row before each becomes as many as its cluster has benefits.
+    first = deities.where(F.col("cluster_id").isNotNull()).groupBy("site_id", "cluster_id").agg(F.min(F.struct("pos", "display")).alias("d")).select("site_id", "cluster_id", "d.pos", "d.display")
+    joined = first.join(rules, F.col("cluster_id") == F.col("m_cluster"))
     reason = F.struct("weight", "display", "cluster_id", "major")
     picked = joined.groupBy("site_id", "benefit").agg(
         F.min_by(reason, F.struct("weight_rank", "pos", "list_pos", "display")).alias("r"), F.min(F.struct("pos", "weight_rank", "list_pos")).alias("ord")
@@ -103,6 +109,15 @@ def explain(benefit: Column, label: Column, confidence: Column, deity: Column) -
     )
 
 
+def confidence_badge(confidence: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in CONFIDENCE_LABELS.items() for x in kv]), confidence)
+
+
+def benefit_notice(primary: Column, secondary: Column) -> Column:
+    """The notice for a site without benefits, else null."""
+    return F.when((F.coalesce(F.size(primary), F.lit(0)) <= 0) & (F.coalesce(F.size(secondary), F.lit(0)) <= 0), F.lit(NO_BENEFIT_NOTICE))
+
+
 def benefit_list(benefits: DataFrame) -> DataFrame:
     """A row a site: benefit ids that are primary and secondary, and whether a notice is due as there are none."""
     ids = lambda w: F.sort_array(F.collect_list(F.when(F.col("weight") == w, F.col("benefit_id"))))

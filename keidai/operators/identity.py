@@ -28,7 +28,9 @@ def resolve(rows: DataFrame, by_qid: DataFrame, by_link: DataFrame, by_name: Dat
     keyed = rows.withColumns({"k_qid": present(qid), "k_link": present(link), "k_name": present(name)})
     for i, (k, index) in enumerate((("k_qid", by_qid), ("k_link", by_link), ("k_name", by_name))):
         side = index.select(F.col("key").alias(f"i{i}"), F.col("cluster").alias(f"c{i}"))
-        keyed = keyed.join(side, F.col(k) == F.col(f"i{i}"), "left")
+        # Rows without a key get one of their own, which no index has: else all of them would be shuffled to one task.
+        spread = F.when(F.col(k).isNull(), F.concat(F.lit("\u0000"), F.xxhash64(*rows.columns).cast("string"))).otherwise(F.col(k))
+        keyed = keyed.withColumn(k, spread).join(side, F.col(k) == F.col(f"i{i}"), "left")
     by = F.when(F.col("c0").isNotNull(), "qid").when(F.col("c1").isNotNull(), "linkTarget").when(F.col("c2").isNotNull(), "alias")
     return keyed.select(*rows.columns, F.coalesce("c0", "c1", "c2").alias("cluster_id"), by.alias("matched_by"))
 

@@ -75,6 +75,12 @@ def classified(lines: DataFrame) -> DataFrame:
     return out.withColumnsRenamed({"outer": "province", "inner": "district"})
 
 
+def unparsed_sample(lines: DataFrame, most: int = 20) -> DataFrame:
+    """n, volume, line_no, line: the first unparsed lines in reading order, each with the number of all of them."""
+    rows = classified(lines).where("kind = 'unparsed'").select("volume", "line_no", "line")
+    return rows.agg(F.count(F.lit(1)).alias("n")).crossJoin(rows.orderBy("volume", "line_no").limit(most))  # one row with a few
+
+
 def shrines(lines: DataFrame) -> DataFrame:
     """A row for each shrine line: name, headings, what its note states, raw line and note, and defects. Unparsed lines are kept in classified()."""
     rows = classified(lines).where("kind = 'shrine'").withColumn("a", note_attributes(F.col("split.note")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keidai.plans import fixture_queries, table_queries
+from keidai.plans import fixture_queries, table_queries, text_queries
 
-QUERIES: dict = {**table_queries.QUERIES, **fixture_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**table_queries.SQL, **fixture_queries.SQL}
+QUERIES: dict = {**table_queries.QUERIES, **text_queries.QUERIES, **fixture_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**table_queries.SQL, **text_queries.SQL, **fixture_queries.SQL}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from keidai.functions import geo, text
 from keidai.operators import access, benefits, display, etiquette, gaps, identity, registry, wikitext
-from keidai.sources import dumps, masters
+from keidai.sources import dumps, masters, samples
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -37,10 +37,10 @@ def query(types: str, *expected: tuple):
 @query(
     "name VARCHAR, key VARCHAR",
     ("天照皇大神", "天照皇"), ("天照大神", "天照"), ("大国主（大己貴）", "大国主"), ("底 筒 男 命", "底筒男"), ("命", "命"), ("素戔嗚尊", "素戔嗚"), ("金山毘古命", "金山彦"), ("金山彦命", "金山彦"),
-    ("主祭神：イチキシマヒメ", "いちきしまひめ"), ("市杵島比売命", "市杵島姫"),
+    ("主祭神：イチキシマヒメ", "いちきしまひめ"), ("市杵島比売命", "市杵島姫"), ("素盞鳴命", "素戔嗚"), ("大国主命", "大国主"), ("天照大御神", "天照"), ("大國主", "大国主"), ("釼神社媛", "剣神社姫"),
 )
 def deity_normalize(spark, sf_dir):
-    names = ["天照皇大神", "天照大神", "大国主（大己貴）", "底 筒 男 命", "命", "素戔嗚尊", "金山毘古命", "金山彦命", "主祭神：イチキシマヒメ", "市杵島比売命"]
+    names = ["天照皇大神", "天照大神", "大国主（大己貴）", "底 筒 男 命", "命", "素戔嗚尊", "金山毘古命", "金山彦命", "主祭神：イチキシマヒメ", "市杵島比売命", "素盞鳴命", "大国主命", "天照大御神", "大國主", "釼神社媛"]
     return spark.createDataFrame([(n,) for n in names], "name string").select("name", text.deity_key(F.col("name")).alias("key"))
 
 
@@ -253,11 +253,11 @@ def gaps_report_rows(spark, sf_dir):
 @query(
     "id INTEGER, map VARCHAR, directions VARCHAR, course VARCHAR",
     (1, "https://www.google.com/maps/search/?api=1&query=35.5,139.25", "https://www.google.com/maps/dir/?api=1&destination=35.5,139.25&travelmode=transit",
-     "https://www.google.com/maps/dir/?api=1&origin=35.5%2C139.25&destination=35.0%2C139.0&travelmode=transit&waypoints=34.0%2C138.0%7C33.0%2C137.0"),
-    (2, "https://www.google.com/maps/search/?api=1&query=1.0,2.0", "https://www.google.com/maps/dir/?api=1&destination=1.0,2.0&travelmode=transit", None),
+     "https://www.google.com/maps/dir/?api=1&origin=35.5%2C139.25&destination=35%2C139&travelmode=transit&waypoints=34%2C138%7C-33.125%2C0.00001"),
+    (2, "https://www.google.com/maps/search/?api=1&query=1,-2", "https://www.google.com/maps/dir/?api=1&destination=1,-2&travelmode=transit", None),
 )
 def map_links(spark, sf_dir):
-    rows = [(1, [(35.5, 139.25), (34.0, 138.0), (33.0, 137.0), (35.0, 139.0)]), (2, [(1.0, 2.0)])]
+    rows = [(1, [(35.5, 139.25), (34.0, 138.0), (-33.125, 0.00001), (35.0, 139.0)]), (2, [(1.0, -2.0)])]
     df = spark.createDataFrame(rows, "id int, points array<struct<lat:double,lng:double>>")
     first = F.get(F.col("points"), F.lit(0))
     return df.select("id", display.map_url(first["lat"], first["lng"]).alias("map"), display.directions_url(first["lat"], first["lng"]).alias("directions"), display.course_url(F.col("points")).alias("course"))
@@ -303,17 +303,63 @@ def group_names(spark, sf_dir):
     return display.group_names(members, groups).select("site_id", "shown")
 
 
-@query("site_id VARCHAR, shown VARCHAR", ("a", "授与: あり,書き方: 直書き,初穂料: 500,時間: 9:00〜16:00"), ("b", "授与: 不明"))
-def goshuin_rows(spark, sf_dir):
-    schema = "site_id string, goshuin_available string, write_style string, mail_order string, fee int, hours struct<`from`:string,to:string>"
-    df = spark.createDataFrame([("a", "yes", "直書き", None, 500, ("9:00", "16:00")), ("b", None, None, None, None, None)], schema)
-    return display.goshuin_rows(df).select("site_id", F.array_join("shown", ",").alias("shown"))
+@query(
+    "site_id VARCHAR, title VARCHAR, shown VARCHAR, notes VARCHAR",
+    ("a", "御朱印の授与があります", "受付時間=09:00〜16:00|昼休み=12:00〜13:00|書き方=直書き・書き置きの両方|初穂料=300円", "※参拝時間と御朱印の受付時間は別です。御朱印のほうが早く終わることがあります。"),
+    ("b", "御朱印の授与があります", "書き方=書き置きのみ|授与所=無人（不在の場合があります）|郵送=対応あり", "限定|宗派"),
+    ("c", "御朱印の授与はありません", "", "宗派"),
+    ("d", "御朱印の有無は確認できていません", "", "宗派|無人の社寺では授与所が無く、いただけない場合があります。"),
+    ("e", "御朱印の情報はまだ調べていません。", "", ""),
+)
+def goshuin_panels(spark, sf_dir):
+    span = "struct<`from`:string,to:string>"
+    schema = f"site_id string, goshuin struct<available:string,hours:{span},lunch_break:{span},write_style:string,fee:double,unmanned:boolean,mail_order:string,limited_note:string,denomination_note:string>"
+    rows = [
+        ("a", ("yes", ("09:00", "16:00"), ("12:00", "13:00"), "both", 300.0, False, "no", None, "")), ("b", ("yes", None, None, "paper", None, True, "yes", "限定", "宗派")),
+        ("c", ("no", None, None, "direct", 300.0, None, None, None, "宗派")), ("d", ("unknown", None, None, "unknown", None, None, None, None, "宗派")), ("e", None),
+    ]
+    out = display.goshuin_panel(spark.createDataFrame(rows, schema))
+    return out.select("site_id", "title", F.array_join(F.transform("rows", lambda r: F.concat_ws("=", r["name"], r["value"])), "|").alias("shown"), F.array_join("notes", "|").alias("notes"))
+
+
+@query("date VARCHAR, shown VARCHAR", ("2026-08-01", "2026-08-01 時点の情報"), ("2026-01-31", "2026-01-31 時点の情報（8ヶ月前。変更されている可能性があります）"), ("いつか", "いつか 時点の情報"), (None, None))
+def verified_notes(spark, sf_dir):
+    df = spark.createDataFrame([("2026-08-01",), ("2026-01-31",), ("いつか",), (None,)], "date string")
+    return df.select("date", display.verified_note(F.col("date"), F.to_date(F.lit("2026-09-01"))).alias("shown"))
 
 
-@query("id INTEGER, badge VARCHAR", (1, "一次史料・PD"), (2, "研究・解説（OCRのため誤字を含む可能性があります）"))
+@query(
+    "id INTEGER, badge VARCHAR, note VARCHAR",
+    (1, "一次史料", "（原文はパブリックドメイン）"), (2, "読み下し・現代語", "（CC BY-SA 4.0）※OCRテキストのため誤りを含む場合があります"), (3, "近代の記録", "（原文はPD／注は CC BY-SA 4.0）"), (4, "一次史料", ""),
+)
 def citation_badges(spark, sf_dir):
-    df = spark.createDataFrame([(1, 1, "PD", False), (2, 2, None, True)], "id int, layer int, rights string, ocr boolean")
-    return df.select("id", display.layer_badge(F.col("layer"), F.col("rights"), F.col("ocr")).alias("badge"))
+    rows = [(1, 1, "PD", False), (2, 2, "CC-BY-SA-4.0", True), (3, 3, "PD+CC-BY-SA-4.0", None), (4, 1, None, False)]
+    df = spark.createDataFrame(rows, "id int, layer int, rights string, ocr boolean")
+    return df.select("id", display.layer_badge(F.col("layer")).alias("badge"), display.rights_note(F.col("rights"), F.col("ocr")).alias("note"))
+
+
+@query("confidence VARCHAR, badge VARCHAR", ("official", "公式サイト記載"), ("derived", "祭神・本尊からの推定"), ("unknown", "未確認"))
+def confidence_badges(spark, sf_dir):
+    return spark.createDataFrame([("official",), ("derived",), ("unknown",)], "confidence string").select("confidence", benefits.confidence_badge(F.col("confidence")).alias("badge"))
+
+
+@query("id INTEGER, notice VARCHAR", (1, None), (2, "この社寺のご利益は、祭神・本尊からは特定できていません。文化財指定・札所・御朱印の情報をご覧ください。"), (3, None))
+def benefit_notices(spark, sf_dir):
+    df = spark.createDataFrame([(1, ["a"], []), (2, [], []), (3, [], ["b"])], "id int, primary_ids array<string>, secondary_ids array<string>")
+    return df.select("id", benefits.benefit_notice(F.col("primary_ids"), F.col("secondary_ids")).alias("notice"))
+
+
+@query(
+    "id INTEGER, icon VARCHAR, label VARCHAR, load VARCHAR, walk VARCHAR, notes VARCHAR, car_free VARCHAR",
+    (1, "🚃", "電車のみ", "徒歩らく", "徒歩12分 / 登り5m", "", "車なしで行ける"),
+    (2, "❓", "判定不能", "徒歩きつい", "徒歩40分", "この地域はバスの運行データが公開されていないため、車が必要かどうかを判定できていません。バス停の位置は地図に表示しています。現地の時刻表をご確認ください。|参道の登りがあります。歩きやすい靴をおすすめします。|周辺より約31m 高い場所にあります。", "車が必要"),
+    (3, "❓", "アクセス未調査", None, "", "", "未調査"),
+)
+def access_badges(spark, sf_dir):
+    rows = [(1, "TRAIN_ONLY", "EASY", 12, 4.5, 29.9), (2, "UNKNOWN", "HARD", 40, None, 30.5), (3, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, mode string, load string, minutes int, ascent double, around double")
+    b = access.badge(F.col("mode"), F.col("load"), F.col("minutes"), F.col("ascent"), F.col("around"))
+    return df.select("id", b.alias("b"), access.car_free_label(F.col("mode")).alias("car_free")).select("id", "b.icon", "b.label", "b.load", "b.walk", F.array_join("b.notes", "|").alias("notes"), "car_free")
 
 
 @query("site_id VARCHAR, text VARCHAR", ("a", "x"))
@@ -332,14 +378,54 @@ MASTER = {
 
 
 @query(
-    "rule VARCHAR, severity VARCHAR, n BIGINT",
-    ("V1", "error", 1), ("V2", "error", 1), ("V3", "error", 1), ("V4", "error", 1), ("V5", "warning", 1), ("V5b", "warning", 1), ("V6", "error", 1), ("V7", "error", 1), ("V8", "error", 2), ("V9", "error", 1),
-    ("V10", "warning", 1), ("V11", "warning", 1), ("V12", "warning", 1), ("V13", "error", 1), ("V14", "warning", 1), ("V15", "warning", 1), ("V16", "error", 2), ("V17", "warning", 2),
-)
+    "rule VARCHAR, severity VARCHAR, file VARCHAR, message VARCHAR",
+    ("V1", "error", "benefits.yaml", '未知の大分類ID "odd"。許可されるのは enmusubi, shoubai, gakugyou, kenkou, yakuyoke, anzan, koutsuu, shoubu, kanai, nariwai'),
+    ("V2", "error", "benefits.yaml", '細分類ID "love" が重複しています'),
+    ("V3", "error", "benefits.yaml", "大分類が欠けています: nariwai"),
+    ("V4", "error", "deity_clusters.yaml", 'クラスタID "a" が重複しています'),
+    ("V5", "warning", "deity_clusters.yaml", '別名 "共有" が a と b の両方にあります。先に定義された a が優先されます'),
+    ("V5b", "warning", "deity_clusters.yaml", '別名 "甲" の正規形が a と重なります'),
+    ("V6", "error", "cluster_benefits.yaml", 'クラスタ "zz" が deity_clusters.yaml に存在しません'),
+    ("V7", "error", "cluster_benefits.yaml", 'クラスタ "b" の割り当てが重複しています'),
+    ("V8", "error", "cluster_benefits.yaml", 'a.primary の御利益ID "love2" が benefits.yaml に存在しません'),
+    ("V8", "error", "cluster_benefits.yaml", 'b.secondary の御利益ID "lost" が benefits.yaml に存在しません'),
+    ("V9", "error", "cluster_benefits.yaml", 'a: "love" が primary と secondary の両方にあります'),
+    ("V10", "warning", "cluster_benefits.yaml", "a: primary が 3 件あります。設計方針は「1〜2個だけ」です"),
+    ("V11", "warning", "cluster_benefits.yaml", "b: primary が空です。検索に一切出てきません"),
+    ("V12", "warning", "deity_clusters.yaml", 'クラスタ "c" に御利益の割り当てがありません。この祭神からは何も導出されません'),
+    ("V13", "error", "etiquette_overrides.yaml", "社: source_type が official なのに source_url がありません"),
+    ("V14", "warning", "etiquette_overrides.yaml", "宮: source_url があるのに pending のままです。official に昇格させてください"),
+    ("V15", "warning", "etiquette_overrides.yaml", "宮: 一次情報の裏取りが未了です（四拍手 は表示されません）"),
+    ("V16", "error", "pilgrimage_groups.yaml", 'グループID "g" が重複しています'),
+    ("V16", "error", "pilgrimage_groups.yaml", 'h: 未知の kind "odd"'),
+    ("V17", "warning", "pilgrimage_groups.yaml", "g: numbered なのに total_count がありません。収録率を管理できません"),
+    ("V17", "warning", "pilgrimage_groups.yaml", "g: kind が sandai です。諸説あるなら disputed: true を付けてください"),
+)
 def master_issues(spark, sf_dir):
-    return masters.validate(masters.tables(spark, MASTER)).groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
+    return masters.validate(masters.tables(spark, MASTER))
 
 
-@query("condition VARCHAR, n BIGINT", ("rank IN ('myojin_tai', 'tai', 'sho')", 0), ("offering IN ('kanpei', 'kokuhei')", 0), ("raw_note IS NOT NULL", 0))
+@query("condition VARCHAR, n BIGINT", *[(c, 0) for c in masters.conditions("shikinai_record")])
 def schema_checks(spark, sf_dir):
     return masters.violations(registry.shrines(registry_lines(spark)), "shikinai_record")
+
+
+@query("name VARCHAR, key VARCHAR, kind VARCHAR, n BIGINT", ("site", "id", "primary", 1), ("site_benefit", "benefit_id", "foreign", 2), ("site_lore", "site_id", "foreign", 1))
+def schema_keys(spark, sf_dir):
+    t = {
+        "site": spark.createDataFrame([("a",), ("a",), ("b",)], "id string"),
+        "benefit": spark.createDataFrame([("x",)], "id string"),
+        "site_benefit": spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "y")], "site_id string, benefit_id string"),
+        "site_lore": spark.createDataFrame([("a", None), ("c", "x")], "site_id string, benefit_id string"),
+    }
+    return masters.key_violations(t)
+
+
+@query("n BIGINT, volume VARCHAR, line_no INTEGER, line VARCHAR", (1, "v9", 0, "巻頭の注記"))
+def unparsed_lines(spark, sf_dir):
+    return registry.unparsed_sample(registry_lines(spark), 5)
+
+
+@query("id VARCHAR, name VARCHAR, n_groups INTEGER", ("kawa-no-yashiro", "川の社", 1))
+def sample_site(spark, sf_dir):
+    return samples.find_site(samples.sample_sites(spark), "kawa-no-yashiro").select("id", "name", F.size("groups").alias("n_groups"))

@@ -454,8 +454,8 @@ def citations_sorted(spark, sf_dir):
     return display.citations(links, sources).select("site_id", "pos", "source_id", "layer", "s_name")
 
 
-@query("""SELECT p_partkey AS site_id, u.flag, u.ok FROM (SELECT p_partkey, unnest([{'flag': 'dq_deity', 'ok': p_size > 10}, {'flag': 'dq_benefit', 'ok': p_size > 20}, {'flag': 'dq_access', 'ok': p_size > 30},
-{'flag': 'dq_etiquette', 'ok': p_size > 40}, {'flag': 'dq_goshuin', 'ok': p_size > 45}]) AS u FROM part)""")
+@query("""SELECT p_partkey AS site_id, u.flag, u.ok FROM (SELECT p_partkey, unnest([{'flag': 'dq_benefit', 'ok': p_size > 10}, {'flag': 'dq_etiquette', 'ok': p_size > 20}, {'flag': 'dq_goshuin', 'ok': p_size > 30},
+{'flag': 'dq_access', 'ok': p_size > 40}, {'flag': 'dq_citation', 'ok': p_size > 45}]) AS u FROM part)""")
 def quality_flags(spark, sf_dir):
     sizes = dict(zip(display.QUALITY_FLAGS, (10, 20, 30, 40, 45)))
     return display.quality_flags(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("site_id"), *[(F.col("p_size") > n).alias(f) for f, n in sizes.items()]))

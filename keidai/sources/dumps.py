@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keidai.functions.text import encode_component, file_name, js_trim
+from keidai.functions.text import body_text, encode_component, file_name, js_trim
 
 # Titles by work.
 CLASSICAL_TITLES = {
@@ -98,6 +98,17 @@ def read_pageviews(spark: SparkSession, path: str, titles: DataFrame, year: int,
     return scan_pageviews(spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), "value"), titles, year, month, agg)
 
 
+def accumulate_months(spark: SparkSession, dump_files: list[tuple[str, int, int]], titles: DataFrame, agg: str = "last") -> DataFrame:
+    """title, year, month, views over several monthly dumps (path, year, month): each is scanned on its own, so a title has a row for each dump that names it."""
+    if not dump_files:
+        return spark.createDataFrame([], "title string, year int, month int, views double")
+    parts = [read_pageviews(spark, path, titles, year, month, agg) for path, year, month in dump_files]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def month_range(y1: Column, m1: Column, y2: Column, m2: Column) -> Column:
     """Struct start, end: YYYYMM0100 of two months."""
     stamp = lambda y, m: F.format_string("%d%02d0100", y, m)
@@ -151,8 +162,45 @@ def missing_titles(wanted: DataFrame, found: DataFrame) -> DataFrame:
     return wanted.select("title").distinct().join(found.select("title"), "title", "left_anti")
 
 
-def write_pages(pages: DataFrame, path: str) -> DataFrame:
-    """Writes pages as JSON with a file-safe name each, and returns the manifest (title, file, bytes)."""
-    named = pages.withColumn("file", F.concat(file_name(F.col("title")), F.lit(".txt")))
-    named.write.mode("overwrite").json(path)
-    return named.select("title", "file", "bytes")
+# What the outputs say of themselves.
+EXTRACT_META = {"source": "zh.wikisource dump", "rights": "原文はパブリックドメイン。校勘注は CC BY-SA 4.0", "note": ".raw.txt は校勘注つきの原データ、.txt は注を落とした本文"}
+REGISTRY_META = {"source": "延喜式 巻第九・巻第十（神名帳）", "sourceUrl": "https://zh.wikisource.org/wiki/延喜式/卷第九", "rights": "原文はパブリックドメイン"}
+PRIORITY_META = {"note": "★収録優先度は内部の作業順。D1 の公開テーブルにも API にも載せないこと", "source": "Wikipedia pageviews (CC0)"}
+
+
+def write_meta(spark: SparkSession, meta: dict[str, str], path: str, stats: DataFrame | None = None) -> None:
+    """One JSON row that says what an output is, with the columns of a one-row table of figures."""
+    row = spark.range(1).select(F.current_timestamp().alias("generatedAt"), *[F.lit(v).alias(k) for k, v in meta.items()])
+    (row if stats is None else row.crossJoin(stats)).write.mode("overwrite").json(path)
+
+
+def write_pages(pages: DataFrame, path: str, wanted: DataFrame | None = None) -> DataFrame:
+    """Writes pages (title, text, bytes) as JSON under `path`/pages with a file-safe name, the raw text and the body without notes each; returns the manifest.
+
+    The manifest (title, file, bytes, found) is written to `path`/manifest; wanted titles that no page has are in it with found false.
+    """
+    named = pages.withColumns({"file": F.concat(file_name(F.col("title")), F.lit(".txt")), "body": body_text(F.col("text"))})
+    named.write.mode("overwrite").json(f"{path}/pages")
+    manifest = named.select("title", "file", "bytes", F.lit(True).alias("found"))
+    if wanted is not None:
+        gone = missing_titles(wanted, pages)
+        manifest = manifest.unionByName(gone.select("title", F.lit(None).cast("string").alias("file"), F.lit(None).cast("long").alias("bytes"), F.lit(False).alias("found")))
+    manifest.write.mode("overwrite").json(f"{path}/manifest")
+    write_meta(pages.sparkSession, EXTRACT_META, f"{path}/meta")
+    return manifest
+
+
+def write_registry(shrines: DataFrame, unparsed: DataFrame, stats: DataFrame, path: str) -> None:
+    """The registry as JSON: shrines with the sentence of their facts, lines that weren't parsed, and figures with what the source is."""
+    from keidai.operators.registry import describe
+
+    shrines.withColumn("description", describe()).write.mode("overwrite").json(f"{path}/shrines")
+    unparsed.write.mode("overwrite").json(f"{path}/unparsed")
+    write_meta(shrines.sparkSession, REGISTRY_META, f"{path}/meta", stats)
+
+
+def write_priorities(priorities: DataFrame, path: str, year: int, month: int, base_months: tuple[int, ...] = (3, 4, 6, 7)) -> None:
+    """Priorities as JSON, with the note that they are internal, the base months and the month that was left out as it isn't over."""
+    priorities.write.mode("overwrite").json(f"{path}/priorities")
+    meta = {**PRIORITY_META, "baseMonths": ",".join(map(str, base_months)), "excludedCurrentMonth": f"{year}-{month}"}
+    write_meta(priorities.sparkSession, meta, f"{path}/meta")

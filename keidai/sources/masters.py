@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,7 +68,7 @@ def tables(spark: SparkSession, rows: dict[str, list[tuple]]) -> dict[str, DataF
 
 
 def issue(df: DataFrame, rule: str, severity: str, file: str, message: Column) -> DataFrame:
-    return df.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(file).alias("file"), message.alias("message"))
+    return df.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(f"{file}.yaml").alias("file"), message.alias("message"))
 
 
 def repeated(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -99,25 +100,25 @@ def validate(t: dict[str, DataFrame]) -> DataFrame:
     sourced = F.coalesce("source_url", F.lit("")) != ""
     missing = known.join(t["majors"].select("id"), "id", "left_anti").agg(F.sort_array(F.collect_list(F.struct("major_ord", "id"))).alias("m")).where(F.size("m") > 0)
     found = [
-        issue(t["majors"].where(~c("id").isin(*MAJORS)), "V1", "error", "benefits", q('未知の大分類ID "', c("id"), '"')),
+        issue(t["majors"].where(~c("id").isin(*MAJORS)), "V1", "error", "benefits", q('未知の大分類ID "', c("id"), '"。許可されるのは ' + ", ".join(MAJORS))),
         issue(repeated(minors, "id", "ord"), "V2", "error", "benefits", q('細分類ID "', c("id"), '" が重複しています')),
         issue(missing, "V3", "error", "benefits", q("大分類が欠けています: ", F.array_join(F.transform("m", lambda x: x["id"]), ", "))),
         issue(repeated(t["clusters"], "id", "ord"), "V4", "error", "deity_clusters", q('クラスタID "', c("id"), '" が重複しています')),
-        issue(shared(c("alias")), "V5", "warning", "deity_clusters", q('別名 "', c("alias"), '" が ', c("owner"), " と ", c("id"), " の両方にあります")),
+        issue(shared(c("alias")), "V5", "warning", "deity_clusters", q('別名 "', c("alias"), '" が ', c("owner"), " と ", c("id"), " の両方にあります。先に定義された ", c("owner"), " が優先されます")),
         issue(shared(deity_key(c("alias"))).where("alias <> owner_alias"), "V5b", "warning", "deity_clusters", q('別名 "', c("alias"), '" の正規形が ', c("owner"), " と重なります")),
-        issue(absent(t["mappings"], "cluster", t["clusters"], "id"), "V6", "error", "cluster_benefits", q('クラスタ "', c("cluster"), '" が存在しません')),
+        issue(absent(t["mappings"], "cluster", t["clusters"], "id"), "V6", "error", "cluster_benefits", q('クラスタ "', c("cluster"), '" が deity_clusters.yaml に存在しません')),
         issue(repeated(t["mappings"], "cluster", "ord"), "V7", "error", "cluster_benefits", q('クラスタ "', c("cluster"), '" の割り当てが重複しています')),
-        issue(absent(used, "benefit", minors, "id"), "V8", "error", "cluster_benefits", q(c("cluster"), ".", c("kind"), ' の御利益ID "', c("benefit"), '" が存在しません')),
+        issue(absent(used, "benefit", minors, "id"), "V8", "error", "cluster_benefits", q(c("cluster"), ".", c("kind"), ' の御利益ID "', c("benefit"), '" が benefits.yaml に存在しません')),
         issue(t["mappings"].select("cluster", F.explode(F.array_intersect("primary", "secondary")).alias("b")), "V9", "error", "cluster_benefits", q(c("cluster"), ': "', c("b"), '" が primary と secondary の両方にあります')),
-        issue(no_policy.where(F.size("primary") > 2), "V10", "warning", "cluster_benefits", q(c("cluster"), ": primary が ", F.size("primary").cast("string"), " 件あります")),
-        issue(no_policy.where(F.size("primary") == 0), "V11", "warning", "cluster_benefits", q(c("cluster"), ": primary が空です")),
-        issue(absent(t["clusters"], "id", t["mappings"], "cluster"), "V12", "warning", "deity_clusters", q('クラスタ "', c("id"), '" に御利益の割り当てがありません')),
+        issue(no_policy.where(F.size("primary") > 2), "V10", "warning", "cluster_benefits", q(c("cluster"), ": primary が ", F.size("primary").cast("string"), " 件あります。設計方針は「1〜2個だけ」です")),
+        issue(no_policy.where(F.size("primary") == 0), "V11", "warning", "cluster_benefits", q(c("cluster"), ": primary が空です。検索に一切出てきません")),
+        issue(absent(t["clusters"], "id", t["mappings"], "cluster"), "V12", "warning", "deity_clusters", q('クラスタ "', c("id"), '" に御利益の割り当てがありません。この祭神からは何も導出されません')),
         issue(t["overrides"].where((c("source_type") == "official") & ~sourced), "V13", "error", "etiquette_overrides", q(c("name"), ": source_type が official なのに source_url がありません")),
-        issue(t["overrides"].where((c("source_type") == "pending") & sourced), "V14", "warning", "etiquette_overrides", q(c("name"), ": source_url があるのに pending のままです")),
+        issue(t["overrides"].where((c("source_type") == "pending") & sourced), "V14", "warning", "etiquette_overrides", q(c("name"), ": source_url があるのに pending のままです。official に昇格させてください")),
         issue(t["overrides"].where("status = 'PENDING_VERIFICATION'"), "V15", "warning", "etiquette_overrides", q(c("name"), ": 一次情報の裏取りが未了です（", c("label"), " は表示されません）")),
         issue(repeated(t["groups"], "id", "ord"), "V16", "error", "pilgrimage_groups", q('グループID "', c("id"), '" が重複しています')),
         issue(t["groups"].where(~c("kind").isin(*PILGRIMAGE_KINDS)), "V16", "error", "pilgrimage_groups", q(c("id"), ': 未知の kind "', c("kind"), '"')),
-        issue(t["groups"].where(c("numbered") & c("total_count").isNull()), "V17", "warning", "pilgrimage_groups", q(c("id"), ": numbered なのに total_count がありません")),
+        issue(t["groups"].where(c("numbered") & c("total_count").isNull()), "V17", "warning", "pilgrimage_groups", q(c("id"), ": numbered なのに total_count がありません。収録率を管理できません")),
         issue(t["groups"].where((c("kind") == "sandai") & ~c("disputed")), "V17", "warning", "pilgrimage_groups", q(c("id"), ": kind が sandai です。諸説あるなら disputed: true を付けてください")),
     ]
     out = found[0]
@@ -188,18 +189,66 @@ def check(df: DataFrame, condition: Column) -> DataFrame:
     return df.where(~F.coalesce(condition, F.lit(True)))
 
 
-#: CHECK conditions of the schema's tables.
+# The relational schema's constraints, table by table.
+PRIMARY_KEYS = {
+    "site": ["id"], "deity_cluster": ["id"], "site_deity": ["site_id", "display"], "benefit": ["id"], "cluster_benefit": ["cluster_id", "benefit_id"], "site_benefit": ["site_id", "benefit_id"], "etiquette": ["site_id"],
+    "goshuin": ["site_id"], "access": ["site_id"], "classical_source": ["id"], "site_citation": ["site_id", "classical_source_id", "layer"], "shikinai_record": ["province", "district", "shrine_name"],
+    "pilgrimage_group": ["id"], "site_group": ["site_id", "group_id"], "wish_tally": ["site_id", "benefit_id"], "area": ["id"],
+}
+FOREIGN_KEYS = {
+    "site_deity": {"site_id": "site", "cluster_id": "deity_cluster"}, "cluster_benefit": {"cluster_id": "deity_cluster", "benefit_id": "benefit"}, "site_benefit": {"site_id": "site", "benefit_id": "benefit"},
+    "etiquette": {"site_id": "site"}, "goshuin": {"site_id": "site"}, "access": {"site_id": "site"}, "site_citation": {"site_id": "site", "classical_source_id": "classical_source", "benefit_id": "benefit"},
+    "shikinai_record": {"site_id": "site"}, "shinkai": {"site_id": "site"}, "site_lore": {"site_id": "site", "benefit_id": "benefit"}, "site_group": {"site_id": "site", "group_id": "pilgrimage_group"},
+    "wish_tally": {"site_id": "site", "benefit_id": "benefit"},
+}
+NOT_NULL = {
+    "site": "name type prefecture_code lat lng ranks updated_at", "deity_cluster": "label religion qids aliases", "site_deity": "role source", "benefit": "major_id label sort_no", "cluster_benefit": "weight",
+    "site_benefit": "major_id weight confidence", "etiquette": "bow_before clap bow_after label source_type", "goshuin": "available write_style", "access": "access_mode walk_load reason computed_at",
+    "classical_source": "work title original_text provenance rights source_url", "site_citation": "connection_type ocr_warning", "shikinai_record": "province district shrine_name tsukinami niiname ainame seats raw_note has_defect",
+    "shinkai": "site_id rank source_text source_book", "site_lore": "site_id text source_type source_url source_name", "pilgrimage_group": "kind name numbered disputed", "wish_tally": "count updated_at",
+    "area": "name prefecture_code region",
+}
 CHECKS = {
-    "site_benefit": ("confidence <> 'official' OR source_url IS NOT NULL", "confidence <> 'derived' OR derived_deity IS NOT NULL", "weight IN ('primary', 'secondary')"),
-    "etiquette": ("source_type <> 'official' OR source_url IS NOT NULL",),
-    "access": ("access_mode IN ('TRAIN_ONLY', 'TRAIN_BUS', 'CAR_RECOMMENDED', 'CAR_ONLY', 'UNKNOWN')", "walk_load IN ('EASY', 'MODERATE', 'HARD')", "reason IS NOT NULL"),
-    "site_citation": ("layer IN (1, 2, 3)",),
-    "shikinai_record": ("rank IN ('myojin_tai', 'tai', 'sho')", "offering IN ('kanpei', 'kokuhei')", "raw_note IS NOT NULL"),
-}
+    "site": ("type IN ('shrine', 'temple')",),
+    "deity_cluster": ("religion IN ('shinto', 'buddhist')", "policy IN ('NO_AUTO_MAPPING', 'NO_CURRENT_BENEFIT')"),
+    "site_deity": ("role IN ('main', 'aidono', 'unknown')", "source IN ('wikidata', 'jawp', 'manual')", "matched_by IN ('qid', 'linkTarget', 'alias')"),
+    "cluster_benefit": ("weight IN ('primary', 'secondary')",),
+    "site_benefit": (
+        "weight IN ('primary', 'secondary')", "confidence IN ('official', 'derived', 'unknown')", "confidence <> 'official' OR source_url IS NOT NULL", "confidence <> 'derived' OR derived_deity IS NOT NULL",
+    ),
+    "etiquette": ("source_type IN ('official', 'default', 'pending')", "source_type <> 'official' OR source_url IS NOT NULL"),
+    "goshuin": ("available IN ('yes', 'no', 'unknown')", "write_style IN ('direct', 'paper', 'both', 'seasonal', 'unknown')", "mail_order IN ('yes', 'no', 'unknown')"),
+    "access": ("access_mode IN ('TRAIN_ONLY', 'TRAIN_BUS', 'CAR_RECOMMENDED', 'CAR_ONLY', 'UNKNOWN')", "walk_load IN ('EASY', 'MODERATE', 'HARD')"),
+    "classical_source": ("provenance IN ('zh.wikisource', 'aozora', 'kokugakuin', 'ndl')", "rights IN ('PD', 'CC-BY-SA-4.0', 'PD+CC-BY-SA-4.0')"),
+    "site_citation": ("layer IN (1, 2, 3)", "connection_type IN ('myth', 'shikinai_rank', 'shinkai', 'fudoki', 'modern')"),
+    "shikinai_record": ("rank IN ('myojin_tai', 'tai', 'sho')", "offering IN ('kanpei', 'kokuhei')", "offering_detail IN ('anjo', 'ange')"),
+    "site_lore": ("source_type IN ('official', 'shaden', 'municipal', 'classical')",),
+    "pilgrimage_group": ("kind IN ('fudasho', 'seven_gods', 'three_shrines', 'ichinomiya', 'sandai', 'local')",),
+}
+
+
+def conditions(name: str) -> list[str]:
+    """What every row of a table has to meet: CHECKs, then columns that are never null."""
+    return [*CHECKS.get(name, ()), *(f"{c} IS NOT NULL" for c in NOT_NULL.get(name, "").split())]
 
 
 def violations(df: DataFrame, name: str) -> DataFrame:
-    """condition, n: the rows of a table that break each of its conditions."""
-    conditions = CHECKS[name]
-    counts = df.agg(*[F.count_if(~F.coalesce(F.expr(c), F.lit(True))).alias(f"c{i}") for i, c in enumerate(conditions)])
-    return counts.selectExpr(f"stack({len(conditions)}, " + ", ".join(f"'{c.replace(chr(39), chr(39) * 2)}', c{i}" for i, c in enumerate(conditions)) + ") AS (condition, n)")
+    """condition, n: the rows of a table that break each of its conditions, of those whose columns it has."""
+    has = {c.lower() for c in df.columns}
+    holds = [c for c in conditions(name) if {w.lower() for w in re.findall(r"[a-z_]+(?= (?:IN|IS|<>) )", c)} <= has]
+    counts = df.agg(*[F.count_if(~F.coalesce(F.expr(c), F.lit(True))).alias(f"c{i}") for i, c in enumerate(holds)])
+    return counts.selectExpr(f"stack({len(holds)}, " + ", ".join(f"'{c.replace(chr(39), chr(39) * 2)}', c{i}" for i, c in enumerate(holds)) + ") AS (condition, n)")
+
+
+def key_violations(t: dict[str, DataFrame]) -> DataFrame:
+    """name, key, kind (primary or foreign), n: how many keys of the tables are null or repeated, and rows without a parent, where there are any."""
+    spark = next(iter(t.values())).sparkSession
+    out = spark.createDataFrame([], "name string, key string, kind string, n long")
+    one = lambda df, name, key, kind: df.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit(name).alias("name"), F.lit(key).alias("key"), F.lit(kind).alias("kind"), "n")
+    for name, df in t.items():
+        if name in PRIMARY_KEYS:
+            out = out.unionByName(one(primary_key(df, PRIMARY_KEYS[name]), name, ", ".join(PRIMARY_KEYS[name]), "primary"))
+        for column, parent in FOREIGN_KEYS.get(name, {}).items():
+            if column in df.columns and parent in t:
+                out = out.unionByName(one(foreign_key(df, column, t[parent], "id"), name, column, "foreign"))
+    return out

@@ -153,6 +153,43 @@ def test_xml_dump_keeps_wanted_titles(spark, tmp_path):
     assert [r["title"] for r in dumps.missing_titles(wanted, pages).collect()] == ["日本書紀"]
     manifest = dumps.write_pages(pages, str(tmp_path / "out")).collect()
     assert manifest[0]["file"] == "古事記.txt"
+    out = str(tmp_path / "with")
+    assert sorted((r["title"], r["found"]) for r in dumps.write_pages(pages, out, wanted).collect()) == [("古事記", True), ("日本書紀", False)]
+    assert [(r["title"], r["body"]) for r in spark.read.json(f"{out}/pages").collect()] == [("古事記", "天地&初發\n次行")]
+    assert spark.read.json(f"{out}/meta").first()["source"] == "zh.wikisource dump"
+
+
+def test_registry_and_priority_outputs(spark, tmp_path):
+    from keidai.operators import registry
+    from keidai.plans.fixture_queries import registry_lines
+
+    lines = registry_lines(spark)
+    shrines, out = registry.shrines(lines), str(tmp_path / "registry")
+    dumps.write_registry(shrines, registry.unparsed_sample(lines), registry.quality(shrines), out)
+    assert spark.read.json(f"{out}/shrines").where("description LIKE '『延喜式』神名帳に%'").count() == shrines.count()
+    meta = spark.read.json(f"{out}/meta").first()
+    assert meta["rights"] == "原文はパブリックドメイン" and meta["n_shrines"] == 6 and spark.read.json(f"{out}/unparsed").count() == 1
+    dumps.write_priorities(spark.createDataFrame([("a", 0.5)], "site_id string, score double"), out + "p", 2026, 9)
+    meta = spark.read.json(f"{out}p/meta").first()
+    assert (meta["excludedCurrentMonth"], meta["baseMonths"]) == ("2026-9", "3,4,6,7") and "D1" in meta["note"]
+
+
+def test_numbers_as_javascript_writes_them(spark):
+    from keidai.functions.text import js_number
+
+    cases = {0.0: "0", -0.0: "0", 35.0: "35", 139.25: "139.25", -33.125: "-33.125", 0.0001: "0.0001", 0.000001: "0.000001", 0.0000001: "1e-7", 2.5e-9: "2.5e-9", 12345678.0: "12345678", 123456789.5: "123456789.5", 0.1: "0.1", 1e21: "1e+21"}
+    found = spark.createDataFrame([(k,) for k in cases], "x double").select(js_number(F.col("x")).alias("s")).collect()
+    assert [r["s"] for r in found] == list(cases.values())
+
+
+def test_every_table_has_its_constraints(spark):
+    from keidai.sources import masters
+
+    assert set(masters.CHECKS) | set(masters.FOREIGN_KEYS) | set(masters.NOT_NULL) | set(masters.PRIMARY_KEYS) == set(masters.NOT_NULL) | {"site_group"}
+    broken = spark.createDataFrame([("maybe", "direct", "yes"), ("yes", None, None), (None, "odd", "no")], "available string, write_style string, mail_order string")
+    assert {r["condition"]: r["n"] for r in masters.violations(broken, "goshuin").collect()} == {
+        "available IN ('yes', 'no', 'unknown')": 1, "write_style IN ('direct', 'paper', 'both', 'seasonal', 'unknown')": 1, "mail_order IN ('yes', 'no', 'unknown')": 0, "available IS NOT NULL": 1, "write_style IS NOT NULL": 1,
+    }
 
 
 def test_title_list_volumes_and_sites(spark, tmp_path):
