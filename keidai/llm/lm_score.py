@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,22 +12,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keidai.llm.common import held_out, ship, written
-from keidai.llm.token_files import blocks
+from keidai.llm.token_files import blocks, gathered
 
 END = b"\n"  # no word holds white space
+ORDER = 4  # tokens of the model's n-grams
 #: Most frequent words whose exact counts every worker holds; the counts of all others are joined.
 FREQUENT = 200_000
 BITS = 10  # of the filter, for each entry
 #: Tokens of the corpus for each segment of the filter, about: what one group counts, enters and probes.
-SEGMENT_TOKENS = 1 << 20
+SEGMENT_TOKENS = 1 << 19
 PROBES = 4  # bits of an entry within one 64-bit block
-PRIOR = 2.0  # weight of the shorter context
-FLUSH_WORDS = 200_000
+PRIOR = 2.0  # weight of the single tokens
+#: Bytes of text whose words are counted before they are shuffled, about.
+COUNTED = 8_000_000
 #: Bytes of text whose tokens are held at once, about: what asks the filter together.
 PART = 4_000_000
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
-#: Bits of an n-gram's hash that are shuffled: 48, so that of 10**11 n-grams one in 3,000 meets another, far under the filter's own error.
-KEPT = np.uint64(0xFFFFFFFFFFFF0000)
+#: Bits of an n-gram's hash that are shuffled beyond the logarithm of the n-grams' number: one in 4,096 meets another, far under the filter's own error.
+SPARE_BITS = 12
+SEED = np.uint64(20240229)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -40,64 +42,58 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words between ASCII white space with A-Z in lower case."""
-    return (text or "").encode("utf-8", "replace").lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Words between ASCII white space with A-Z in lower case, of all texts one after another; and how many each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, offsets = split.flatten(), split.offsets.to_numpy()
+    real = pc.greater(pc.binary_length(words), 0)
+    before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+    return words.filter(real).dictionary_encode(), np.diff(before[offsets - offsets[0]])
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered."""
+def hashes_of(words: pa.Array) -> np.ndarray:
+    import xxhash
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
 
-        if len(self) >= 300_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
 
+def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each token alone, of the ORDER - 1 tokens before it, and of these and itself; and where each text's tokens begin. Every text ends with END and has END before it."""
+    words, counts = words_of(texts)
+    end = hashes_of(pa.array([END.decode()]))[0]
+    pad = ORDER - 1
+    starts = np.concatenate([[0], np.cumsum(counts + pad + 1)])
+    tokens = np.full(starts[-1], end, np.uint64)
+    is_word = np.ones(len(tokens), bool)
+    for k in range(pad):
+        is_word[starts[:-1] + k] = False
+    is_token = is_word.copy()
+    is_word[starts[1:] - 1] = False
+    tokens[is_word] = hashes_of(words.dictionary)[words.indices.to_numpy()] if len(words) else tokens[:0]
+    at = np.flatnonzero(is_token)
+    context = np.full(len(at), SEED, np.uint64)
+    for k in range(pad, 0, -1):
+        context = mix(context * MULTIPLY + tokens[at - k])
+    return mix(tokens[at]), context, mix(context * MULTIPLY + tokens[at] + np.uint64(1)), np.concatenate([[0], np.cumsum(counts + 1)])
 
-_HASHES = WordHashes()
 
-
-def sequences(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, each text as END, words, END; and the position of the first END of each text."""
-    get, end = _HASHES.__getitem__, _HASHES[END]
-    out: list[int] = []
-    starts = np.zeros(len(texts) + 1, np.int64)
-    for i, t in enumerate(texts):
-        out.append(end)
-        out.extend(map(get, words_of(t)))
-        out.append(end)
-        starts[i + 1] = len(out)
-    return np.array(out, np.uint64), starts
-
-
-def grams(tokens: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each token's 1-gram and 2-gram, without the first END of each text."""
-    keep = np.ones(len(tokens), bool)
-    keep[starts[:-1]] = False
-    pair = mix(tokens[:-1] * MULTIPLY + tokens[1:])
-    return mix(tokens[keep]) & KEPT, pair[keep[1:]] & KEPT
-
-
-def packed(values: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted 64-bit values as their differences, and counts, compressed plane by plane."""
+def packed(values: np.ndarray, counts: np.ndarray, bits: int) -> bytes:
+    """Sorted values of so many high bits as their differences, and counts, compressed plane by plane."""
     import zstandard
 
-    deltas = np.diff(values, prepend=np.uint64(0)).astype("<u8")
+    deltas = np.diff(values >> np.uint64(64 - bits), prepend=np.uint64(0)).astype("<u8")
     planes = np.concatenate([deltas.view(np.uint8).reshape(-1, 8).T.ravel(), counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.ravel()])
     return len(values).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def unpacked(blob: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
     import zstandard
 
     n = int.from_bytes(blob[:4], "little")
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4:]), np.uint8)
     deltas = np.ascontiguousarray(planes[: 8 * n].reshape(8, n).T).view("<u8").ravel()
     counts = np.ascontiguousarray(planes[8 * n :].reshape(4, n).T).view("<u4").ravel()
-    return np.cumsum(deltas, dtype=np.uint64), counts.astype(np.int64)
+    return np.cumsum(deltas, dtype=np.uint64) << np.uint64(64 - bits), counts.astype(np.int64)
 
 
 def summed(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,19 +108,10 @@ def word_counts(train: DataFrame, text_col: str) -> DataFrame:
     """word (binary), n: exact counts of all words and the end token; tasks combine before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-
-        def rows():
-            yield pa.RecordBatch.from_arrays([pa.array(list(found.keys()), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
-            found.clear()
-
-        for batch in batches:
-            for t in batch.column(0):
-                found.update(words_of(t.as_py()))
-                found[END] += 1
-                if len(found) > FLUSH_WORDS:
-                    yield from rows()
-        yield from rows()
+        for batch in gathered(batches, text_col, COUNTED):
+            found = words_of(batch.column(0))[0].value_counts()
+            words = pa.concat_arrays([found.field("values").dictionary_decode().cast(pa.binary()), pa.array([END], pa.binary())])
+            yield pa.RecordBatch.from_arrays([words, pa.concat_arrays([found.field("counts"), pa.array([batch.num_rows], pa.int64())])], names=["word", "n"])
 
     return train.select(text_col).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -174,8 +161,8 @@ def rows_of(payload: pa.Scalar) -> pa.Table:
     return pa.ipc.open_stream(payload.as_buffer()).read_all().combine_chunks()
 
 
-def gram_levels(parts: DataFrame, segments: int) -> DataFrame:
-    """part, seg, levels: the filter's levels (a byte each) of the distinct 1- and 2-grams of a part whose hashes fall in a segment of the hash range.
+def gram_levels(parts: DataFrame, segments: int, bits: int) -> DataFrame:
+    """part, seg, levels: the filter's levels (a byte each) of the distinct n-grams of a part whose hashes fall in a segment of the hash range.
 
     A part's n-grams go to their segments with their counts in what is learned from; a segment's filter holds all of its
     n-grams, is asked there, and the answers go back, so nothing is broadcast and no task's share grows with the corpus.
@@ -188,25 +175,25 @@ def gram_levels(parts: DataFrame, segments: int) -> DataFrame:
                 rows = rows_of(payload)
                 found = []
                 for learn in (True, False):
-                    texts = rows.filter(pc.equal(rows["learn"], learn))["text"].to_pylist()
-                    if texts and (learn or asks.as_py()):
-                        values, n = np.unique(np.concatenate(grams(*sequences(texts))), return_counts=True)
+                    texts = rows.filter(pc.equal(rows["learn"], learn))["text"].combine_chunks()
+                    if len(texts) and (learn or asks.as_py()):
+                        values, n = np.unique(cut(np.concatenate(grams(texts)[:3]), bits), return_counts=True)
                         found.append((values, n if learn else np.zeros(len(n), np.int64)))
                 if not found:
                     continue
                 values, counts = found[0] if len(found) == 1 else summed(*(np.concatenate(x) for x in zip(*found)))
                 seg = (values >> shift).astype(np.int64) if segments > 1 else np.zeros(len(values), np.int64)
                 edges = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
-                blobs = [packed(values[a:b], counts[a:b]) for a, b in zip(edges, [*edges[1:], len(seg)])]
+                blobs = [packed(values[a:b], counts[a:b], bits) for a, b in zip(edges, [*edges[1:], len(seg)])]
                 k = len(edges)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part.as_py()] * k, pa.int64()), pa.array([asks.as_py()] * k), pa.array(seg[edges], pa.int64()), pa.array(blobs, pa.binary())], names=["part", "asks", "seg", "blob"]
                 )
 
     def ask(key, rows):
-        blobs = [unpacked(b.as_py()) for b in rows["blob"]]
+        blobs = [unpacked(b.as_py(), bits) for b in rows["blob"]]
         values, counts = summed(np.concatenate([x[0] for x in blobs]), np.concatenate([x[1] for x in blobs]))
-        words = entered(values, quantised(counts))
+        words = entered(values, quantised(counts), BITS)
         levels = CountFilter(words, np.array([0, len(words)])).levels(values).astype(np.uint8)
         asks = rows["asks"].to_pylist()
         answers = [levels[np.searchsorted(values, x[0])].tobytes() if a else None for x, a in zip(blobs, asks)]
@@ -215,6 +202,11 @@ def gram_levels(parts: DataFrame, segments: int) -> DataFrame:
     return parts.mapInArrow(count, "part long, asks boolean, seg long, blob binary").groupBy("seg").applyInArrow(ask, "part long, seg long, levels binary")
 
 
+def cut(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Hashes with so many high bits, the others 0."""
+    return (hashes >> np.uint64(64 - bits)) << np.uint64(64 - bits)
+
+
 def quantised(counts: np.ndarray) -> np.ndarray:
     """1 + the whole part of the binary logarithm."""
     return np.frexp(counts.astype(np.float64))[1].astype(np.int64)
@@ -262,9 +254,9 @@ class CountFilter:
         return levels
 
 
-def entered(values: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The 64-bit blocks of one segment's filter, with room for all of its entries."""
-    blocks = -(-int(levels.sum()) * BITS // 64)
+def entered(values: np.ndarray, levels: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """The 64-bit blocks of one segment's filter, with so many bits for each of its entries."""
+    blocks = -(-int(levels.sum()) * bits // 64)
     words = np.zeros(blocks, np.uint64)
     for q in range(1, int(levels.max(initial=0)) + 1):
         block, bits = places(values[levels >= q], q, np.uint64(max(blocks, 1)), 0)
@@ -272,18 +264,12 @@ def entered(values: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return words
 
 
-def build_filter(counted: DataFrame, segments: int) -> tuple[np.ndarray, np.ndarray]:
-    """Blocks of all segments and their edges, on the driver: for counts known to be few. `score` asks each segment where it is made."""
-    found = {r["seg"]: entered(v, quantised(n)) for r in counted.select("seg", "blob").toLocalIterator() for v, n in [unpacked(bytes(r["blob"]))]}
-    parts = [found.get(i, np.zeros(0, np.uint64)) for i in range(segments)]
-    return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
-
-
 def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Adds to the ids of `docs`: n_tokens, n_known, train_tokens (long), base_score and score, both log10 probabilities of the whole text.
 
-    Learns from `train` (text). base_score has exact counts of single tokens plus one. `score` is a 2-gram model: counts c'
-    come from the filter, p(w) = (c'(w) + 1) / (N + V + 1), and p(w | v) = (min(c'(vw), c'(v)) + PRIOR p(w)) / (c'(v) + PRIOR).
+    Learns from `train` (text). base_score has exact counts of single tokens plus one. `score` is a 4-gram model: counts c' come from
+    the filter, p(w) = (c'(w) + 1) / (N + V + 1), and p(w | v) = (min(c'(vw), c'(v)) + PRIOR p(w)) / (c'(v) + PRIOR), v being the three
+    tokens before w. So it tells apart what the corpus holds once, more often, or not at all.
     Null and empty texts are one end token. Repeated rows are scored each, ids may be null; other columns are left out. With
     nothing to learn from, N and V are 0 and every base probability is 1.
     """
@@ -305,67 +291,51 @@ def scored(rows: DataFrame, train: DataFrame, id_col: str) -> DataFrame:
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     segments = 1 << max(0, (int(total) // SEGMENT_TOKENS).bit_length())
     kind = rows.schema["id"].dataType.simpleString()
+    bits = min(64, (3 * int(total)).bit_length() + SPARE_BITS)
     parts = parted(rows)
-    answers = written(gram_levels(parts, segments), "gram-levels")
+    answers = written(gram_levels(parts, segments, bits), "gram-levels")
     often = spark.sparkContext.broadcast(frequent(counts))  # FREQUENT rows at most
 
     def partial(left: pa.Table, right: pa.Table) -> pa.Table:
         logs = often.value
         table = rows_of(left["payload"][0])
-        texts = table["text"].to_pylist()
-        tokens, starts = sequences(texts)
-        one, two = grams(tokens, starts)
+        texts = table["text"].combine_chunks()
+        one, context, whole, starts = grams(texts)
         order = np.argsort(right["seg"].to_numpy())
         levels = right["levels"].to_pylist()
         found = expected(np.frombuffer(b"".join(levels[i] for i in order), np.uint8))
-        _, back = np.unique(np.concatenate([one, two]), return_inverse=True)
-        c1, c2 = found[back[: len(one)]], found[back[len(one) :]]
-        # The context of a text's first word is the end token, whose count is that of texts.
-        ends = np.cumsum(np.diff(starts) - 1)
-        context = np.empty(len(one))
-        context[1:] = c1[:-1]
-        first = np.concatenate([[0], ends[:-1]])
-        context[first] = c1[ends - 1]
+        _, back = np.unique(cut(np.concatenate([one, context, whole]), bits), return_inverse=True)
+        c1, c3, c4 = (found[x] for x in np.split(back, 3))
         single = (c1 + 1) / (total + distinct + 1)
-        p = (np.minimum(c2, context) + PRIOR * single) / (context + PRIOR)
-        model = np.add.reduceat(np.log10(np.minimum(p, 1.0)), first)
+        p = (np.minimum(c4, c3) + PRIOR * single) / (c3 + PRIOR)
+        model = np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts[:-1])
         asks = np.array(table["ask"].to_pylist(), bool)
-        index, words, times, n_tokens, known, base = [], [], [], [], [], []
-        for i, t in enumerate(texts):
-            if not asks[i]:
-                continue
-            found = Counter(words_of(t))
-            found[END] = 1
-            sum_, n, k, rest = 0.0, 0, 0, 0
-            for w, tf in found.items():
-                n += tf
-                log = logs.get(w)
-                if log is None:
-                    words.append(w)
-                    times.append(tf)
-                    rest += 1
-                else:
-                    sum_ += tf * log
-                    k += tf
-            index += [i] * (rest + 1)
-            words.append(None)
-            times.append(0)
-            n_tokens.append(n)
-            known.append(k)
-            base.append(sum_)
-        index = np.array(index)
-        last = np.concatenate([index[1:] != index[:-1], [True]])
-        nth = np.cumsum(last) - last  # of the texts asked for
-        row = lambda x, kind: pa.array(np.array(x)[nth], kind, mask=~last)
+        words, counts = words_of(texts)
+        # Distinct words of each text that is asked for, and one END, with how often it has them.
+        names = [*(w.encode() for w in words.dictionary.to_pylist()), END]
+        log = np.array([logs.get(w, np.nan) for w in names])
+        pair = np.repeat(np.arange(len(texts)), counts) * len(names) + words.indices.to_numpy()
+        pair, times = np.unique(np.concatenate([pair, np.arange(len(texts)) * len(names) + len(names) - 1]), return_counts=True)
+        text, word = pair // len(names), pair % len(names)
+        held = ~np.isnan(log[word])
+        known = np.bincount(text[held], times[held], len(texts)).astype(np.int64)
+        base = np.bincount(text[held], times[held] * log[word[held]], len(texts))
+        joined = np.flatnonzero(~held & asks[text])
+        wanted = np.flatnonzero(asks)
+        index = np.concatenate([text[joined], wanted])
+        last = np.arange(len(index)) >= len(joined)
+        row = lambda x, kind: pa.array(x[index], kind, mask=~last)
+        rare = pa.array(names, pa.binary()).take(pa.array(np.concatenate([word[joined], np.zeros(len(wanted), np.int64)]), mask=last))
+        times = np.concatenate([times[joined], np.zeros(len(wanted), np.int64)])
         return pa.table(
             {
                 **{c: table[c].take(pa.array(index)) for c in ("id", "key", "out")},
-                "word": pa.array(words, pa.binary()),
+                "word": rare,
                 "times": pa.array(times, pa.int64()),
-                "n_tokens": row(n_tokens, pa.int64()),
+                "n_tokens": row(counts + 1, pa.int64()),
                 "known": row(known, pa.int64()),
                 "base": row(base, pa.float64()),
-                "score": row(model[asks], pa.float64()),
+                "score": row(model, pa.float64()),
             }
         )
 
