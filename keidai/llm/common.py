@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths of tables written within scratch(), for each that is open.
+_SCRATCH: list[list[str]] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the intermediate tables that operators have written within it, also after a failure. Results must have been written by then."""
+    made: list[str] = []
+    _SCRATCH.append(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(made)
+        for path in made:
+            delete(spark, path)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/keidai/{name}-{uuid.uuid4().hex}"
 
@@ -40,6 +64,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, **options) -> DataFrame:
     """The rows written as Parquet in the shared folder and read back: later stages don't depend on the executors that made them."""
     path = fresh_path(df.sparkSession, name)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
