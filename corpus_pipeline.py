@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keidai.llm import decontaminate, jaccard_join, lang_id, line_dedup, sentencepieces
-from keidai.llm.common import fresh_path, held_out, table
+from keidai.llm.common import delete, fresh_path, held_out, scratch, table
 from keidai.llm.registry import vocabulary
 
 
@@ -53,10 +53,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over `documents`."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages in turn over `documents`. What a stage wrote goes when the next one is done, or when one fails; the last one's table stays."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = fresh_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        try:
+            with scratch(spark):
+                stage(spark, docs, sf_dir).write.parquet(path)
+        except BaseException:
+            delete(spark, path)
+            raise
+        finally:
+            if before:
+                delete(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
