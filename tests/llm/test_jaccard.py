@@ -98,3 +98,73 @@ def test_compare_counts_whole_sets():
         for j in range(12):
             a, b = set(left[i].tolist()), set(left[j].tolist())
             assert found[i, j] == (i != j and len(a & b) >= 0.5 * len(a | b))
+
+
+def test_blocks_by_size_lose_no_link(make, monkeypatch):
+    """Sizes just within and just beyond what the threshold allows, in a component of several blocks, and buckets of several blocks."""
+    monkeypatch.setattr(J, "BLOCK_GRAMS", 900)
+    monkeypatch.setattr(J, "LEAST_GRAMS", 1)
+    monkeypatch.setattr(J, "BUCKET_TEXTS", 3)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(base[: 104 + 4 * i])) for i in range(40)] + [(100 + i, " ".join(base[:200] + [f"x{i}", f"y{i}"])) for i in range(30)]
+    assert run(make(rows)) == brute(rows)
+
+
+def test_texts_that_share_a_passage_are_told_apart_before_their_sets_are_compared(make, spark):
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, passage + " " + " ".join(f"v{rng.randrange(10**6)}" for _ in range(70))) for i in range(120)] + [(500, rows0 := passage + " end of it"), (501, rows0 + "."), (502, rows0 + " x")]
+    assert run(make(rows)) == brute(rows)
+    docs = make(rows)
+    bands, per = J.bands_for()
+    sketched = J.sketches(docs, "doc_id", "text", 5, bands, per)
+    reps = spark.createDataFrame([(r["id"], r["text_h"]) for r in sketched.select("id", "text_h").collect()], "rep long, rep_h long")
+    tight = J.candidate_edges(sketched, reps, 0.63).distinct().collect()
+    loose = J.candidate_edges(sketched, reps, 0.0).distinct().collect()
+    assert len(loose) > 20 and {x for e in tight for x in e} == {500, 501, 502}
+
+
+def test_signatures_connect_what_pairs_do():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        sigs = rng.integers(0, 3, (30, 12)).astype(np.uint8)
+        near = (sigs[:, None] == sigs[None]).mean(2) >= 0.6
+        want = list(range(30))
+        for _ in range(30):
+            want = [min(want[j] for j in range(30) if near[i, j]) for i in range(30)]
+        got = list(range(30))
+        for _ in range(30):
+            for a, b in J.alike(sigs, 0.6):
+                got[a] = got[b] = min(got[a], got[b])
+        assert got == want
+
+
+def test_clashing_names_stay(make):
+    from pyspark.sql import functions as F
+
+    docs = make(["a b c d e f", "a b c d e f", "g"]).withColumns({"jj_gone": F.lit(1), "JJ_GONE_": F.lit(2), "class_id": F.lit(3)})
+    kept = J.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 2]
+
+
+def test_near_copies_of_the_documents_are_found(spark):
+    """Recall of links against all pairs, whole sets."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    by = {}
+    for i, t in rows:
+        if (s := sets(t)) is not None:
+            by.setdefault(s, []).append(i)
+    keys = sorted(by, key=len)
+    links = dict.fromkeys(map(id, keys), 0)
+    for n, a in enumerate(keys):
+        for b in keys[n + 1 :]:
+            if 4 * len(b) > 5 * len(a):
+                break
+            if 9 * len(a & b) >= 4 * (len(a) + len(b)):  # the same as 0.8 of the union
+                links[id(a)] += 1
+                links[id(b)] += 1
+    want = {i: links[id(k)] for k in keys for i in by[k]}
+    got = {r["doc_id"]: r["n_links"] for r in J.jaccard_join(docs).collect()}
+    assert sum(want.values()) > 0 and all(got[i] <= n for i, n in want.items())
+    assert sum(got[i] for i in want) >= 0.99 * sum(want.values())
