@@ -429,3 +429,28 @@ def unparsed_lines(spark, sf_dir):
 @query("id VARCHAR, name VARCHAR, n_groups INTEGER", ("kawa-no-yashiro", "川の社", 1))
 def sample_site(spark, sf_dir):
     return samples.find_site(samples.sample_sites(spark), "kawa-no-yashiro").select("id", "name", F.size("groups").alias("n_groups"))
+
+
+@query("name VARCHAR, n BIGINT", ("majors", 10), ("minors", 4), ("clusters", 4), ("mappings", 4), ("overrides", 2), ("groups", 3), ("suppressed", 1))
+def master_summary(spark, sf_dir):
+    return masters.summary(masters.tables(spark, MASTER)).withColumnRenamed("table", "name")
+
+
+BROKEN = {name: "" for name in masters.FILES} | {"cluster_benefits": "mappings:\n  - {cluster: gone, primary: []}\n"}
+
+
+@query("line VARCHAR", ("[benefits.yaml] 大分類が欠けています: " + ", ".join(gaps.MAJORS),), ('[cluster_benefits.yaml] クラスタ "gone" が deity_clusters.yaml に存在しません',))
+def master_load_error(spark, sf_dir):
+    try:
+        masters.load(spark, BROKEN)
+    except masters.MasterDataError as e:
+        return spark.createDataFrame([(line,) for line in str(e).split("\n")], "line string")
+
+
+@query(
+    "line VARCHAR",
+    ("errors: 2, warnings: 1",), ("[error] benefits.yaml: 大分類が欠けています: " + ", ".join(gaps.MAJORS),), ('[error] cluster_benefits.yaml: クラスタ "gone" が deity_clusters.yaml に存在しません',), ("[warning] cluster_benefits.yaml: gone: primary が空です。検索に一切出てきません",),
+)
+def master_report(spark, sf_dir):
+    issues = masters.validate(masters.tables(spark, masters.parse(BROKEN)))
+    return spark.createDataFrame([(line,) for line in masters.render(issues).split("\n")], "line string")

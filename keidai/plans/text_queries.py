@@ -276,21 +276,54 @@ GAP_REGIONS = ", ".join(f"({i}, '{name}', {a}, {b})" for i, (name, a, b) in enum
 GAP_MAJORS = ", ".join(f"({i}, '{m}')" for i, m in enumerate(gaps.MAJORS))
 
 
-@query(f"""WITH r(i, name, a, b) AS (VALUES {GAP_REGIONS}), m(j, major) AS (VALUES {GAP_MAJORS}),
+GAP_SQL = f"""r(i, name, a, b) AS (VALUES {GAP_REGIONS}), m(j, major) AS (VALUES {GAP_MAJORS}),
 c AS (SELECT c_custkey AS id, 1 + c_custkey % 60 AS p, 'x' AS major FROM customer WHERE c_custkey % 60 < 10),
 g AS (SELECT 0 AS o0, i AS o1, p AS o2, 0 AS o3, 'geography' AS kind, '都道府県コード ' || lpad(CAST(p AS VARCHAR), 2, '0') || ' の収録が ' || CAST((SELECT count(*) FROM c WHERE c.p = x.p) AS VARCHAR) || ' 件しかありません。' AS description
   FROM (SELECT i, unnest(range(a, b + 1)) AS p FROM r) x WHERE (SELECT count(*) FROM c WHERE c.p = x.p) < 3
 UNION ALL SELECT 1, i, 0, j, 'benefit', name || 'に「' || major || '」の社寺が 0 件しかありません。' FROM r, m
 UNION ALL SELECT 1, i, 1, 0, 'access', name || 'に「車なしで行ける」社寺が 0 件しかありません。' FROM r
-UNION ALL SELECT 1, i, 2, 0, 'goshuin', name || 'に御朱印を授与している社寺が 0 件しかありません。' FROM r)
-SELECT CAST(row_number() OVER (ORDER BY o0, o1, o2, o3) AS INTEGER) AS nth, kind, description FROM g""")
-def gap_order(spark, sf_dir):
-    from pyspark.sql import Window
+UNION ALL SELECT 1, i, 2, 0, 'goshuin', name || 'に御朱印を授与している社寺が 0 件しかありません。' FROM r)"""
 
+
+def few_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     sites = read(spark, sf_dir, "customer").where("c_custkey % 60 < 10").select(
         F.col("c_custkey").cast("string").alias("id"), F.col("c_custkey").cast("int").alias("pos"), F.col("c_mktsegment").alias("name"), F.lpad((1 + F.col("c_custkey") % 60).cast("string"), 2, "0").alias("prefecture_code"),
         F.array().cast("array<struct<major_id:string,weight:string>>").alias("benefits"), none("string").alias("access_mode"), none("string").alias("goshuin_available"), none("string").alias("etiquette_source_type"),
     )
-    found = gaps.detect(sites)
-    return found.select(F.row_number().over(Window.orderBy("ord")).alias("nth"), "kind", "description")  # over the gaps alone, a grid of some hundreds at most
+    return gaps.detect(sites)
+
+
+@query(f"WITH {GAP_SQL} SELECT CAST(row_number() OVER (ORDER BY o0, o1, o2, o3) AS INTEGER) AS nth, kind, description FROM g")
+def gap_order(spark, sf_dir):
+    from pyspark.sql import Window
+
+    return few_places(spark, sf_dir).select(F.row_number().over(Window.orderBy("ord")).alias("nth"), "kind", "description")  # over the gaps alone, a grid of some hundreds at most
+
+
+@query(f"""WITH {GAP_SQL}, k(n, kind, label) AS (VALUES (0, 'geography', '地理の穴'), (1, 'benefit', '御利益の穴'), (2, 'access', 'アクセスの穴'), (3, 'goshuin', '御朱印の穴')),
+s AS (SELECT n, kind, label, count(*) AS c FROM g JOIN k USING (kind) GROUP BY ALL),
+t AS (SELECT -1 AS n, unnest(range(7)) AS o0, 0 AS o1, 0 AS o2, 0 AS o3, unnest(['# 穴の検出結果 2026-09-01', '', '検出した穴: **' || (SELECT count(*) FROM g) || ' 件**', '', 'この一覧が、そのまま次の収録キューになります。', '', NULL]) AS line
+UNION ALL SELECT n, -2, 0, 0, 0, '## ' || label || '（' || c || '件）' FROM s UNION ALL SELECT n, -1, 0, 0, 0, '' FROM s
+UNION ALL SELECT n, o0, o1, o2, o3, '- ' || description FROM g JOIN k USING (kind) UNION ALL SELECT n, 9, 0, 0, 0, '' FROM s)
+SELECT CAST(row_number() OVER (ORDER BY n, o0, o1, o2, o3) - 1 AS INTEGER) AS nth, line FROM t WHERE line IS NOT NULL""")
+def gap_report(spark, sf_dir):
+    lines = gaps.markdown(few_places(spark, sf_dir), "2026-09-01").split("\n")  # a report of some hundred lines
+    return spark.createDataFrame(list(enumerate(lines)), "nth int, line string")
+
+
+@query("""WITH t AS (SELECT n_nationkey AS k, n_name AS title, unnest([1, 2]) AS month FROM nation) SELECT title, CAST(2026 AS INTEGER) AS year, CAST(month AS INTEGER) AS month, CAST(100 * k + month AS BIGINT) AS views FROM t WHERE k % 5 <> 0""")
+def months_of_an_api(spark, sf_dir):
+    titles = {r["n_name"]: r["n_nationkey"] for r in read(spark, sf_dir, "nation").collect()}  # 25 titles: the service takes one request in six seconds
+    asked: dict[str, int] = {}
+
+    def fetch(url: str) -> tuple[int, str]:
+        k = int(url.rpartition("/")[2])
+        asked[url] = asked.get(url, 0) + 1
+        if k % 5 == 0:
+            return 404, ""
+        if k % 3 == 0 and asked[url] < 3:
+            return 429, ""
+        return 200, '{"items":[' + ",".join(f'{{"timestamp":"20260{m}0100","views":{100 * k + m}}}' for m in (1, 2)) + "]}"
+
+    return dumps.fetch_views(spark, [(t, f"http://api/{k}") for t, k in titles.items()], fetch, lambda seconds: None)
