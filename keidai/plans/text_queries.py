@@ -112,7 +112,7 @@ def registry_unparsed_of_orders(spark, sf_dir):
 
 
 @query(f"""WITH {LINES_SQL} SELECT count(*) AS n_shrines, count(*) FILTER (WHERE r = 'myojin_tai') AS n_myojin_tai, count(*) FILTER (WHERE r = 'tai') AS n_tai, count(*) FILTER (WHERE r = 'sho') AS n_sho, count(*) FILTER (WHERE r = '') AS n_rank_unknown,
-CAST(coalesce(sum(seats), 0) AS BIGINT) AS seats, count(*) FILTER (WHERE tsukinami) AS n_tsukinami, count(*) FILTER (WHERE niiname) AS n_niiname, count(*) FILTER (WHERE ainame) AS n_ainame, 0 AS n_defect,
+CAST(coalesce(sum(seats), 0) AS BIGINT) AS seats, count(*) FILTER (WHERE tsukinami) AS n_tsukinami, count(*) FILTER (WHERE niiname) AS n_niiname, count(*) FILTER (WHERE ainame) AS n_ainame, CAST(0 AS BIGINT) AS n_defect,
 count(DISTINCT nullif(province, '')) AS n_provinces, abs(count(*) - 2861) <= 50 AS as_stated FROM s""")
 def registry_quality_of_orders(spark, sf_dir):
     return registry.quality(registry.shrines(order_lines(spark, sf_dir)))
