@@ -161,7 +161,7 @@ def rows_of(payload: pa.Scalar) -> pa.Table:
     return pa.ipc.open_stream(payload.as_buffer()).read_all().combine_chunks()
 
 
-def gram_levels(parts: DataFrame, segments: int, bits: int) -> DataFrame:
+def gram_levels(parts: DataFrame, segments: int, bits: int, tasks: int) -> DataFrame:
     """part, seg, levels: the filter's levels (a byte each) of the distinct n-grams of a part whose hashes fall in a segment of the hash range.
 
     A part's n-grams go to their segments with their counts in what is learned from; a segment's filter holds all of its
@@ -199,7 +199,7 @@ def gram_levels(parts: DataFrame, segments: int, bits: int) -> DataFrame:
         answers = [levels[np.searchsorted(values, x[0])].tobytes() if a else None for x, a in zip(blobs, asks)]
         return pa.table({"part": rows["part"], "seg": rows["seg"], "levels": pa.array(answers, pa.binary())}).filter(rows["asks"])
 
-    return parts.mapInArrow(count, "part long, asks boolean, seg long, blob binary").groupBy("seg").applyInArrow(ask, "part long, seg long, levels binary")
+    return parts.mapInArrow(count, "part long, asks boolean, seg long, blob binary").repartition(tasks, "seg").groupBy("seg").applyInArrow(ask, "part long, seg long, levels binary")
 
 
 def cut(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -293,7 +293,10 @@ def scored(rows: DataFrame, train: DataFrame, id_col: str) -> DataFrame:
     kind = rows.schema["id"].dataType.simpleString()
     bits = min(64, (3 * int(total)).bit_length() + SPARE_BITS)
     parts = parted(rows)
-    answers = written(gram_levels(parts, segments, bits), "gram-levels")
+    # As many tasks as the corpus needs, whatever the session's number: two segments or two parts each, about.
+    at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    answers = written(gram_levels(parts, segments, bits, max(at_least, segments // 2)), "gram-levels")
+    tasks = max(at_least, parts.count() // 2)
     often = spark.sparkContext.broadcast(frequent(counts))  # FREQUENT rows at most
 
     def partial(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -341,8 +344,9 @@ def scored(rows: DataFrame, train: DataFrame, id_col: str) -> DataFrame:
 
     rows = (
         parts.where("asks")
+        .repartition(tasks, "part")
         .groupBy("part")
-        .cogroup(answers.groupBy("part"))
+        .cogroup(answers.repartition(tasks, "part").groupBy("part"))
         .applyInArrow(partial, f"id {kind}, key long, out boolean, word binary, times long, n_tokens long, known long, base double, score double")
         # A row without a word stands for its document; a key of its own keeps such rows from meeting in one task.
         .withColumn("word", F.coalesce("word", F.concat(F.lit(b" "), F.encode(F.concat_ws(" ", "id", "key"), "utf-8"))))
