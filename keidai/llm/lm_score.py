@@ -26,7 +26,7 @@ PRIOR = 2.0  # weight of the single tokens
 #: Bytes of text whose words are counted before they are shuffled, about.
 COUNTED = 8_000_000
 #: Bytes of text whose tokens are held at once, about: what asks the filter together.
-PART = 4_000_000
+PART = 2_500_000
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of an n-gram's hash that are shuffled beyond the logarithm of the n-grams' number: one in 4,096 meets another, far under the filter's own error.
 SPARE_BITS = 12
@@ -297,10 +297,11 @@ def scored(rows: DataFrame, train: DataFrame, id_col: str) -> DataFrame:
     at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     answers = written(gram_levels(parts, segments, bits, max(at_least, segments // 2)), "gram-levels")
     tasks = max(at_least, parts.count() // 2)
-    often = spark.sparkContext.broadcast(frequent(counts))  # FREQUENT rows at most
+    found = frequent(counts)  # FREQUENT rows at most, as two arrays: a dict of them takes ten times their bytes in every worker
+    often = spark.sparkContext.broadcast((pa.array(list(found), pa.binary()), np.array(list(found.values()), np.float64)))
 
     def partial(left: pa.Table, right: pa.Table) -> pa.Table:
-        logs = often.value
+        frequent_words, logs = often.value
         table = rows_of(left["payload"][0])
         texts = table["text"].combine_chunks()
         one, context, whole, starts = grams(texts)
@@ -315,8 +316,8 @@ def scored(rows: DataFrame, train: DataFrame, id_col: str) -> DataFrame:
         asks = np.array(table["ask"].to_pylist(), bool)
         words, counts = words_of(texts)
         # Distinct words of each text that is asked for, and one END, with how often it has them.
-        names = [*(w.encode() for w in words.dictionary.to_pylist()), END]
-        log = np.array([logs.get(w, np.nan) for w in names])
+        names = pa.concat_arrays([words.dictionary.cast(pa.binary()), pa.array([END], pa.binary())])
+        log = np.append(logs, np.nan)[pc.fill_null(pc.index_in(names, value_set=frequent_words), len(logs)).to_numpy()]
         pair = np.repeat(np.arange(len(texts)), counts) * len(names) + words.indices.to_numpy()
         pair, times = np.unique(np.concatenate([pair, np.arange(len(texts)) * len(names) + len(names) - 1]), return_counts=True)
         text, word = pair // len(names), pair % len(names)
@@ -328,7 +329,7 @@ def scored(rows: DataFrame, train: DataFrame, id_col: str) -> DataFrame:
         index = np.concatenate([text[joined], wanted])
         last = np.arange(len(index)) >= len(joined)
         row = lambda x, kind: pa.array(x[index], kind, mask=~last)
-        rare = pa.array(names, pa.binary()).take(pa.array(np.concatenate([word[joined], np.zeros(len(wanted), np.int64)]), mask=last))
+        rare = names.take(pa.array(np.concatenate([word[joined], np.zeros(len(wanted), np.int64)]), mask=last))
         times = np.concatenate([times[joined], np.zeros(len(wanted), np.int64)])
         return pa.table(
             {
