@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keidai.llm import decontaminate, html_extract, jaccard_join, lang_id, line_dedup, lm_score, quality, secrets, sentencepieces, token_files
+from keidai.llm import collocations, decontaminate, html_extract, jaccard_join, lang_id, line_dedup, lm_score, nearest, quality, secrets, sentencepieces, token_files, vector_codes
 from keidai.llm.common import table
 
 
@@ -63,9 +63,21 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score_fold(table(spark, sf_dir, "documents"))
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_line_dedup, op3_html_extract, op4_ngram_jaccard_join, op5_language_id, op6_quality_rules, op7_secret_scan, op8_token_files, op9_decontaminate, op10_lm_score)
+    for f in (op1_sentencepiece, op2_line_dedup, op3_html_extract, op4_ngram_jaccard_join, op5_language_id, op6_quality_rules, op7_secret_scan, op8_token_files, op9_decontaminate, op10_lm_score, op11_nearest_neighbours, op12_collocations, op13_vector_codes)
 }
 
 ORACLE_SQL = {
@@ -73,4 +85,6 @@ ORACLE_SQL = {
     "op6_quality_rules": quality.SQL,
     "op7_secret_scan": secrets.SQL,
     "op9_decontaminate": decontaminate.SQL,
+    "op12_collocations": collocations.SQL,
+    "op13_vector_codes": vector_codes.SQL,
 }
