@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -21,11 +22,11 @@ LEAST, LONGEST, FIRST = 100, 5, 2000
 #: Characters that end a piece, and those that part words.
 STOPS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 #: Bytes of text in a row of encoded words, about.
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 #: Candidates that one pass has slots for; more take more passes over the encoded words.
 SLOTS = 2 << 20
 #: Keys that a task gathers before it tells them apart.
-GATHER = 4 << 20
+GATHER = 2 << 20
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -86,6 +87,12 @@ class Words:
         order = np.argsort(self.slots(rows["key"].to_numpy().view(np.uint64)))
         self.entries = rows["entry"].combine_chunks().take(pa.array(order))
 
+    def __len__(self) -> int:
+        return len(self.slots)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        return self.slots.places(keys)
+
     def __call__(self, lang: str, words: pa.Array) -> np.ndarray:
         entries = pc.binary_join_element_wise(lang, words, "\t")
         found = self.slots(np.fromiter((word_key(e.encode()) for e in entries.to_pylist()), np.uint64, len(entries)))
@@ -95,34 +102,44 @@ class Words:
         return found
 
 
-class Pairs:
-    """Numbers of the phrases of one group: slots of their keys."""
+def group_of(groups: int) -> Column:
+    return F.pmod(F.xxhash64("key"), F.lit(groups))
 
-    def __init__(self, rows: pa.Table) -> None:
-        self.slots = Slots(rows["key"].to_numpy().view(np.uint64))
 
+@dataclass
+class Places:
+    """Where phrases of the level before begin in a block, their numbers, and the numbers of their last words."""
 
-def group_of(groups: int) -> Column:
-    return F.pmod(F.xxhash64("key"), F.lit(groups))
+    at: np.ndarray
+    last: np.ndarray
+    tail: np.ndarray
 
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Which phrases another one follows a word later, and the keys of both as a phrase of a word more: the first one's number and the second's last word.
 
-def integers(row: dict, name: str) -> np.ndarray:
-    return np.frombuffer(row[name], "<i4")
+        Only Apriori-safe ones: the phrases without the last word and without the first one are both frequent.
+        """
+        i = np.flatnonzero(np.diff(self.at) == 1)
+        return i, self.last[i].astype(np.int64) << 32 | self.tail[i + 1]
 
 
-def keys_at(ids: np.ndarray, last: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where phrases of so many words may begin, and their keys: the number of all words but the last, and the last word's.
+def integers(value: bytes | None) -> np.ndarray | None:
+    return None if value is None else np.frombuffer(value, "<i4")
 
-    Only Apriori-safe ones: the phrases without the last word and without the first one are both frequent.
-    """
-    at = np.flatnonzero((last[:-1] > 0) & (last[1:] > 0))
-    at = at[at + words <= len(ids)]
-    return at, last[at].astype(np.int64) << 32 | ids[at + words - 1]
+
+def places(row: dict) -> Places:
+    """Of a block: all words' numbers in turn, 0 for those that aren't frequent and between pieces; of longer phrases only where there is one."""
+    last = integers(row["last"])
+    if row["at"] is None:
+        at = np.flatnonzero(last > 0)
+        return Places(at, last[at], last[at])
+    return Places(integers(row["at"]), last, integers(row["tail"]))
 
 
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
-        yield from batch.to_pylist()
+        for i in range(batch.num_rows):
+            yield {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns)}
 
 
 def candidates(tokens: DataFrame, words: int, least: int) -> DataFrame:
@@ -130,9 +147,9 @@ def candidates(tokens: DataFrame, words: int, least: int) -> DataFrame:
 
     def merged(keys: np.ndarray, suffixes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.argsort(keys, kind="stable")
-        keys, suffixes, counts = keys[order], suffixes[order], counts[order]
+        keys = keys[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        return keys[first], suffixes[first], np.add.reduceat(counts, first)
+        return keys[first], suffixes[order[first]], np.add.reduceat(counts[order], first, dtype=np.int32)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -142,11 +159,11 @@ def candidates(tokens: DataFrame, words: int, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in found], names=["key", "suffix", "n"])
 
         for row in rows_of(batches):
-            ids, last = integers(row, "ids"), integers(row, "last")
-            at, keys = keys_at(ids, last, words)
-            if not len(at):
+            p = places(row)
+            i, keys = p.keys()
+            if not len(i):
                 continue
-            held.append(merged(keys, last[at + 1], np.ones(len(at), np.int64)))
+            held.append(merged(keys, p.last[i + 1], np.ones(len(i), np.int32)))
             n += len(held[-1][0])
             if n >= GATHER:
                 held = [merged(*(np.concatenate(x) for x in zip(*held)))]
@@ -157,7 +174,7 @@ def candidates(tokens: DataFrame, words: int, least: int) -> DataFrame:
         if held:
             yield from batches_of(merged(*(np.concatenate(x) for x in zip(*held))))
 
-    found = tokens.mapInArrow(gather, "key long, suffix int, n long").groupBy("key").agg(F.min("suffix").alias("suffix"), F.sum("n").alias("n"))
+    found = tokens.select("at", "last", "tail").mapInArrow(gather, "key long, suffix int, n int").groupBy("key").agg(F.min("suffix").alias("suffix"), F.sum("n").alias("n"))
     return written(found.where(F.col("n") >= least).select("key", "suffix"), f"phrases-{words}")
 
 
@@ -167,10 +184,16 @@ def added_up(rows: DataFrame, size: int) -> np.ndarray:
     return arrays.treeAggregate(np.zeros(size, np.int64), lambda a, b: a + b, lambda a, b: a + b)
 
 
+#: A block on its way from one level to the next. `next` has the numbers found so far while groups remain to be looked at, `total` a task's counts.
+BLOCKS = "lang string, codes binary, words array<string>, counts array<long>, at binary, last binary, tail binary, next binary, total binary"
+KINDS = {"lang": pa.string(), "words": pa.list_(pa.string()), "counts": pa.list_(pa.int64())}
+ARROW = pa.schema([(c.split()[0], KINDS.get(c.split()[0], pa.binary())) for c in BLOCKS.split(", ")])
+
+
 def numbered(tokens: DataFrame, level: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
-    """Gives every position the number of the phrase of this level that begins there (1 + its slot, 0 for none), and counts by slot.
+    """Gives every place the number of the phrase of this level that begins there (1 + its slot), and counts by slot.
 
-    Returns the blocks with these numbers as `last`, and the level with number and f read at each candidate's slot. A pass
+    Returns the blocks with these places, and the level with number and f read at each candidate's slot. A pass
     holds the slots of one group of candidates, of bounded size; there are as many groups as the candidates need.
     """
     spark = level.sparkSession
@@ -178,55 +201,54 @@ def numbered(tokens: DataFrame, level: DataFrame, words: int) -> tuple[DataFrame
     base, parts = 0, []
     for group in range(groups):
         rows = level.where(group_of(groups) == group).select("key", *(["entry"] if words == 1 else [])).toArrow()
-        table = Words(rows) if words == 1 else Pairs(rows)
-        size = len(table.slots)
+        table = Words(rows) if words == 1 else Slots(rows["key"].to_numpy().view(np.uint64))
         known = spark.sparkContext.broadcast((table, base))
+        final = group == groups - 1
 
-        def mark(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
+        def mark(batches: Iterator[pa.RecordBatch], known=known, final=final) -> Iterator[pa.RecordBatch]:
             table, base = known.value
-            total = np.zeros(len(table.slots), np.int64)
+            total = np.zeros(len(table), np.int64)
             for row in rows_of(batches):
+                before = integers(row["next"])
                 if words == 1:
                     found = table(row["lang"], pa.array(row["words"], pa.string()))
-                    hit = found >= 0
-                    np.add.at(total, found[hit], np.array(row["counts"], np.int64)[hit])
-                    number = np.concatenate([[0], np.where(hit, found + base + 1, 0)]).astype("<i4")
-                    new = number[integers(row, "codes")]
-                    new = np.maximum(new, integers(row, "next")) if row["next"] is not None else new
+                    np.add.at(total, found[found >= 0], np.array(row["counts"], np.int64)[found >= 0])
+                    new = np.concatenate([[0], np.where(found >= 0, found + base + 1, 0)]).astype("<i4")[integers(row["codes"])]
                 else:
-                    ids, last = integers(row, "ids"), integers(row, "last")
-                    at, keys = keys_at(ids, last, words)
-                    found = table.slots(keys)
-                    hit = found >= 0
-                    total += np.bincount(found[hit], minlength=len(total))
-                    new = integers(row, "next").copy() if row["next"] is not None else np.zeros(len(ids), "<i4")
-                    new[at[hit]] = found[hit] + base + 1
-                yield pa.RecordBatch.from_pylist([{**row, "next": new.tobytes(), "total": None}], ARROW)
+                    p = places(row)
+                    i, keys = p.keys()
+                    found = table(keys)
+                    total += np.bincount(found[found >= 0], minlength=len(total))
+                    new = np.where(found >= 0, found + base + 1, 0).astype("<i4")
+                if before is not None:
+                    new = np.maximum(new, before)
+                if not final:
+                    out = row | {"next": new.tobytes()}
+                elif words == 1:
+                    out = {"last": new.tobytes()}
+                elif new.any():
+                    hit = new > 0
+                    out = {"at": p.at[i[hit]].astype("<i4").tobytes(), "last": new[hit].tobytes(), "tail": p.tail[i[hit] + 1].tobytes()}
+                else:
+                    continue
+                yield pa.RecordBatch.from_pylist([out], ARROW)
             yield pa.RecordBatch.from_pylist([{"total": total.tobytes()}], ARROW)
 
-        marked = written(tokens.mapInArrow(mark, COLUMNS), f"words-{words}", compression="zstd")
-        counts = spark.sparkContext.broadcast(added_up(marked, size))
+        marked = written(tokens.mapInArrow(mark, BLOCKS), f"words-{words}", compression="zstd")
+        counts = spark.sparkContext.broadcast(added_up(marked, len(table)))
 
         def read(batches: Iterator[pa.RecordBatch], known=known, counts=counts) -> Iterator[pa.RecordBatch]:
             table, base = known.value
             for batch in batches:
-                slots = table.slots(batch.column("key").to_numpy())
+                slots = table.places(batch.column("key").to_numpy().view(np.uint64))
                 yield batch.append_column("number", pa.array(slots + base + 1, pa.int64())).append_column("f", pa.array(counts.value[slots]))
 
         parts.append(level.where(group_of(groups) == group).mapInArrow(read, T.StructType([*level.schema.fields, T.StructField("number", T.LongType()), T.StructField("f", T.LongType())])))
-        base += size
+        base += len(table)
         tokens = marked.where(F.col("total").isNull())
-    ids = F.col("next") if words == 1 else F.col("ids")
-    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in (("lang", "string"), ("codes", "binary"), ("words", "array<string>"), ("counts", "array<long>"))]
-    tokens = tokens.select(*nothing, ids.alias("ids"), F.col("next").alias("last"), F.lit(None).cast("binary").alias("next"), F.lit(None).cast("binary").alias("total"))
     return tokens, written(reduce(DataFrame.unionAll, parts), f"level-{words}")
 
 
-COLUMNS = "lang string, codes binary, words array<string>, counts array<long>, ids binary, last binary, next binary, total binary"
-STRINGS = pa.list_(pa.string())
-ARROW = pa.schema([("lang", pa.string()), ("codes", pa.binary()), ("words", STRINGS), ("counts", pa.list_(pa.int64())), ("ids", pa.binary()), ("last", pa.binary()), ("next", pa.binary()), ("total", pa.binary())])
-
-
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, first: int | None = FIRST, share: int = 100) -> DataFrame:
     """Each language's phrases of 2 to `longest` words that hold together best: lang, rank, phrase, a, l, r, n, score.
 
@@ -246,7 +268,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     found = blocks.select("lang", F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("m"))).alias("x")).groupBy("lang", "x.word").agg(F.sum("x.m").alias("n"))
     entry = F.concat("lang", F.lit("\t"), "word")
     level = written(found.where(F.col("n") >= least).select("lang", "word", entry.alias("entry"), F.xxhash64(entry).alias("key")), "phrases-1")
-    blank = [F.lit(None).cast("binary").alias(c) for c in ("ids", "last", "next", "total")]
+    blank = [F.lit(None).cast("binary").alias(c) for c in ("at", "last", "tail", "next", "total")]
     tokens, one = numbered(blocks.select("lang", "codes", "words", "counts", *blank), level, 1)
     none = F.array().cast("array<long>")
     phrases = one.select("number", "lang", F.col("word").alias("phrase"), F.col("word").alias("tail"), "f", none.alias("left"), none.alias("right"))
