@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keidai.llm.common import ship, written
+from keidai.llm.common import delete, fresh_path, ship, written
 from keidai.llm.slots import Slots
 from keidai.llm.token_files import gathered
 
@@ -143,27 +143,31 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def candidates(tokens: DataFrame, words: int, least: int) -> DataFrame:
-    """key, suffix (the number of the phrase without its first word) of the Apriori-safe phrases that occur often enough by a sum of what tasks find."""
+    """key, suffix (the number of the phrase without its first word) of the Apriori-safe phrases that occur often enough by a sum of what tasks find.
 
-    def merged(keys: np.ndarray, suffixes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    Pairs are by far the most; their suffix is the word that the key ends with, so it isn't sent with them.
+    """
+    pairs = words == 2
+
+    def merged(keys: np.ndarray, counts: np.ndarray, *suffixes: np.ndarray) -> tuple[np.ndarray, ...]:
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        return keys[first], suffixes[order[first]], np.add.reduceat(counts[order], first, dtype=np.int32)
+        return keys[first], np.add.reduceat(counts[order], first, dtype=np.int32), *(s[order[first]] for s in suffixes)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def batches_of(found: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
             for a in range(0, len(found[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in found], names=["key", "suffix", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in found], names=["key", "n", "suffix"][: len(found)])
 
         for row in rows_of(batches):
             p = places(row)
             i, keys = p.keys()
             if not len(i):
                 continue
-            held.append(merged(keys, p.last[i + 1], np.ones(len(i), np.int32)))
+            held.append(merged(keys, np.ones(len(i), np.int32), *([] if pairs else [p.last[i + 1]])))
             n += len(held[-1][0])
             if n >= GATHER:
                 held = [merged(*(np.concatenate(x) for x in zip(*held)))]
@@ -174,8 +178,10 @@ def candidates(tokens: DataFrame, words: int, least: int) -> DataFrame:
         if held:
             yield from batches_of(merged(*(np.concatenate(x) for x in zip(*held))))
 
-    found = tokens.select("at", "last", "tail").mapInArrow(gather, "key long, suffix int, n int").groupBy("key").agg(F.min("suffix").alias("suffix"), F.sum("n").alias("n"))
-    return written(found.where(F.col("n") >= least).select("key", "suffix"), f"phrases-{words}")
+    found = tokens.select("at", "last", "tail").mapInArrow(gather, "key long, n int" if pairs else "key long, n int, suffix int")
+    suffix = (F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))).cast("int") if pairs else F.col("suffix")
+    often = found.groupBy("key").agg(F.sum("n").alias("n"), *([] if pairs else [F.min("suffix").alias("suffix")])).where(F.col("n") >= least)
+    return written(often.select("key", suffix.alias("suffix")), f"phrases-{words}")
 
 
 def added_up(rows: DataFrame, size: int) -> np.ndarray:
@@ -190,11 +196,19 @@ KINDS = {"lang": pa.string(), "words": pa.list_(pa.string()), "counts": pa.list_
 ARROW = pa.schema([(c.split()[0], KINDS.get(c.split()[0], pa.binary())) for c in BLOCKS.split(", ")])
 
 
-def numbered(tokens: DataFrame, level: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+def kept_as(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows written to the shared folder, and where."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def numbered(tokens: DataFrame, path: str, level: DataFrame, words: int) -> tuple[DataFrame, str, DataFrame]:
     """Gives every place the number of the phrase of this level that begins there (1 + its slot), and counts by slot.
 
-    Returns the blocks with these places, and the level with number and f read at each candidate's slot. A pass
-    holds the slots of one group of candidates, of bounded size; there are as many groups as the candidates need.
+    Returns the blocks with these places, where they are, and the level with number and f read at each candidate's slot. A
+    pass holds the slots of one group of candidates, of bounded size; there are as many groups as the candidates need. The
+    blocks it was given are deleted at `path`.
     """
     spark = level.sparkSession
     groups = max(1, -(-level.count() // SLOTS))
@@ -234,7 +248,9 @@ def numbered(tokens: DataFrame, level: DataFrame, words: int) -> tuple[DataFrame
                 yield pa.RecordBatch.from_pylist([out], ARROW)
             yield pa.RecordBatch.from_pylist([{"total": total.tobytes()}], ARROW)
 
-        marked = written(tokens.mapInArrow(mark, BLOCKS), f"words-{words}", compression="zstd")
+        marked, new_path = kept_as(tokens.mapInArrow(mark, BLOCKS), f"words-{words}")
+        delete(spark, path)  # nothing reads the level before, or the group before, again
+        path = new_path
         counts = spark.sparkContext.broadcast(added_up(marked, len(table)))
 
         def read(batches: Iterator[pa.RecordBatch], known=known, counts=counts) -> Iterator[pa.RecordBatch]:
@@ -246,7 +262,7 @@ def numbered(tokens: DataFrame, level: DataFrame, words: int) -> tuple[DataFrame
         parts.append(level.where(group_of(groups) == group).mapInArrow(read, T.StructType([*level.schema.fields, T.StructField("number", T.LongType()), T.StructField("f", T.LongType())])))
         base += len(table)
         tokens = marked.where(F.col("total").isNull())
-    return tokens, written(reduce(DataFrame.unionAll, parts), f"level-{words}")
+    return tokens, path, written(reduce(DataFrame.unionAll, parts), f"level-{words}")
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST, first: int | None = FIRST, share: int = 100) -> DataFrame:
@@ -263,18 +279,18 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """
     ship(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text")).where(F.length("text") > 0)
-    blocks = written(encode_words(rows), "words", compression="zstd")
+    blocks, path = kept_as(encode_words(rows), "words")
     sizes = written(blocks.groupBy("lang").agg(F.sum("n").alias("n")), "language-sizes")
     found = blocks.select("lang", F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("m"))).alias("x")).groupBy("lang", "x.word").agg(F.sum("x.m").alias("n"))
     entry = F.concat("lang", F.lit("\t"), "word")
     level = written(found.where(F.col("n") >= least).select("lang", "word", entry.alias("entry"), F.xxhash64(entry).alias("key")), "phrases-1")
     blank = [F.lit(None).cast("binary").alias(c) for c in ("at", "last", "tail", "next", "total")]
-    tokens, one = numbered(blocks.select("lang", "codes", "words", "counts", *blank), level, 1)
+    tokens, path, one = numbered(blocks.select("lang", "codes", "words", "counts", *blank), path, level, 1)
     none = F.array().cast("array<long>")
     phrases = one.select("number", "lang", F.col("word").alias("phrase"), F.col("word").alias("tail"), "f", none.alias("left"), none.alias("right"))
     every = []
     for words in range(2, longest + 1):
-        tokens, level = numbered(tokens, candidates(tokens, words, least), words)
+        tokens, path, level = numbered(tokens, path, candidates(tokens, words, least), words)
         level = level.select("number", F.shiftright("key", 32).alias("prefix"), F.col("suffix").cast("long").alias("suffix"), "f")
         if every:
             every[-1] = within(every[-1], level, share)
@@ -290,6 +306,7 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
         )
         phrases = written(phrases, f"phrases-of-{words}")
         every.append(phrases)
+    delete(docs.sparkSession, path)
     kept = reduce(DataFrame.unionAll, [p.select("lang", "phrase", "f", "left", "right") for p in every])
     return ranked(kept.join(sizes, "lang"), first)
 
