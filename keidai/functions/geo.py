@@ -11,6 +11,8 @@ from keidai.functions.text import round_half_up
 LAYERS = (("dem5a", 15), ("dem5b", 15), ("dem5c", 15), ("dem", 14))
 TILE = 256
 METRES_PER_DEGREE = 111_320.0
+#: Mean radius of the earth in metres.
+EARTH = 6_371_000.0
 
 
 def dem_metres(r: Column, g: Column, b: Column) -> Column:
@@ -68,3 +70,10 @@ def relief(center: Column, around: Column) -> Column:
         span.alias("range"),
         F.when(span < 20, "flat").when(span < 60, "rolling").when(span.isNotNull(), "hilly").alias("terrain"),
     )
+
+
+def metres_between(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
+    """Great-circle distance by the haversine formula."""
+    half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2), F.lit(2.0))
+    h = half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lng1, lng2)
+    return 2 * EARTH * F.asin(F.sqrt(F.least(F.lit(1.0), h)))

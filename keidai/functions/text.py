@@ -106,14 +106,14 @@ def unescape_xml(c: Column) -> Column:
 
 # Markup that is dropped or replaced, in order: editors' notes, what else isn't body, annotations of infobox fields.
 SOURCE_NOTES = (
-    (r"\{\{\s*另\s*\|([^|}]*)\|[^}]*\}\}", "$1"),
+    (rf"\{{\{{[{WHITE}]*另[{WHITE}]*\|([^|}}]*)\|[^}}]*\}}\}}", "$1"),
     (r"<ref[^>]*/>", ""),
     (r"(?s)<ref[^>]*>.*?</ref>", ""),
     (r"(?s)<!--.*?-->", ""),
-    (r"(?i)\{\{\s*(?:page|頁|ページ)[^}]*\}\}", ""),
+    (rf"(?i)\{{\{{[{WHITE}]*(?:page|頁|ページ)[^}}]*\}}\}}", ""),
     (r"(?m)[ \t]+$", ""),
 )
-BODY = ((r"(?m)^\s*\{\{[^}]*\}\}\s*$", ""), (r"(?i)\[\[Category:[^\]]*\]\]", ""), (r"\[\[分类:[^\]]*\]\]", ""), (r"\n{3,}", "\n\n"))
+BODY = ((rf"(?m)^[{WHITE}]*\{{\{{[^}}]*\}}\}}[{WHITE}]*$", ""), (r"(?i)\[\[Category:[^\]]*\]\]", ""), (r"\[\[分类:[^\]]*\]\]", ""), (r"\n{3,}", "\n\n"))
 ANNOTATIONS = (r"(?s)<!--.*?-->", r"<ref[^>]*/>", r"(?s)<ref[^>]*>.*?</ref>", r"(?s)\{\{efn\|.*?\}\}", r"(?s)\{\{sfn\|.*?\}\}")
 
 
@@ -140,8 +140,8 @@ def strip_annotations(c: Column) -> Column:
 
 def split_entries(c: Column) -> Column:
     """Entries of a field: line breaks, commas, and middle dots between two links separate them."""
-    c = F.regexp_replace(c, r"(?i)<br\s*/?>", "\n")
-    c = F.regexp_replace(c, r"\]\]\s*[・･]\s*\[\[", "]]\n[[")
+    c = F.regexp_replace(c, f"(?i)<br[{WHITE}]*/?>", "\n")
+    c = F.regexp_replace(c, rf"\]\][{WHITE}]*[・･][{WHITE}]*\[\[", "]]\n[[")
     c = F.regexp_replace(c, "[、,]", "\n")
     return F.filter(F.transform(F.split(c, "\n"), js_trim), lambda x: x != "")
 

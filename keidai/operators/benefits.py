@@ -47,29 +47,44 @@ def derive(deities: DataFrame, mapping: DataFrame, taxonomy: DataFrame, include_
 def apply_official(derived: DataFrame, lore: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Derived benefits with official ones put over them: a benefit that lore (site_id, pos, benefit_id, source_url) names with a source is official and primary.
 
-    The last lore of a benefit wins; one without a source, or of an unknown benefit, is not used. Every row keeps where it is from.
+    The last lore of a benefit wins; one without a source, or of an unknown benefit, is not used. An official row says its
+    source and no deity: what was derived isn't the reason of what is stated. `ord` goes on: an official benefit that was
+    derived too keeps its place, the others follow all derived ones in the order of their first lore.
     """
     said = (
         lore.where(F.col("benefit_id").isNotNull() & (F.coalesce("source_url", F.lit("")) != ""))
         .groupBy("site_id", "benefit_id")
-        .agg(F.max_by("source_url", F.struct("pos", "source_url")).alias("source_url"))
+        .agg(F.max_by("source_url", F.struct("pos", "source_url")).alias("source_url"), F.min("pos").alias("lore_pos"))
         .join(taxonomy.select(F.col("benefit").alias("benefit_id"), F.col("major").alias("l_major")), "benefit_id")
         .withColumn("official", F.lit(True))
     )
-    both = derived.select("site_id", "benefit_id", "major_id", "weight", "confidence", "derived_deity", "derived_cluster").join(said, ["site_id", "benefit_id"], "full")
+    both = derived.select("site_id", "benefit_id", "major_id", "weight", "confidence", "derived_deity", "derived_cluster", "ord").join(said, ["site_id", "benefit_id"], "full")
     official = F.coalesce("official", F.lit(False))
+    last = F.struct(F.lit(2**31 - 1).alias("pos"), F.lit(0).alias("weight_rank"), F.col("lore_pos").cast("long").alias("list_pos"))
+    place = lambda o: F.struct(o["pos"].cast("long").alias("pos"), o["weight_rank"].cast("int").alias("weight_rank"), o["list_pos"].cast("long").alias("list_pos"))
     return both.select(
         "site_id",
         "benefit_id",
         F.coalesce("l_major", "major_id").alias("major_id"),
         F.when(official, "primary").otherwise(F.col("weight")).alias("weight"),
         F.when(official, "official").otherwise(F.col("confidence")).alias("confidence"),
-        "derived_deity",
-        "derived_cluster",
+        F.when(~official, F.col("derived_deity")).alias("derived_deity"),
+        F.when(~official, F.col("derived_cluster")).alias("derived_cluster"),
         F.when(official, F.col("source_url")).alias("source_url"),
+        F.coalesce(F.when(F.col("ord").isNotNull(), place(F.col("ord"))), place(last)).alias("ord"),
     )
 
 
+def benefits_of_major(deities: DataFrame, mapping: DataFrame, taxonomy: DataFrame, lore: DataFrame, major: str, include_related: bool = False) -> DataFrame:
+    """The rows that apply_official(derive(...)) has of one major group, of primary ones alone without the related.
+
+    The group is taken before anything is joined: a benefit's major is that of the taxonomy on either side, and if any deity
+    has a benefit as primary it is primary whatever else there is.
+    """
+    own = taxonomy.where(F.col("major") == major)
+    return apply_official(derive(deities, mapping, own, include_related), lore, own)
+
+
 def for_search(benefits: DataFrame, include_related: bool = False) -> DataFrame:
     return benefits if include_related else benefits.where(F.col("weight") == "primary")
 
@@ -119,7 +134,8 @@ def benefit_notice(primary: Column, secondary: Column) -> Column:
 
 
 def benefit_list(benefits: DataFrame) -> DataFrame:
-    """A row a site: benefit ids that are primary and secondary, and whether a notice is due as there are none."""
-    ids = lambda w: F.sort_array(F.collect_list(F.when(F.col("weight") == w, F.col("benefit_id"))))
+    """A row a site: benefit ids that are primary and secondary, each in the order of `ord`, and whether a notice is due as there are none."""
+    placed = lambda w: F.sort_array(F.collect_list(F.when(F.col("weight") == w, F.struct("ord", "benefit_id"))))
+    ids = lambda w: F.transform(placed(w), lambda x: x["benefit_id"])
     out = benefits.groupBy("site_id").agg(ids("primary").alias("primary_ids"), ids("secondary").alias("secondary_ids"))
     return out.withColumn("no_benefit", (F.size("primary_ids") == 0) & (F.size("secondary_ids") == 0))

@@ -27,6 +27,11 @@ def newyear_ratio(views: DataFrame, key: str, year: int, month: int) -> DataFram
     """
     month_in = lambda months: F.when(F.col("month").isin(*months), F.col("views"))
     medians = exclude_current_month(views, year, month).groupBy(key).agg(F.median(month_in(BASE_MONTHS)).alias("pv_base_median"), F.median(month_in((1,))).alias("pv_january"))
+    return ratios(medians, key)
+
+
+def ratios(medians: DataFrame, key: str) -> DataFrame:
+    """Adds new_year_ratio and clipped to rows key, pv_base_median, pv_january."""
     raw = F.col("pv_january") / F.nullif(F.col("pv_base_median"), F.lit(0.0))
     return medians.select(
         key, "pv_base_median", "pv_january", round_half_up(F.when(raw > RATIO_CLIP, RATIO_CLIP).otherwise(raw), 2).alias("new_year_ratio"), F.coalesce(raw > RATIO_CLIP, F.lit(False)).alias("clipped")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keidai.functions.text import has_defect, js_trim, kansuji, present, seats
-from keidai.operators.paths import carry_forward
+from keidai.functions.text import WHITE, has_defect, js_trim, kansuji, present, seats
+from keidai.operators.paths import carry_forward, segment_of
 
 # Fixed values.
-PROVINCE = r"^([^\s\x{3000}／∥]{1,6}[國国])(.*)$"
-DISTRICT = r"^([^\s\x{3000}／∥]{1,8}郡)(.*)$"
+PROVINCE = rf"^([^{WHITE}／∥]{{1,6}}[國国])(.*)$"
+DISTRICT = rf"^([^{WHITE}／∥]{{1,8}}郡)(.*)$"
 SHRINE_HINT = "(神社|神宮|大社|[^國国郡]社|宮)"
 NAME_SEATS = "[〇零一二三四五六七八九十百千壱壹弐貳貮参參肆伍陸柒漆捌玖拾佰陌仟阡0-9〓■]+座$"
 RANK_LABELS = {"myojin_tai": "名神大社", "tai": "大社", "sho": "小社"}
@@ -40,7 +40,7 @@ def name_and_note(line: Column) -> Column:
 def note_attributes(raw: Column) -> Column:
     """Struct rank, offering, offering_detail, tsukinami, niiname, ainame, seats that a note states."""
     note = F.replace(raw, F.lit("／"), F.lit(""))
-    alone = lambda c: note.rlike(f"(^|[。\\s\\x{{3000}}]){c}([。\\s\\x{{3000}}]|$)") | note.startswith(c)
+    alone = lambda c: note.rlike(f"(^|[。{WHITE}]){c}([。{WHITE}]|$)") | note.startswith(c)
     state, province = note.rlike("官[幣幤]"), note.rlike("国幣|國[幣幤]")
     return F.struct(
         F.when(note.contains("名神大"), "myojin_tai").when(alone("大"), "tai").when(alone("小"), "sho").alias("rank"),
@@ -71,7 +71,7 @@ def classified(lines: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("kind", kind)
     named = lambda k, p: F.when(F.col("kind") == k, F.regexp_extract(line, p, 1))
-    out = carry_forward(rows, ["volume"], ["line_no"], named("province", PROVINCE), named("district", DISTRICT))
+    out = carry_forward(rows, ["volume"], ["line_no"], named("province", PROVINCE), named("district", DISTRICT), segment_of(F.col("line_no")))
     return out.withColumnsRenamed({"outer": "province", "inner": "district"})
 
 

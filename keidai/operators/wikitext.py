@@ -5,49 +5,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keidai.functions.text import js_trim, present, split_entries, strip_annotations
+from keidai.functions.text import WHITE, js_trim, present, split_entries, strip_annotations
 
 # Fixed values.
 MARKERS = ("相殿", "配神", "合祀", "摂社", "末社")
 SHRINE, TEMPLE = "神社", "日本の寺院"
 TOKENS = r"(?s)(\{\{|\}\}|\[\[|\]\]|\||[^{}\[\]|]+|.)"
-DELEGATED = r"(?i)\{\{\s*wikidata\s*\|"
+DELEGATED = rf"(?i)\{{\{{[{WHITE}]*wikidata[{WHITE}]*\|"
 
 
-def _template(text: Column, name: str) -> Column:
-    """From the first {{name to its balanced end, or to the end of the text; null if there is none."""
-    rest = F.when(F.instr(text, "{{" + name) > 0, F.substr(text, F.instr(text, "{{" + name)))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("out"))
+def _until(text: Column, tokens: str, start: Column, depths, ends) -> Column:
+    """The beginning of a text up to where a fold over its tokens ends. The fold keeps depths and a length alone, so it is linear in the tokens."""
 
     def step(acc: Column, token: Column) -> Column:
-        depth = acc["depth"] + F.when(token == "{{", 1).when(token == "}}", -1).otherwise(0)
-        return F.struct(
-            F.when(acc["done"], acc["depth"]).otherwise(depth).alias("depth"),
-            (acc["done"] | ((token == "}}") & (depth == 0))).alias("done"),
-            F.when(acc["done"], acc["out"]).otherwise(F.concat(acc["out"], F.array(token))).alias("out"),
-        )
+        n, done = ends(acc, token)
+        now = depths(acc, token)
+        return F.struct(*[F.when(done, acc[c]).otherwise(now[c]).alias(c) for c in now], (acc["n"] + F.when(acc["done"], 0).otherwise(n)).alias("n"), (acc["done"] | done).alias("done"))
+
+    return F.substr(text, F.lit(1), F.aggregate(F.regexp_extract_all(text, F.lit(tokens), F.lit(1)), start, step, lambda acc: acc["n"]))
+
+
+def _turn(token: Column, opens: str, closes: str) -> Column:
+    return F.when(token == opens, 1).when(token == closes, -1).otherwise(0)
 
-    return F.aggregate(F.regexp_extract_all(rest, F.lit(TOKENS), F.lit(1)), start, step, lambda acc: F.array_join(acc["out"], ""))
+
+def _template(text: Column, name: str) -> Column:
+    """From the first {{name to its balanced end, or to the end of the text; null if there is none."""
+    rest = F.when(F.instr(text, "{{" + name) > 0, F.substr(text, F.instr(text, "{{" + name)))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+    depth = lambda acc, token: {"depth": acc["depth"] + _turn(token, "{{", "}}")}
+    closed = lambda acc, token: (F.length(token), (token == "}}") & (acc["depth"] == 1))
+    return _until(rest, TOKENS, start, depth, closed)
 
 
 def infobox_param(text: Column, template: str, param: str) -> Column:
     """The trimmed value of a parameter of a template, up to the next bar outside of braces and brackets; null if absent or empty."""
     body = _template(text, template)
-    pattern = f"(?s)^.*?\\|\\s*{param}\\s*=(.*)$"
+    pattern = f"(?s)^.*?\\|[{WHITE}]*{param}[{WHITE}]*=(.*)$"
     value = F.when(body.rlike(pattern), F.regexp_extract(body, pattern, 1))
-    start = F.struct(F.lit(0).alias("brace"), F.lit(0).alias("bracket"), F.lit(False).alias("done"), F.array().cast("array<string>").alias("out"))
+    start = F.struct(F.lit(0).alias("brace"), F.lit(0).alias("bracket"), F.lit(0).alias("n"), F.lit(False).alias("done"))
+    depths = lambda acc, token: {"brace": acc["brace"] + _turn(token, "{{", "}}"), "bracket": acc["bracket"] + _turn(token, "[[", "]]")}
 
-    def step(acc: Column, token: Column) -> Column:
-        ends = ((token == "}}") & (acc["brace"] == 0)) | ((token == "|") & (acc["brace"] == 0) & (acc["bracket"] == 0))
-        done = acc["done"] | ends
-        return F.struct(
-            F.when(done, acc["brace"]).otherwise(acc["brace"] + F.when(token == "{{", 1).when(token == "}}", -1).otherwise(0)).alias("brace"),
-            F.when(done, acc["bracket"]).otherwise(acc["bracket"] + F.when(token == "[[", 1).when(token == "]]", -1).otherwise(0)).alias("bracket"),
-            done.alias("done"),
-            F.when(done, acc["out"]).otherwise(F.concat(acc["out"], F.array(token))).alias("out"),
-        )
-
-    return present(js_trim(F.aggregate(F.regexp_extract_all(value, F.lit(TOKENS), F.lit(1)), start, step, lambda acc: F.array_join(acc["out"], ""))))
+    def ends(acc: Column, token: Column) -> tuple[Column, Column]:
+        over = (acc["brace"] == 0) & ((token == "}}") | ((token == "|") & (acc["bracket"] == 0)))
+        return F.when(over, 0).otherwise(F.length(token)), over
+
+    return present(js_trim(_until(value, TOKENS, start, depths, ends)))
 
 
 def entry(c: Column) -> Column:

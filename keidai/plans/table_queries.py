@@ -170,8 +170,9 @@ m AS (SELECT p_brand AS cluster, p_type AS benefit, CASE WHEN min(p_size) < 3 TH
       WHERE p_size < 20 AND p_brand NOT IN (SELECT min(p_brand) FROM part) GROUP BY 1, 2),
 t AS (SELECT p_type AS benefit, 'm' || CAST(min(p_partkey) % 10 AS VARCHAR) AS major FROM part WHERE p_retailprice > 950 GROUP BY 1),
 j AS (SELECT d.site_id, m.benefit, m.weight, m.weight_rank, d.pos, m.pos AS list_pos, d.display, d.cluster_id, t.major FROM d JOIN m ON d.cluster_id = m.cluster JOIN t ON m.benefit = t.benefit),
-b AS (SELECT site_id, benefit AS benefit_id, arg_min({'major': major, 'weight': weight, 'display': display, 'cluster_id': cluster_id}, {'a': weight_rank, 'b': pos, 'c': list_pos, 'd': display}) AS r FROM j GROUP BY 1, 2),
-dv AS (SELECT site_id, benefit_id, r.major AS major_id, r.weight AS weight, 'derived' AS confidence, r.display AS derived_deity, r.cluster_id AS derived_cluster FROM b)
+b AS (SELECT site_id, benefit AS benefit_id, arg_min({'major': major, 'weight': weight, 'display': display, 'cluster_id': cluster_id}, {'a': weight_rank, 'b': pos, 'c': list_pos, 'd': display}) AS r,
+      min({'a': CAST(pos AS BIGINT), 'b': CAST(weight_rank AS BIGINT), 'c': CAST(list_pos AS BIGINT)}) AS ord FROM j GROUP BY 1, 2),
+dv AS (SELECT site_id, benefit_id, r.major AS major_id, r.weight AS weight, 'derived' AS confidence, r.display AS derived_deity, r.cluster_id AS derived_cluster, ord FROM b)
 """
 
 
@@ -180,11 +181,14 @@ def part_taxonomy(spark, sf_dir):
     return part.groupBy(F.col("p_type").alias("benefit")).agg(F.concat(F.lit("m"), (F.min("p_partkey") % 10).cast("string")).alias("major"))
 
 
-def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derive_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """deities, mapping, taxonomy and lore of orders: one join of lines and parts serves deities and lore."""
     part = read(spark, sf_dir, "part")
-    deities = read(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("l_orderkey").alias("site_id"), F.col("l_linenumber").alias("pos"), F.col("p_name").alias("display"), F.col("p_brand").alias("cluster_id")
-    )
+    lines = read(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    site, pos = F.col("l_orderkey").alias("site_id"), F.col("l_linenumber").alias("pos")
+    deities = lines.select(site, pos, F.col("p_name").alias("display"), F.col("p_brand").alias("cluster_id"))
+    source = F.when(F.col("l_linestatus") == "F", F.concat(F.lit("http://s/"), F.col("l_suppkey").cast("string"))).otherwise("")
+    lore = lines.where("l_returnflag = 'R'").select(site, pos, F.col("p_type").alias("benefit_id"), source.alias("source_url"))
     rules = part.where("p_size < 20").groupBy(F.col("p_brand").alias("cluster"), F.col("p_type").alias("benefit")).agg(F.min("p_size").alias("s"), F.min("p_partkey").alias("pos"))
     first = part.agg(F.min("p_brand").alias("first_brand"))
     rules = rules.crossJoin(F.broadcast(first)).select(  # one row
@@ -195,37 +199,36 @@ def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("s") < 3, 0).otherwise(1).alias("weight_rank"),
         F.when(F.col("cluster") == F.col("first_brand"), "NO_AUTO_MAPPING").alias("policy"),
     )
-    return benefits.derive(deities, rules, part_taxonomy(spark, sf_dir))
+    return deities, rules, part_taxonomy(spark, sf_dir), lore
 
 
-@query(f"WITH {DERIVE_SQL} SELECT * FROM dv")
+def derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benefits.derive(*derive_inputs(spark, sf_dir)[:3])
+
+
+@query(f"WITH {DERIVE_SQL} SELECT * EXCLUDE (ord) FROM dv")
 def derive_benefits(spark, sf_dir):
     return derived(spark, sf_dir).drop("ord")
 
 
 OFFICIAL_SQL = DERIVE_SQL + """,
-lo AS (SELECT l_orderkey AS site_id, p_type AS benefit_id, max_by('http://s/' || CAST(l_suppkey AS VARCHAR), {'a': l_linenumber, 'b': 'http://s/' || CAST(l_suppkey AS VARCHAR)}) AS source_url
+lo AS (SELECT l_orderkey AS site_id, p_type AS benefit_id, max_by('http://s/' || CAST(l_suppkey AS VARCHAR), {'a': l_linenumber, 'b': 'http://s/' || CAST(l_suppkey AS VARCHAR)}) AS source_url, min(l_linenumber) AS lore_pos
        FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_linestatus = 'F' GROUP BY 1, 2),
 lt AS (SELECT lo.*, major FROM lo JOIN t ON lo.benefit_id = t.benefit),
 o AS (SELECT coalesce(dv.site_id, lt.site_id) AS site_id, coalesce(dv.benefit_id, lt.benefit_id) AS benefit_id, coalesce(lt.major, major_id) AS major_id, CASE WHEN lt.site_id IS NOT NULL THEN 'primary' ELSE weight END AS weight,
-      CASE WHEN lt.site_id IS NOT NULL THEN 'official' ELSE confidence END AS confidence, derived_deity, derived_cluster, source_url FROM dv FULL JOIN lt ON dv.site_id = lt.site_id AND dv.benefit_id = lt.benefit_id)
+      CASE WHEN lt.site_id IS NOT NULL THEN 'official' ELSE confidence END AS confidence, CASE WHEN lt.site_id IS NULL THEN derived_deity END AS derived_deity, CASE WHEN lt.site_id IS NULL THEN derived_cluster END AS derived_cluster, source_url,
+      coalesce(ord, {'a': CAST(2147483647 AS BIGINT), 'b': CAST(0 AS BIGINT), 'c': CAST(lore_pos AS BIGINT)}) AS ord FROM dv FULL JOIN lt ON dv.site_id = lt.site_id AND dv.benefit_id = lt.benefit_id)
 """
 
 
 def official(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read(spark, sf_dir, "part")
-    lore = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-        F.col("l_orderkey").alias("site_id"),
-        F.col("l_linenumber").alias("pos"),
-        F.col("p_type").alias("benefit_id"),
-        F.when(F.col("l_linestatus") == "F", F.concat(F.lit("http://s/"), F.col("l_suppkey").cast("string"))).otherwise("").alias("source_url"),
-    )
-    return benefits.apply_official(derived(spark, sf_dir), lore, part_taxonomy(spark, sf_dir))
+    deities, rules, taxonomy, lore = derive_inputs(spark, sf_dir)
+    return benefits.apply_official(benefits.derive(deities, rules, taxonomy), lore, taxonomy)
 
 
-@query(f"WITH {OFFICIAL_SQL} SELECT * FROM o")
+@query(f"WITH {OFFICIAL_SQL} SELECT * EXCLUDE (ord) FROM o")
 def official_overrides(spark, sf_dir):
-    return official(spark, sf_dir)
+    return official(spark, sf_dir).drop("ord")
 
 
 @query(f"WITH {OFFICIAL_SQL} SELECT site_id, benefit_id, major_id, weight FROM o WHERE weight = 'primary'")
@@ -235,7 +238,7 @@ def search_primary(spark, sf_dir):
 
 @query(f"WITH {OFFICIAL_SQL} SELECT site_id, list_sort(list(benefit_id) FILTER (WHERE weight = 'primary')) AS p, list_sort(list(benefit_id) FILTER (WHERE weight = 'secondary')) AS s FROM o GROUP BY site_id".replace(
     "list_sort(list(benefit_id) FILTER (WHERE weight = 'primary')) AS p, list_sort(list(benefit_id) FILTER (WHERE weight = 'secondary')) AS s",
-    "coalesce(string_agg(benefit_id, ',' ORDER BY benefit_id) FILTER (WHERE weight = 'primary'), '') AS primary_ids, coalesce(string_agg(benefit_id, ',' ORDER BY benefit_id) FILTER (WHERE weight = 'secondary'), '') AS secondary_ids, count(*) = 0 AS no_benefit",
+    "coalesce(string_agg(benefit_id, ',' ORDER BY ord, benefit_id) FILTER (WHERE weight = 'primary'), '') AS primary_ids, coalesce(string_agg(benefit_id, ',' ORDER BY ord, benefit_id) FILTER (WHERE weight = 'secondary'), '') AS secondary_ids, count(*) = 0 AS no_benefit",
 ))
 def benefit_lists(spark, sf_dir):
     out = benefits.benefit_list(official(spark, sf_dir))
@@ -281,7 +284,7 @@ FROM acc JOIN w ON acc.site_id = w.site_id WHERE access_mode IN ('TRAIN_ONLY', '
 def search_benefit(spark, sf_dir):
     sites = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("site_id"), F.col("o_orderkey").alias("pos"))
     reached = access_sites(spark, sf_dir).select("site_id", "access_mode", "walk_load")
-    found = benefits.search(sites, reached, official(spark, sf_dir), "m3", car_free=True, include_unknown=True)
+    found = benefits.search(sites, reached, benefits.benefits_of_major(*derive_inputs(spark, sf_dir), "m3"), "m3", car_free=True, include_unknown=True)
     return found.select("site_id", "access_mode", "walk_load", "mode_rank")
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keidai.functions.text import body_text, encode_component, file_name, js_trim
+from keidai.functions.joins import small_side
+from keidai.functions.text import WHITE, body_text, encode_component, file_name, js_trim
 
 # Titles by work.
 CLASSICAL_TITLES = {
@@ -67,7 +68,7 @@ def parse_pageview_line(line: Column, wiki: str = "ja.wikipedia", agent: str = "
     A line of fewer than five columns raises an error whatever it is of: the format has changed then.
     """
     trimmed = js_trim(line)
-    parts = F.split(trimmed, r"\s+")
+    parts = F.split(trimmed, f"[{WHITE}]+")
     at = lambda i: F.get(parts, F.lit(i))
     total = at(4).try_cast("double")
     fine = (at(0) == wiki) & (at(3) == agent) & total.isNotNull() & (F.abs(total) < F.lit(float("inf")))
@@ -86,9 +87,12 @@ def scan_pageviews(lines: DataFrame, titles: DataFrame, year: int, month: int, a
     A title on several lines keeps the last one's views; agg="sum" adds them.
     """
     rows = lines.select("at", parse_pageview_line(F.col("value")).alias("r")).where("r IS NOT NULL").select("at", "r.title", F.replace("r.title", F.lit("_"), F.lit(" ")).alias("spaced"), "r.views")
-    want = titles.select("title").distinct()
-    a, b = want.select(F.col("title").alias("t1")), want.select(F.col("title").alias("t2"))
-    found = rows.join(a, F.col("spaced") == F.col("t1"), "left").join(b, F.col("title") == F.col("t2"), "left").select(F.coalesce("t1", "t2").alias("title"), "at", "views").where("title IS NOT NULL")
+    want = titles.select("title").where("title IS NOT NULL").distinct()
+    # A dump has a thousand times more lines than wanted titles: one semi join on either spelling, broadcast if the titles are few, leaves those that may be wanted.
+    t, first = small_side(want.select(F.col("title").alias("t"))), small_side(want.select(F.col("title").alias("first")))
+    near = rows.withColumn("t", F.explode(F.array_distinct(F.array("spaced", "title")))).join(t, "t", "left_semi")
+    # Of a line that both spellings name, the one with blanks counts.
+    found = near.join(first, F.col("spaced") == F.col("first"), "left").where((F.col("t") == F.col("spaced")) | F.col("first").isNull()).select(F.col("t").alias("title"), "at", "views")
     total = F.sum("views") if agg == "sum" else F.max_by("views", "at")
     return found.groupBy("title").agg(total.alias("views")).select("title", F.lit(year).alias("year"), F.lit(month).alias("month"), "views")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from keidai.functions.text import deity_key
 from keidai.operators.gaps import MAJORS
+from keidai.sources.shared import kept
 
 # Fixed values.
 FILES = ("benefits", "deity_clusters", "cluster_benefits", "etiquette_overrides", "pilgrimage_groups")
@@ -67,64 +68,100 @@ def tables(spark: SparkSession, rows: dict[str, list[tuple]]) -> dict[str, DataF
     return {name: spark.createDataFrame(rows.get(name, []), schema) for name, schema in SCHEMAS.items()}
 
 
-def issue(df: DataFrame, rule: str, severity: str, file: str, message: Column) -> DataFrame:
-    return df.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(f"{file}.yaml").alias("file"), message.alias("message"))
-
-
-def repeated(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The rows of a key after its first."""
-    firsts = df.groupBy(F.col(key).alias("first_key")).agg(F.min(order).alias("first_at"))
-    return df.join(firsts, F.col(key) == F.col("first_key")).where(F.col(order) > F.col("first_at"))
-
-
 def absent(df: DataFrame, key: str, dimension: DataFrame, dim_key: str) -> DataFrame:
     return df.join(dimension.select(F.col(dim_key).alias("dim_key")).distinct(), F.col(key) == F.col("dim_key"), "left_anti")
 
 
-def validate(t: dict[str, DataFrame]) -> DataFrame:
-    """Every broken rule: rule, severity, file, message."""
-    c, q = F.col, lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+#: Stands for the first definition's id in a message.
+OWNER = "\x01"
+CLAIM = "struct<kind:string,space:string,key:string,ord:int,pos:int,id:string,alias:string,rule:string,severity:string,file:string,message:string>"
+
+
+def claims(t: dict[str, DataFrame]) -> DataFrame:
+    """What each row of the tables says, one pass over each table: `define` a key of a space, `refer` to one, or an `issue` of its own.
+
+    A definition has the rule that a later one of the same key breaks, a reference the rule that it breaks if nothing defines its key.
+    """
+    c = F.col
+    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    none = F.lit(None).cast("string")
+
+    def claim(kind: str, rule: str | None, severity: str | None, file: str, message: Column, space: str | None = None, key: Column = none, pos: Column = F.lit(0), id_: Column = none, alias: Column = none) -> Column:
+        text = lambda v: F.lit(v).cast("string")
+        return F.struct(text(kind), text(space), key.cast("string"), c("ord").cast("int"), pos.cast("int"), id_.cast("string"), alias.cast("string"), text(rule), text(severity), F.lit(f"{file}.yaml"), message.cast("string")).cast(CLAIM)
+
+    def issue(when: Column, rule: str, severity: str, file: str, message: Column) -> Column:
+        return F.when(when, claim("issue", rule, severity, file, message))
+
+    one = lambda *found: F.array_compact(F.array(*found))
+    known = lambda column: c(column).isin(*MAJORS)
+    unsourced = F.coalesce("source_url", F.lit("")) == ""
+    spelled = F.concat(F.array("label"), "aliases")
+    uses = lambda kind: F.transform(kind, lambda b: claim("refer", "V8", "error", "cluster_benefits", said(c("cluster"), f'.{kind} の御利益ID "', b, '" が benefits.yaml に存在しません'), "minor", b))
+    shared = lambda rule, space, key, message: F.transform(spelled, lambda a, i: claim("define", rule, "warning", "deity_clusters", message(a), space, key(a), i, c("id"), a))
+    rows = {
+        "majors": one(
+            claim("define", None, None, "benefits", none, "major", c("id")),
+            issue(~known("id"), "V1", "error", "benefits", said('未知の大分類ID "', c("id"), '"。許可されるのは ' + ", ".join(MAJORS))),
+        ),
+        "minors": one(F.when(known("major_id"), claim("define", "V2", "error", "benefits", said('細分類ID "', c("id"), '" が重複しています'), "minor", c("id")))),
+        "clusters": F.concat(
+            one(
+                claim("define", "V4", "error", "deity_clusters", said('クラスタID "', c("id"), '" が重複しています'), "cluster", c("id")),
+                claim("refer", "V12", "warning", "deity_clusters", said('クラスタ "', c("id"), '" に御利益の割り当てがありません。この祭神からは何も導出されません'), "mapping", c("id")),
+            ),
+            shared("V5", "alias", lambda a: a, lambda a: said('別名 "', a, f'" が {OWNER} と ', c("id"), f" の両方にあります。先に定義された {OWNER} が優先されます")),
+            shared("V5b", "spelling", deity_key, lambda a: said('別名 "', a, f'" の正規形が {OWNER} と重なります')),
+        ),
+        "mappings": F.concat(
+            one(
+                claim("define", "V7", "error", "cluster_benefits", said('クラスタ "', c("cluster"), '" の割り当てが重複しています'), "mapping", c("cluster")),
+                claim("refer", "V6", "error", "cluster_benefits", said('クラスタ "', c("cluster"), '" が deity_clusters.yaml に存在しません'), "cluster", c("cluster")),
+                issue(c("policy").isNull() & (F.size("primary") > 2), "V10", "warning", "cluster_benefits", said(c("cluster"), ": primary が ", F.size("primary").cast("string"), " 件あります。設計方針は「1〜2個だけ」です")),
+                issue(c("policy").isNull() & (F.size("primary") == 0), "V11", "warning", "cluster_benefits", said(c("cluster"), ": primary が空です。検索に一切出てきません")),
+            ),
+            uses("primary"),
+            uses("secondary"),
+            F.transform(F.array_intersect("primary", "secondary"), lambda b: claim("issue", "V9", "error", "cluster_benefits", said(c("cluster"), ': "', b, '" が primary と secondary の両方にあります'))),
+        ),
+        "overrides": one(
+            issue((c("source_type") == "official") & unsourced, "V13", "error", "etiquette_overrides", said(c("name"), ": source_type が official なのに source_url がありません")),
+            issue((c("source_type") == "pending") & ~unsourced, "V14", "warning", "etiquette_overrides", said(c("name"), ": source_url があるのに pending のままです。official に昇格させてください")),
+            issue(c("status") == "PENDING_VERIFICATION", "V15", "warning", "etiquette_overrides", said(c("name"), ": 一次情報の裏取りが未了です（", c("label"), " は表示されません）")),
+        ),
+        "groups": one(
+            claim("define", "V16", "error", "pilgrimage_groups", said('グループID "', c("id"), '" が重複しています'), "group", c("id")),
+            issue(~c("kind").isin(*PILGRIMAGE_KINDS), "V16", "error", "pilgrimage_groups", said(c("id"), ': 未知の kind "', c("kind"), '"')),
+            issue(c("numbered") & c("total_count").isNull(), "V17", "warning", "pilgrimage_groups", said(c("id"), ": numbered なのに total_count がありません。収録率を管理できません")),
+            issue((c("kind") == "sandai") & ~c("disputed"), "V17", "warning", "pilgrimage_groups", said(c("id"), ": kind が sandai です。諸説あるなら disputed: true を付けてください")),
+        ),
+    }
     spark = t["majors"].sparkSession
-    known = spark.createDataFrame([(i, m) for i, m in enumerate(MAJORS)], "major_ord int, id string")
-    minors = t["minors"].where(c("major_id").isin(*MAJORS))
-    names = t["clusters"].select("ord", "id", F.posexplode(F.concat(F.array("label"), "aliases")).alias("pos", "alias"))
-
-    def shared(key: Column) -> DataFrame:
-        keyed = names.select("ord", "pos", "id", "alias", key.alias("key"))
-        owner = keyed.groupBy(c("key").alias("o_key")).agg(F.min_by(F.struct(c("id").alias("id"), "alias"), F.struct("ord", "pos")).alias("o")).select("o_key", c("o.id").alias("owner"), c("o.alias").alias("owner_alias"))
-        return keyed.join(owner, c("key") == c("o_key")).where(c("id") != c("owner"))
-
-    used = t["mappings"].select("ord", "cluster", F.explode(F.array(F.struct(F.lit("primary").alias("kind"), c("primary").alias("ids")), F.struct(F.lit("secondary").alias("kind"), c("secondary").alias("ids")))).alias("x"))
-    used = used.select("ord", "cluster", "x.kind", F.explode("x.ids").alias("benefit"))
-    no_policy = t["mappings"].where(c("policy").isNull())
-    sourced = F.coalesce("source_url", F.lit("")) != ""
-    missing = known.join(t["majors"].select("id"), "id", "left_anti").agg(F.sort_array(F.collect_list(F.struct("major_ord", "id"))).alias("m")).where(F.size("m") > 0)
-    found = [
-        issue(t["majors"].where(~c("id").isin(*MAJORS)), "V1", "error", "benefits", q('未知の大分類ID "', c("id"), '"。許可されるのは ' + ", ".join(MAJORS))),
-        issue(repeated(minors, "id", "ord"), "V2", "error", "benefits", q('細分類ID "', c("id"), '" が重複しています')),
-        issue(missing, "V3", "error", "benefits", q("大分類が欠けています: ", F.array_join(F.transform("m", lambda x: x["id"]), ", "))),
-        issue(repeated(t["clusters"], "id", "ord"), "V4", "error", "deity_clusters", q('クラスタID "', c("id"), '" が重複しています')),
-        issue(shared(c("alias")), "V5", "warning", "deity_clusters", q('別名 "', c("alias"), '" が ', c("owner"), " と ", c("id"), " の両方にあります。先に定義された ", c("owner"), " が優先されます")),
-        issue(shared(deity_key(c("alias"))).where("alias <> owner_alias"), "V5b", "warning", "deity_clusters", q('別名 "', c("alias"), '" の正規形が ', c("owner"), " と重なります")),
-        issue(absent(t["mappings"], "cluster", t["clusters"], "id"), "V6", "error", "cluster_benefits", q('クラスタ "', c("cluster"), '" が deity_clusters.yaml に存在しません')),
-        issue(repeated(t["mappings"], "cluster", "ord"), "V7", "error", "cluster_benefits", q('クラスタ "', c("cluster"), '" の割り当てが重複しています')),
-        issue(absent(used, "benefit", minors, "id"), "V8", "error", "cluster_benefits", q(c("cluster"), ".", c("kind"), ' の御利益ID "', c("benefit"), '" が benefits.yaml に存在しません')),
-        issue(t["mappings"].select("cluster", F.explode(F.array_intersect("primary", "secondary")).alias("b")), "V9", "error", "cluster_benefits", q(c("cluster"), ': "', c("b"), '" が primary と secondary の両方にあります')),
-        issue(no_policy.where(F.size("primary") > 2), "V10", "warning", "cluster_benefits", q(c("cluster"), ": primary が ", F.size("primary").cast("string"), " 件あります。設計方針は「1〜2個だけ」です")),
-        issue(no_policy.where(F.size("primary") == 0), "V11", "warning", "cluster_benefits", q(c("cluster"), ": primary が空です。検索に一切出てきません")),
-        issue(absent(t["clusters"], "id", t["mappings"], "cluster"), "V12", "warning", "deity_clusters", q('クラスタ "', c("id"), '" に御利益の割り当てがありません。この祭神からは何も導出されません')),
-        issue(t["overrides"].where((c("source_type") == "official") & ~sourced), "V13", "error", "etiquette_overrides", q(c("name"), ": source_type が official なのに source_url がありません")),
-        issue(t["overrides"].where((c("source_type") == "pending") & sourced), "V14", "warning", "etiquette_overrides", q(c("name"), ": source_url があるのに pending のままです。official に昇格させてください")),
-        issue(t["overrides"].where("status = 'PENDING_VERIFICATION'"), "V15", "warning", "etiquette_overrides", q(c("name"), ": 一次情報の裏取りが未了です（", c("label"), " は表示されません）")),
-        issue(repeated(t["groups"], "id", "ord"), "V16", "error", "pilgrimage_groups", q('グループID "', c("id"), '" が重複しています')),
-        issue(t["groups"].where(~c("kind").isin(*PILGRIMAGE_KINDS)), "V16", "error", "pilgrimage_groups", q(c("id"), ': 未知の kind "', c("kind"), '"')),
-        issue(t["groups"].where(c("numbered") & c("total_count").isNull()), "V17", "warning", "pilgrimage_groups", q(c("id"), ": numbered なのに total_count がありません。収録率を管理できません")),
-        issue(t["groups"].where((c("kind") == "sandai") & ~c("disputed")), "V17", "warning", "pilgrimage_groups", q(c("id"), ": kind が sandai です。諸説あるなら disputed: true を付けてください")),
-    ]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    wanted = spark.createDataFrame(list(enumerate(MAJORS)), "ord int, id string").select(F.array(claim("refer", "V3", "error", "benefits", c("id"), "major", c("id"))).alias("claims"))
+    out = wanted
+    for name, found in rows.items():
+        out = out.unionAll(t[name].select(found.alias("claims")))
+    return out.select(F.inline("claims"))
+
+
+def validate(t: dict[str, DataFrame]) -> DataFrame:
+    """Every broken rule: rule, severity, file, message.
+
+    The tables are read once, into their rows' claims; one grouped shuffle finds each key's first definition, and the claims meet it again by
+    an equi-join that may be split where a key is frequent. So the work is that of the rows, whatever the number of rules.
+    """
+    c = F.col
+    rows = kept(claims(t), "claims")
+    first = rows.where("kind = 'define'").groupBy(c("space").alias("f_space"), c("key").alias("f_key")).agg(F.min(F.struct("ord", "pos", "id", "alias")).alias("f"))
+    met = rows.join(first, (c("space") == c("f_space")) & c("key").eqNullSafe(c("f_key")), "left")
+    later = F.struct("ord", "pos") > F.struct("f.ord", "f.pos")
+    other = (c("id") != c("f.id")) & ((c("rule") == "V5") | (c("alias") != c("f.alias")))
+    broken = F.when(c("kind") == "issue", True).when(c("kind") == "refer", c("f").isNull()).when(c("space").isin("alias", "spelling"), other).otherwise(c("rule").isNotNull() & later)
+    found = met.where(broken)
+    alone = found.where("rule <> 'V3'").select("rule", "severity", "file", F.replace("message", F.lit(OWNER), F.coalesce("f.id", F.lit(""))).alias("message"))
+    # The majors that are missing, ten at most, are one issue.
+    missing = found.where("rule = 'V3'").groupBy("rule", "severity", "file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "message"))), lambda x: x["message"]), ", ").alias("m"))
+    return alone.unionAll(missing.select("rule", "severity", "file", F.concat(F.lit("大分類が欠けています: "), "m")))
 
 
 class MasterDataError(ValueError):
