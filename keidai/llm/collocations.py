@@ -143,45 +143,53 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def candidates(tokens: DataFrame, words: int, least: int) -> DataFrame:
-    """key, suffix (the number of the phrase without its first word) of the Apriori-safe phrases that occur often enough by a sum of what tasks find.
+    """Keys of the Apriori-safe phrases that occur often enough by a sum of what tasks find."""
 
-    Pairs are by far the most; their suffix is the word that the key ends with, so it isn't sent with them.
-    """
-    pairs = words == 2
-
-    def merged(keys: np.ndarray, counts: np.ndarray, *suffixes: np.ndarray) -> tuple[np.ndarray, ...]:
+    def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        return keys[first], np.add.reduceat(counts[order], first, dtype=np.int32), *(s[order[first]] for s in suffixes)
+        return keys[first], np.add.reduceat(counts[order], first, dtype=np.int32)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
-        def batches_of(found: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-            for a in range(0, len(found[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 100_000]) for x in found], names=["key", "n", "suffix"][: len(found)])
+        def batches_of(keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(keys), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000]), pa.array(counts[a : a + 100_000])], names=["key", "n"])
 
         for row in rows_of(batches):
-            p = places(row)
-            i, keys = p.keys()
-            if not len(i):
+            _, keys = places(row).keys()
+            if not len(keys):
                 continue
-            held.append(merged(keys, np.ones(len(i), np.int32), *([] if pairs else [p.last[i + 1]])))
+            held.append(merged(keys, np.ones(len(keys), np.int32)))
             n += len(held[-1][0])
             if n >= GATHER:
                 held = [merged(*(np.concatenate(x) for x in zip(*held)))]
                 n = len(held[0][0])
                 if n >= GATHER // 2:
-                    yield from batches_of(held[0])
+                    yield from batches_of(*held[0])
                     held, n = [], 0
         if held:
-            yield from batches_of(merged(*(np.concatenate(x) for x in zip(*held))))
+            yield from batches_of(*merged(*(np.concatenate(x) for x in zip(*held))))
+
+    found = tokens.select("at", "last", "tail").mapInArrow(gather, "key long, n int")
+    return written(found.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key"), f"phrases-{words}")
 
-    found = tokens.select("at", "last", "tail").mapInArrow(gather, "key long, n int" if pairs else "key long, n int, suffix int")
-    suffix = (F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))).cast("int") if pairs else F.col("suffix")
-    often = found.groupBy("key").agg(F.sum("n").alias("n"), *([] if pairs else [F.min("suffix").alias("suffix")])).where(F.col("n") >= least)
-    return written(often.select("key", suffix.alias("suffix")), f"phrases-{words}")
+
+def described(level: DataFrame, before: DataFrame | None) -> DataFrame:
+    """number, key, prefix, suffix, f of a level: the numbers of the phrase without its last and without its first word.
+
+    Of a pair they are its words. Else the suffix is what the level before has for the prefix's own suffix followed by the last word.
+    """
+    word = F.col("key").bitwiseAND(F.lit(0xFFFFFFFF))
+    level = level.select("number", "key", F.shiftright("key", 32).alias("prefix"), word.alias("word"), "f")
+    if before is None:
+        return level.select("number", "key", "prefix", F.col("word").alias("suffix"), "f")
+    of_prefix = before.select(F.col("number").alias("prefix"), F.col("suffix").alias("middle"))
+    by_key = before.select(F.col("key").alias("b_key"), F.col("number").alias("suffix"))
+    joined = level.join(of_prefix, "prefix").withColumn("b_key", F.shiftleft("middle", 32).bitwiseOR(F.col("word"))).join(by_key, "b_key")
+    return joined.select("number", "key", "prefix", "suffix", "f")
 
 
 def added_up(rows: DataFrame, size: int) -> np.ndarray:
@@ -288,10 +296,10 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     tokens, path, one = numbered(blocks.select("lang", "codes", "words", "counts", *blank), path, level, 1)
     none = F.array().cast("array<long>")
     phrases = one.select("number", "lang", F.col("word").alias("phrase"), F.col("word").alias("tail"), "f", none.alias("left"), none.alias("right"))
-    every = []
+    every, before = [], None
     for words in range(2, longest + 1):
         tokens, path, level = numbered(tokens, path, candidates(tokens, words, least), words)
-        level = level.select("number", F.shiftright("key", 32).alias("prefix"), F.col("suffix").cast("long").alias("suffix"), "f")
+        before = level = written(described(level, before), f"described-{words}")
         if every:
             every[-1] = within(every[-1], level, share)
         side = lambda name: phrases.select(F.col("number").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("lang", "phrase", "tail", "f", "left", "right")])
