@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -35,8 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: Paths of tables written within scratch(), for each that is open.
-_SCRATCH: list[list[str]] = []
+class _Open(threading.local):
+    """Paths of tables written within scratch(), for each that this thread has open."""
+
+    def __init__(self) -> None:
+        self.paths: list[list[str]] = []
+
+
+_SCRATCH = _Open()
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -48,11 +55,11 @@ def delete(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end the intermediate tables that operators have written within it, also after a failure. Results must have been written by then."""
     made: list[str] = []
-    _SCRATCH.append(made)
+    _SCRATCH.paths.append(made)
     try:
         yield
     finally:
-        _SCRATCH.remove(made)
+        _SCRATCH.paths.remove(made)
         for path in made:
             delete(spark, path)
 
@@ -64,8 +71,8 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, **options) -> DataFrame:
     """The rows written as Parquet in the shared folder and read back: later stages don't depend on the executors that made them."""
     path = fresh_path(df.sparkSession, name)
-    if _SCRATCH:
-        _SCRATCH[-1].append(path)
+    if _SCRATCH.paths:
+        _SCRATCH.paths[-1].append(path)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

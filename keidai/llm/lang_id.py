@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keidai.llm.common import held_out, ship, without
+from keidai.llm.common import held_out, ship, small, without, written
 
 #: Documents of each language that are sampled, with their whole texts, and bytes of these texts: what bounds the dictionaries.
 SAMPLE_DOCS = 160
@@ -32,21 +32,29 @@ def plain(text: str) -> str:
     return OTHERS.sub(" ", text.lower())
 
 
-def dictionaries(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, bytes]:
-    """Raw-content dictionaries by language, of a bounded sample: of the documents that have letters those of least id hash, SAMPLE_DOCS at
-    most and no more than fill SAMPLE_BYTES. Whole texts are taken, one at least; texts over an eighth of these bytes come after all others."""
-    in_order = Window.partitionBy("lang").orderBy("long", "h", "text")
-    ranked = (
-        docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-        .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)).alias("h"), F.octet_length(text_col).alias("size"))
+def dictionaries(docs: DataFrame, text_col: str, lang_col: str) -> dict[str, bytes]:
+    """Raw-content dictionaries by language, of a bounded sample: of the different texts that have letters those of least hash, SAMPLE_DOCS at
+    most and no more than fill SAMPLE_BYTES. Whole texts are taken, one at least; texts over an eighth of these bytes come after all others.
+
+    The sample depends on texts and languages alone, and copies of a text are one. Hashes are ranked first, so that texts are moved for the sample only.
+    """
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
+        F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.octet_length(text_col).cast("long").alias("size"), F.col(text_col).alias("text")
+    )
+    in_order = Window.partitionBy("lang").orderBy("long", "h")
+    chosen = (
+        labelled.groupBy("lang", "h")
+        .agg(F.max("size").alias("size"))
         .withColumn("long", F.col("size") > SAMPLE_BYTES // 8)
         .withColumn("nth", F.row_number().over(in_order))
         .where(F.col("nth") <= SAMPLE_DOCS)
-        .withColumn("total", F.sum(F.col("size").cast("long")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("total", F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
         .where((F.col("total") <= SAMPLE_BYTES) | (F.col("nth") == 1))
+        .select("lang", "h", "nth")
     )
+    texts = labelled.join(small(written(chosen, "language-sample")), ["lang", "h"]).groupBy("lang", "nth").agg(F.min("text").alias("text"))
     parts: dict[str, list[str]] = {}
-    for r in ranked.select("lang", "nth", "text").orderBy("lang", "nth").collect():  # languages x SAMPLE_BYTES, or one longer text
+    for r in texts.orderBy("lang", "nth").collect():  # languages x SAMPLE_BYTES, or one longer text
         parts.setdefault(r["lang"], []).append(r["text"])
     return {lang: "\n".join(map(plain, x)).encode("utf-8", "replace") for lang, x in sorted(parts.items())}
 
@@ -79,14 +87,14 @@ class Classifier:
 def identify(docs: DataFrame, learn_from: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", margin: float = MARGIN) -> DataFrame:
     """Adds lang_pred, score (0 to 1: by how much the runner-up is larger) and rejected to `docs`.
 
-    Learns from `learn_from` (id, text, lang), a bounded sample of each language; predicts from the whole text alone.
+    Learns from `learn_from` (text, lang), a bounded sample of each language; predicts from the whole text alone.
     Null or letterless texts, and all texts if nothing could be learned, are `und` with score 0. `rejected` is true for
     `und` and for scores under `margin`. Equal sizes go to the language first in alphabet. Rows are kept as they are,
     repeated ones and null ids too; columns named as the new ones, in whatever case, are replaced.
     """
     spark = docs.sparkSession
     ship(spark)
-    content = spark.sparkContext.broadcast(dictionaries(learn_from, id_col, text_col, lang_col))
+    content = spark.sparkContext.broadcast(dictionaries(learn_from, text_col, lang_col))
     made = ["lang_pred", "score", "rejected"]
     docs = without(docs, made)
 

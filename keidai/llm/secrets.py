@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keidai.llm.common import written
+from keidai.llm.common import small, written
 
 
 @dataclass(frozen=True)
@@ -33,7 +34,14 @@ MORE = (
     Rule("hosting", r"gh[pousr]_[A-Za-z0-9]+", 0, 36),
 )
 RULES = BASE + MORE
-RULE_VERSION = "1"
+
+
+def version_of(rules: tuple[Rule, ...]) -> str:
+    """A version that changes with any of the rules."""
+    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
+
+
+RULE_VERSION = version_of(RULES)
 SPANS = "array<struct<start:int,ord:int,kind:string,stop:int>>"
 CHUNK = 256
 
@@ -93,26 +101,34 @@ def blob_id(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def scan_incremental(versions: DataFrame, text: str, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str = RULE_VERSION) -> DataFrame:
+def scan_incremental(versions: DataFrame, text: str, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, rule_version: str | None = None) -> DataFrame:
     """The ledger with the (blob, rule version) pairs of `versions` that it lacked scanned and added.
 
     A blob is the sha-256 of a whole text (null: empty), so equal texts are scanned once, at whatever paths and
-    in whatever versions they stand. Pairs the ledger has are not scanned again; old rows stay.
+    in whatever versions they stand. Pairs the ledger has are not scanned again; old rows stay. The rule version is that
+    of the rules themselves unless it is given. With a ledger only hashes are compared with it: content is moved for unseen blobs alone.
     """
-    blobs = versions.groupBy(blob_id(F.col(text)).alias("blob")).agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias("content"))
+    rule_version = rule_version or version_of(rules)
+    keyed = versions.select(blob_id(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("content"))
+    if ledger is not None:
+        known = ledger.where(F.col("rule_version") == rule_version).select("blob")
+        unseen = written(keyed.select("blob").distinct().join(known, "blob", "left_anti"), "unseen")
+        keyed = keyed.join(small(unseen), "blob", "left_semi")
+    blobs = keyed.groupBy("blob").agg(F.first("content").alias("content"))
     if ledger is None:
         return written(scan_blobs(blobs, rules).select("blob", F.lit(rule_version).alias("rule_version"), "spans"), "ledger")
-    known = ledger.where(F.col("rule_version") == rule_version).select("blob")
-    new = scan_blobs(blobs.join(known, "blob", "left_anti"), rules).select("blob", F.lit(rule_version).alias("rule_version"), "spans")
+    new = scan_blobs(blobs, rules).select("blob", F.lit(rule_version).alias("rule_version"), "spans")
     return written(ledger.unionByName(new), "ledger")
 
 
 def findings(versions: DataFrame, text: str, ledger: DataFrame, rule_version: str = RULE_VERSION) -> DataFrame:
-    """Joins the ledger's findings back to every version: its columns (without the text) and sc_spans."""
+    """Joins the ledger's findings back to every version: its columns, whatever their names, without the text, and sc_spans."""
     # Blobs without findings need no join; one hot blob's versions are split by adaptive execution. A pair that a ledger has twice is one.
     hit = ledger.where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).groupBy(F.col("blob").alias("sc_blob")).agg(F.min("spans").alias("sc_spans"))
-    keyed = versions.select(*[c for c in versions.columns if c not in (text, "sc_spans", "sc_key")], blob_id(F.col(text)).alias("sc_key"))
-    return keyed.join(hit, F.col("sc_key") == F.col("sc_blob"), "left").drop("sc_key", "sc_blob")
+    others = [c for c in versions.columns if c not in (text, "sc_spans")]
+    keyed = versions.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("sc_row") if others else F.lit(None).alias("sc_row"), blob_id(F.col(text)).alias("sc_key"))
+    joined = keyed.join(hit, F.col("sc_key") == F.col("sc_blob"), "left")
+    return joined.select(*[F.col(f"sc_row.`{c}`").alias(c) for c in others], "sc_spans")
 
 
 def joined_spans(spans: Column) -> Column:

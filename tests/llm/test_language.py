@@ -39,18 +39,18 @@ def test_against_plain_compression(spark, documents):
 
     learn = documents.where(~held_out("doc_id", 4, 2) & F.col("lang").isNotNull())
     by = {}
-    for r in learn.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h")).collect():
+    for r in learn.select("lang", "text", F.xxhash64("text").alias("h")).collect():
         if r["text"] and lang_id.LETTER.search(r["text"]):
             by.setdefault(r["lang"], []).append((len(r["text"].encode()) > lang_id.SAMPLE_BYTES // 8, r["h"], r["text"]))
     content = {}
     for lang, rows in by.items():
         taken, size = [], 0
-        for _, _, t in sorted(rows)[: lang_id.SAMPLE_DOCS]:
+        for _, _, t in sorted(set(rows))[: lang_id.SAMPLE_DOCS]:
             size += len(t.encode())
             if size <= lang_id.SAMPLE_BYTES or not taken:
                 taken.append(t)
         content[lang] = "\n".join(lang_id.plain(t) for t in taken).encode()
-    assert content == lang_id.dictionaries(learn, "doc_id", "text", "lang")
+    assert content == lang_id.dictionaries(learn, "text", "lang")
 
     def size(lang, text):
         d = zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -74,8 +74,9 @@ def test_repeated_rows_null_ids_and_long_texts_in_the_sample(make, monkeypatch):
 
     monkeypatch.setattr(lang_id, "SAMPLE_BYTES", 1000)
     docs = make([(None, "the house"), (None, "the house"), (4, None), (5, "the " * 100_000), (6, "word " * 20)])
-    content = lang_id.dictionaries(docs, "doc_id", "text", "lang")["en"]
-    assert content.count(b"the house") == 2 and b"word" in content and len(content) < 1000  # the long text comes last and doesn't fit
-    assert len(lang_id.dictionaries(docs.where("doc_id = 5"), "doc_id", "text", "lang")["en"]) == 400_000  # alone it is taken whole
+    content = lang_id.dictionaries(docs, "text", "lang")["en"]
+    assert content.count(b"the house") == 1 and b"word" in content and len(content) < 1000  # copies are one text; the long one comes last and doesn't fit
+    assert lang_id.dictionaries(docs.withColumn("doc_id", docs["doc_id"] + 1_000_000), "text", "lang")["en"] == content  # ids decide nothing
+    assert len(lang_id.dictionaries(docs.where("doc_id = 5"), "text", "lang")["en"]) == 400_000  # alone it is taken whole
     found = identify(docs, docs).collect()
     assert len(found) == 5 and len({(r["lang_pred"], r["score"]) for r in found if r["text"] == "the house"}) == 1

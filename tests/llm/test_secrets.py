@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from keidai.llm.secrets import BASE, findings, scan_incremental, secret_scan
+from keidai.llm.secrets import BASE, RULE_VERSION, RULES, findings, scan_incremental, secret_scan, version_of
 
 
 def brute(text):
@@ -37,14 +37,14 @@ def test_more_kinds_are_added_and_base_ones_stay(make):
 def test_ledger_scans_unseen_pairs_only(spark, make):
     old = make(["secret=abcdefghijklmnop", "clean"])
     ledger = scan_incremental(old, "text")
-    marked = spark.createDataFrame([(r["blob"], "1", []) for r in ledger.collect()], ledger.schema)  # what was scanned before is not scanned again
+    marked = spark.createDataFrame([(r["blob"], RULE_VERSION, []) for r in ledger.collect()], ledger.schema)  # what was scanned before is not scanned again
     new = make(["secret=abcdefghijklmnop", "clean", "token=abcdefghijklmnop", "token=abcdefghijklmnop"])
     after = scan_incremental(new, "text", marked)
     assert after.count() == 3
     assert [r["doc_id"] for r in findings(new, "text", after).where("size(sc_spans) > 0").orderBy("doc_id").collect()] == [2, 3]
     assert scan_incremental(new, "text", after).count() == 3
     assert scan_incremental(new, "text", after, rule_version="2").count() == 6
-    assert len(BASE) == 3
+    assert len(BASE) == 3 and version_of(RULES) == RULE_VERSION != version_of(BASE)
 
 
 def test_empty_table(make):
@@ -60,3 +60,9 @@ def test_repeated_rows_doubled_ledgers_and_many_matches(spark, make):
         text = " ".join(f"token={'abcdefghijklmnop' if i % 3 else 'short'}{i}" for i in range(n))
         r = secret_scan(make([text])).first()
         assert (r["n_assign"], r["base_sha256"]) == (brute(text)[0][0], hashlib.sha256(brute(text)[1].encode()).hexdigest())
+
+
+def test_findings_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "token=abcdefghijklmnop", "a", "b", "c", 3)], "doc_id long, text string, sc_blob string, SC_KEY string, spans string, sc_row int")
+    row = findings(df, "text", scan_incremental(df, "text")).first()
+    assert (row["sc_blob"], row["SC_KEY"], row["spans"], row["sc_row"], len(row["sc_spans"])) == ("a", "b", "c", 3, 1)
