@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keidai.plans import fixture_queries, network_queries, table_queries, text_queries
+from keidai.plans import fixture_queries, network_queries, page_queries, table_queries, text_queries
 
-QUERIES: dict = {**table_queries.QUERIES, **text_queries.QUERIES, **network_queries.QUERIES, **fixture_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**table_queries.SQL, **text_queries.SQL, **network_queries.SQL, **fixture_queries.SQL}
+QUERIES: dict = {**table_queries.QUERIES, **text_queries.QUERIES, **network_queries.QUERIES, **page_queries.QUERIES, **fixture_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**table_queries.SQL, **text_queries.SQL, **network_queries.SQL, **page_queries.SQL, **fixture_queries.SQL}

@@ -9,7 +9,8 @@ from keidai.functions.joins import small_side
 from keidai.sources.dumps import parse_pageview_line
 from keidai.sources.versions import current_parts, manifest, publish_parts
 
-FILE = r"(\d{4})-?(\d{2})[^/]*$"
+#: Year and month in the name of a dump, which is a file or a folder of part files.
+FILE = r"(\d{4})-?(\d{2})[^/]*(?:/part-[^/]*)?$"
 NAME = r"([^/]*)$"
 #: Rows of a month: each file's views of a title, with which version of the file they are from.
 MONTH = "month string, file string, modified timestamp, path string, title string, page_id string, views double"
@@ -17,8 +18,8 @@ BATCH = "batch="
 
 
 def monthly_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of title, page_id, year, month, views over a folder of dump files whose names hold their month."""
-    lines = spark.readStream.format("text").load(folder).select("value", F.col("_metadata.file_path").alias("path"))
+    """A stream of title, page_id, year, month, views over a folder of dumps whose names hold their month."""
+    lines = spark.readStream.format("text").option("recursiveFileLookup", "true").load(folder).select("value", F.col("_metadata.file_path").alias("path"))
     rows = lines.select(parse_pageview_line(F.col("value")).alias("r"), "path").where("r IS NOT NULL")
     part = lambda i: F.regexp_extract("path", FILE, i).try_cast("int")
     return rows.select(F.replace("r.title", F.lit("_"), F.lit(" ")).alias("title"), "r.page_id", part(1).alias("year"), part(2).alias("month"), "r.views")
