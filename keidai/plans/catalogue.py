@@ -1,8 +1,9 @@
-"""All registered queries over the reference's operators."""
+"""All registered queries over the reference's operators; each reads the given tables."""
 
 from __future__ import annotations
 
-from keidai.plans import fixture_queries, network_queries, page_queries, table_queries, text_queries
+from keidai.plans import network_queries, page_queries, table_queries, text_queries
 
-QUERIES: dict = {**table_queries.QUERIES, **text_queries.QUERIES, **network_queries.QUERIES, **page_queries.QUERIES, **fixture_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**table_queries.SQL, **text_queries.SQL, **network_queries.SQL, **page_queries.SQL, **fixture_queries.SQL}
+MODULES = (table_queries, text_queries, network_queries, page_queries)
+QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for m in MODULES for name, sql in m.SQL.items()}

@@ -9,7 +9,7 @@ from keidai.operators import access, benefits, display, gaps, identity, priority
 from keidai.plans.network_queries import MASTER_SQL, master_tables
 from keidai.plans.table_queries import SCORE_SQL, priority_inputs, read
 from keidai.plans.text_queries import LINES_SQL, order_lines, pick
-from keidai.sources import dumps, masters
+from keidai.sources import dumps, masters, samples
 from keidai.sources.shared import fresh_folder
 from keidai.streaming import pageviews
 
@@ -252,6 +252,45 @@ def report_of_tables(spark, sf_dir):
     return masters.report(masters.validate(master_tables(spark, sf_dir)))
 
 
+TITLES = tuple(dict.fromkeys(t for titles in dumps.CLASSICAL_TITLES.values() for t in titles))
+TITLE_ROWS = ", ".join(f"({i}, '{t}')" for i, t in enumerate(TITLES))
+
+
+@query(f"WITH t(i, title) AS (VALUES {TITLE_ROWS}) SELECT title, count(p_partkey) AS pages FROM t LEFT JOIN part ON p_partkey % 20 = i AND i % 5 <> 4 GROUP BY 1")
+def classical_pages_of_parts(spark, sf_dir):
+    """How many pages there are of each classical title, of works that share titles; titles without one have 0."""
+    k = F.col("p_partkey") % 20
+    pages = read(spark, sf_dir, "part").where((k < len(TITLES)) & (k % 5 != 4)).select(pick(TITLES, k).alias("title"))
+    counts = pages.groupBy("title").agg(F.count(F.lit(1)).alias("n"))
+    return dumps.classical_titles(spark).join(counts, "title", "left").select("title", F.coalesce("n", F.lit(0)).alias("pages"))
+
+
+@query(f"""WITH e AS (SELECT 'V6' AS rule, '[cluster_benefits.yaml] クラスタ "' || n_name || '" が deity_clusters.yaml に存在しません' AS line FROM nation WHERE n_nationkey % 3 <> 0
+UNION ALL SELECT 'V8', '[cluster_benefits.yaml] ' || n_name || '.primary の御利益ID "b' || n_regionkey || '" が benefits.yaml に存在しません' FROM nation WHERE n_nationkey % 3 <> 0
+UNION ALL SELECT 'V3', '[benefits.yaml] 大分類が欠けています: {", ".join(gaps.MAJORS)}') SELECT rule, line FROM e""")
+def load_errors_of_nations(spark, sf_dir):
+    """What loading master files with errors raises: every error, with its file."""
+    rows = read(spark, sf_dir, "nation").where("n_nationkey % 3 <> 0").orderBy("n_nationkey").collect()  # 25 nations at most, as a master file
+    lines = ["mappings:", *[f'  - {{cluster: "{r["n_name"]}", primary: [b{r["n_regionkey"]}]}}' for r in rows]]
+    try:
+        masters.load(spark, {name: "" for name in masters.FILES} | {"cluster_benefits": "\n".join(lines)})
+    except masters.MasterDataError as e:
+        found = spark.createDataFrame([(line,) for line in str(e).split("\n")], "line string")
+        rule = F.when(F.col("line").contains("クラスタ"), "V6").when(F.col("line").contains("御利益ID"), "V8").otherwise("V3")
+        return found.select(rule.alias("rule"), "line")
+    raise AssertionError("no error was raised")
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '乙訓坐大雷神社（サンプル）' WHEN 1 THEN '某建勲系神社（サンプル）' ELSE '某山中の寺（サンプル）' END AS name, CASE o_orderkey % 4 WHEN 0 THEN 'TRAIN_ONLY' WHEN 1 THEN 'UNKNOWN' ELSE 'CAR_ONLY' END AS access_mode,
+CASE o_orderkey % 4 WHEN 0 THEN '長岡京駅' WHEN 1 THEN '大社前' ELSE '谷口' END AS stop, CAST(CASE o_orderkey % 4 WHEN 0 THEN 3 ELSE 0 END AS INTEGER) AS n_benefits, CAST(CASE o_orderkey % 4 WHEN 2 THEN 51 END AS INTEGER) AS order_no FROM orders WHERE o_orderkey % 4 < 3""")
+def samples_of_orders(spark, sf_dir):
+    """Orders that ask for a sample site; an id that none has is left out."""
+    asked = read(spark, sf_dir, "orders").select("o_orderkey", pick(("sample-otokuni", "sample-kenkun", "sample-yamadera", "sample-none"), F.col("o_orderkey") % 4).alias("id"))
+    sites = F.broadcast(samples.sample_sites(spark))  # three rows
+    stop = F.coalesce("access.station.name", "access.bus.name")
+    return asked.join(sites, "id").select("o_orderkey", "name", "access.access_mode", stop.alias("stop"), F.size("benefits").alias("n_benefits"), F.get("groups", F.lit(0))["order_no"].alias("order_no"))
+
+
 # ── From infoboxes to a search ──
 
 

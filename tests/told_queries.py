@@ -1,4 +1,4 @@
-"""Operators over inline rows: texts whose results can be told by hand. The SQL of each states the expected rows."""
+"""Operators over inline rows: texts whose results can be told by hand. The SQL of each states the expected rows. They read no table, so they are tests and not registered."""
 
 from __future__ import annotations
 
@@ -426,9 +426,9 @@ def unparsed_lines(spark, sf_dir):
     return registry.unparsed_sample(registry_lines(spark), 5)
 
 
-@query("id VARCHAR, name VARCHAR, n_groups INTEGER", ("kawa-no-yashiro", "川の社", 1))
+@query("id VARCHAR, name VARCHAR, n_groups INTEGER, bus VARCHAR", ("sample-yamadera", "某山中の寺（サンプル）", 1, "谷口"))
 def sample_site(spark, sf_dir):
-    return samples.find_site(samples.sample_sites(spark), "kawa-no-yashiro").select("id", "name", F.size("groups").alias("n_groups"))
+    return samples.find_site(samples.sample_sites(spark), "sample-yamadera").select("id", "name", F.size("groups").alias("n_groups"), F.col("access.bus.name").alias("bus"))
 
 
 @query("name VARCHAR, n BIGINT", ("majors", 10), ("minors", 4), ("clusters", 4), ("mappings", 4), ("overrides", 2), ("groups", 3), ("suppressed", 1))
