@@ -190,31 +190,53 @@ def running_ratio(spark, sf_dir):
     return rest.join(running.running_ratio(running.state_of(spark, root)), "title", "left").withColumn("clipped", F.coalesce("clipped", F.lit(False)))
 
 
-@query("""WITH m AS (SELECT unnest([1, 2, 3]) AS month) SELECT s_name AS title, CAST(2026 AS INTEGER) AS year, CAST(month AS INTEGER) AS month, CAST(s_suppkey * 100 + month AS BIGINT) AS views FROM supplier, m WHERE s_suppkey % 5 <> 0""")
-def views_of_suppliers(spark, sf_dir):
-    """Answers of a service as files that the source asks for by address; a title without an answer isn't known."""
+def answers_as_files(spark: SparkSession, answers: DataFrame) -> str:
+    """Writes answers (title, body) of a service as files, and returns the address under which the source asks for them."""
     import pyarrow as pa
 
     from keidai.sources.shared import ship
 
-    k = F.col("s_suppkey")
-    items = F.array(*[F.struct(F.lit(f"2026{m:02d}0100").alias("timestamp"), (k * 100 + m).alias("views")) for m in (1, 2, 3)])
-    answers = read(spark, sf_dir, "supplier").where(k % 5 != 0).select(F.col("s_name").alias("title"), F.to_json(F.struct(items.alias("items"))).alias("body"))
     folder = fresh_folder(spark, "answers")
 
     def write(batches):
         files, path = pageview_api.folder_of(folder)
         files.create_dir(path, recursive=True)
+        n = 0
         for batch in batches:
             for title, body in zip(batch.column("title").to_pylist(), batch.column("body").to_pylist()):
                 with files.open_output_stream(f"{path}/{title}") as f:
                     f.write(body.encode())
-        yield pa.RecordBatch.from_pydict({"n": pa.array([1], pa.int64())})
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
 
     ship(spark)
-    answers.mapInArrow(write, "n long").agg(F.sum("n")).collect()
-    titles = read(spark, sf_dir, "supplier").select(F.col("s_name").alias("title"))
-    return pageview_api.read_pageviews_api(titles, fresh_folder(spark, "spool"), "2026010100", "2026030100", service=f"{folder if '://' in folder else 'file://' + folder}/{{title}}", spacing=0, lanes=4)
+    answers.select("title", "body").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return f"{folder if '://' in folder else 'file://' + folder}/{{title}}"
+
+
+def answer(k: Column, months: tuple[int, ...]) -> Column:
+    return F.to_json(F.struct(F.array(*[F.struct(F.lit(f"2026{m:02d}0100").alias("timestamp"), (k * 100 + m).alias("views")) for m in months]).alias("items")))
+
+
+@query("""WITH m AS (SELECT unnest([1, 2, 3]) AS month) SELECT s_name AS title, CAST(2026 AS INTEGER) AS year, CAST(month AS INTEGER) AS month, CAST(s_suppkey * 100 + month AS BIGINT) AS views FROM supplier, m WHERE s_suppkey % 5 <> 0""")
+def views_of_suppliers(spark, sf_dir):
+    """Answers of a service as files that the source asks for by address; a title without an answer isn't known."""
+    k = F.col("s_suppkey")
+    supplier = read(spark, sf_dir, "supplier")
+    service = answers_as_files(spark, supplier.where(k % 5 != 0).select(F.col("s_name").alias("title"), answer(k, (1, 2, 3)).alias("body")))
+    return pageview_api.read_pageviews_api(supplier.select(F.col("s_name").alias("title")), fresh_folder(spark, "spool"), "2026010100", "2026030100", service=service, spacing=0, lanes=4)
+
+
+@query("""WITH t AS (SELECT n_nationkey AS k, n_name AS title, unnest([1, 2]) AS month FROM nation) SELECT title, CAST(2026 AS INTEGER) AS year, CAST(month AS INTEGER) AS month, CAST(100 * k + month AS BIGINT) AS views FROM t WHERE k % 5 <> 0""")
+def months_of_an_api(spark, sf_dir):
+    """Nations asked twice with one spool: first only some have an answer, then the others are asked, and none again."""
+    k = F.col("n_nationkey")
+    nation = read(spark, sf_dir, "nation")
+    service = answers_as_files(spark, nation.where(k % 5 != 0).select(F.col("n_name").alias("title"), answer(k, (1, 2)).alias("body")))
+    spool, titles = fresh_folder(spark, "spool"), nation.select(k, F.col("n_name").alias("title"))
+    ask = lambda rows: pageview_api.read_pageviews_api(rows, spool, "2026010100", "2026020100", service=service, spacing=0)
+    ask(titles.where(k % 2 == 0)).write.format("noop").mode("overwrite").save()
+    return ask(titles)
 
 
 # ── Gaps, masters, publication ──

@@ -310,20 +310,3 @@ SELECT CAST(row_number() OVER (ORDER BY n, o0, o1, o2, o3) - 1 AS INTEGER) AS nt
 def gap_report(spark, sf_dir):
     lines = gaps.markdown(few_places(spark, sf_dir), "2026-09-01").split("\n")  # a report of some hundred lines
     return spark.createDataFrame(list(enumerate(lines)), "nth int, line string")
-
-
-@query("""WITH t AS (SELECT n_nationkey AS k, n_name AS title, unnest([1, 2]) AS month FROM nation) SELECT title, CAST(2026 AS INTEGER) AS year, CAST(month AS INTEGER) AS month, CAST(100 * k + month AS BIGINT) AS views FROM t WHERE k % 5 <> 0""")
-def months_of_an_api(spark, sf_dir):
-    titles = {r["n_name"]: r["n_nationkey"] for r in read(spark, sf_dir, "nation").collect()}  # 25 titles: the service takes one request in six seconds
-    asked: dict[str, int] = {}
-
-    def fetch(url: str) -> tuple[int, str]:
-        k = int(url.rpartition("/")[2])
-        asked[url] = asked.get(url, 0) + 1
-        if k % 5 == 0:
-            return 404, ""
-        if k % 3 == 0 and asked[url] < 3:
-            return 429, ""
-        return 200, '{"items":[' + ",".join(f'{{"timestamp":"20260{m}0100","views":{100 * k + m}}}' for m in (1, 2)) + "]}"
-
-    return dumps.fetch_views(spark, [(t, f"http://api/{k}") for t, k in titles.items()], fetch, lambda seconds: None)

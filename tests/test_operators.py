@@ -161,7 +161,7 @@ def test_xml_dump_keeps_wanted_titles(spark, tmp_path):
 
 def test_registry_and_priority_outputs(spark, tmp_path):
     from keidai.operators import registry
-    from keidai.plans.fixture_queries import registry_lines
+    from told_queries import registry_lines
 
     lines = registry_lines(spark)
     shrines, out = registry.shrines(lines), str(tmp_path / "registry")
