@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keidai.operators.access import without_car
+from keidai.sources.shared import kept
 
 # Regions with their first and last prefecture; kinds with their headings, in order.
 REGIONS = (("北海道", 1, 1), ("東北", 2, 7), ("関東", 8, 14), ("中部", 15, 23), ("近畿", 24, 30), ("中国", 31, 35), ("四国", 36, 39), ("九州・沖縄", 40, 47))
@@ -129,15 +130,32 @@ def by_kind(gaps: DataFrame) -> DataFrame:
     return gaps.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def report(gaps: DataFrame, date: str, title: str = "穴の検出結果") -> DataFrame:
+    """nth, line: the report, with a section for each kind that has gaps, in the fixed order of kinds. Gaps are cells of a grid, groups and one row more, so they are few."""
+    from pyspark.sql import Window
+
+    gaps = kept(gaps, "gaps")  # the report takes them apart five times
+    spark, c = gaps.sparkSession, F.col
+    kinds = F.broadcast(spark.createDataFrame([(i, k, label) for i, (k, label) in enumerate(KINDS.items(), 1)], "section int, kind string, label string"))  # six rows
+    blank = gaps.schema["ord"].dataType
+    at = lambda section, step, line, ord_=None: (section.cast("int").alias("section"), F.lit(step).alias("step"), (F.lit(None).cast(blank) if ord_ is None else ord_).alias("ord"), line.alias("line"))
+    total = gaps.agg(F.count(F.lit(1)).alias("n"))
+    none = F.lit(0)
+    texts = [F.lit(f"# {title} {date}"), F.lit(""), F.format_string("検出した穴: **%d 件**", "n"), F.lit(""), F.lit("この一覧が、そのまま次の収録キューになります。"), F.lit("")]
+    lines = total.select(F.posexplode(F.array(*texts)).alias("step", "line")).select(none.alias("section"), "step", F.lit(None).cast(blank).alias("ord"), "line")
+    counts = by_kind(gaps).join(kinds, "kind")
+    parts = [
+        counts.select(*at(c("section"), 0, F.format_string("## %s（%d件）", "label", "n"))),
+        counts.select(*at(c("section"), 1, F.lit(""))),
+        gaps.join(kinds, "kind").select(*at(c("section"), 2, F.concat(F.lit("- "), "description"), c("ord"))),
+        counts.select(*at(c("section"), 3, F.lit(""))),
+        total.where("n = 0").select(*at(F.lit(99), 0, F.lit("穴は検出されませんでした。"))),
+    ]
+    for part in parts:
+        lines = lines.unionAll(part)
+    return lines.select((F.row_number().over(Window.orderBy("section", "step", "ord", "line")) - 1).alias("nth"), "line")
+
+
 def markdown(gaps: DataFrame, date: str, title: str = "穴の検出結果") -> str:
-    """The report: a section for each kind that has gaps, in the fixed order of kinds."""
-    rows = gaps.groupBy("kind").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "description"))), lambda x: x["description"]).alias("lines"), F.count(F.lit(1)).alias("n")).collect()
-    found = {r["kind"]: r["lines"] for r in rows}
-    total = sum(len(x) for x in found.values())
-    out = [f"# {title} {date}", "", f"検出した穴: **{total} 件**", "", "この一覧が、そのまま次の収録キューになります。", ""]
-    for kind, label in KINDS.items():
-        if kind in found:
-            out += [f"## {label}（{len(found[kind])}件）", "", *[f"- {line}" for line in found[kind]], ""]
-    if not total:
-        out.append("穴は検出されませんでした。")
-    return "\n".join(out)
+    """The report as one text: some hundred lines."""
+    return "\n".join(r["line"] for r in report(gaps, date, title).orderBy("nth").collect())

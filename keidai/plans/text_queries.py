@@ -308,5 +308,4 @@ UNION ALL SELECT n, -2, 0, 0, 0, '## ' || label || '（' || c || '件）' FROM s
 UNION ALL SELECT n, o0, o1, o2, o3, '- ' || description FROM g JOIN k USING (kind) UNION ALL SELECT n, 9, 0, 0, 0, '' FROM s)
 SELECT CAST(row_number() OVER (ORDER BY n, o0, o1, o2, o3) - 1 AS INTEGER) AS nth, line FROM t WHERE line IS NOT NULL""")
 def gap_report(spark, sf_dir):
-    lines = gaps.markdown(few_places(spark, sf_dir), "2026-09-01").split("\n")  # a report of some hundred lines
-    return spark.createDataFrame(list(enumerate(lines)), "nth int, line string")
+    return gaps.report(few_places(spark, sf_dir), "2026-09-01")

@@ -318,6 +318,15 @@ def test_gaps_are_one_scan_and_one_shuffle(spark, sf, tmp_path):
     assert got["benefit", "北海道", "shoubai"] == 0 and ("benefit", "北海道", "enmusubi") not in got and ("geography", "01", None) not in got
 
 
+def test_priority_computes_its_inputs_once(spark, sf):
+    from keidai.plans.table_queries import QUERIES
+
+    df = QUERIES["priority_score"](spark, sf)
+    df.collect()
+    final = plan(df).partition("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") >= 2  # the ranges stand beside the inputs; their shuffles are shared
+
+
 def test_rules_of_masters_read_each_table_once(spark, sf):
     t = network_queries.master_tables(spark, sf)
     assert plan(masters.claims(t)).count("FileScan parquet") == 6
