@@ -12,7 +12,7 @@ from keidai.functions.tables import register_tables
 from keidai.operators import access, gaps, nearby, paths, priority, rules, running
 from keidai.plans.table_queries import NOW, RATIO_SQL, monthly, read
 from keidai.plans.text_queries import GAP_MAJORS, GAP_REGIONS, NOTES, PROVINCES, listed, order_lines, pick
-from keidai.sources import dumps, lines, masters, pageview_api, tiles, versions
+from keidai.sources import lines, masters, pageview_api, tiles, versions
 from keidai.sources.shared import fresh_folder
 from keidai.streaming import pageviews
 
