@@ -264,3 +264,21 @@ def test_gap_report(spark):
     schema = "id string, pos int, name string, prefecture_code string, benefits array<struct<major_id:string,weight:string>>, access_mode string, goshuin_available string, etiquette_source_type string"
     report = gaps.markdown(gaps.detect(spark.createDataFrame([], schema)), "2026-08-31")
     assert "**143 件**" in report and report.index("地理の穴") < report.index("御利益の穴") < report.index("御朱印の穴")
+
+
+def test_rows_of_sites_are_dealt_by_what_they_become(spark, monkeypatch):
+    """A task holds the benefits of some sites alone: of twice the deities there are twice the parts; no derived row is shuffled again for official ones."""
+    from keidai.functions import joins
+
+    monkeypatch.setattr(joins.parts_of, "__defaults__", (1.0, 100))
+    mapping = spark.range(10).selectExpr("'c' AS cluster", "concat('b', id) AS benefit", "'primary' AS weight", "0 AS weight_rank", "id AS pos", "CAST(NULL AS STRING) AS policy")
+    taxonomy = mapping.selectExpr("benefit", "'m' AS major")
+    lore = spark.range(50).selectExpr("id AS site_id", "0 AS pos", "'b3' AS benefit_id", "'http://s' AS source_url").unionByName(spark.sql("SELECT CAST(NULL AS BIGINT) AS site_id, 0 AS pos, 'b3' AS benefit_id, 'http://n' AS source_url"))
+    for n in (100, 200):
+        deities = spark.range(n).selectExpr("nullif(id, 99) AS site_id", "0 AS pos", "'d' AS display", "'c' AS cluster_id")
+        assert benefits.parts_for(deities, mapping) == n // 10 + 1
+        out = benefits.official(deities, mapping, taxonomy, lore)
+        assert out.groupBy("confidence").count().orderBy("confidence").collect() == [("derived", 10 * n - 50), ("official", 51)]
+        assert out.where("site_id IS NULL AND benefit_id = 'b3'").count() == 2  # rows without a site are of none
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert f"hashpartitioning(site_id#" in plan and "site_id, benefit_id" not in plan and f", {n // 10 + 1}), REPARTITION_BY_NUM" in plan
