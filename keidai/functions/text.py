@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ SPELLINGS = tuple(v for v in VARIANTS if not v[0].startswith("["))
 CHARACTERS = {ch: to for pattern, to in VARIANTS if pattern.startswith("[") for ch in pattern[1:-1] if ch != to} | {chr(k): chr(k - 0x60) for k in range(0x30A1, 0x30F7)}
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c as a bound variable: however often f names it, it is evaluated once. An expression that folds a text would else be so at each mention."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def js_trim(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{WHITE}]+|[{WHITE}]+$", "")
 

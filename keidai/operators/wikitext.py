@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keidai.functions.text import WHITE, js_trim, present, split_entries, strip_annotations
+from keidai.functions.joins import spread
+from keidai.functions.text import WHITE, js_trim, once, present, split_entries, strip_annotations
 
 # Fixed values.
 MARKERS = ("相殿", "配神", "合祀", "摂社", "末社")
@@ -15,7 +16,7 @@ DELEGATED = rf"(?i)\{{\{{[{WHITE}]*wikidata[{WHITE}]*\|"
 
 
 def _until(text: Column, tokens: str, start: Column, depths, ends) -> Column:
-    """The beginning of a text up to where a fold over its tokens ends. The fold keeps depths and a length alone, so it is linear in the tokens."""
+    """The beginning of a text up to where a fold over its tokens ends. The fold keeps depths and a length alone, so it is linear in the tokens. `text` is a bound variable, as it is read twice."""
 
     def step(acc: Column, token: Column) -> Column:
         n, done = ends(acc, token)
@@ -31,18 +32,20 @@ def _turn(token: Column, opens: str, closes: str) -> Column:
 
 def _template(text: Column, name: str) -> Column:
     """From the first {{name to its balanced end, or to the end of the text; null if there is none."""
-    rest = F.when(F.instr(text, "{{" + name) > 0, F.substr(text, F.instr(text, "{{" + name)))
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"))
     depth = lambda acc, token: {"depth": acc["depth"] + _turn(token, "{{", "}}")}
     closed = lambda acc, token: (F.length(token), (token == "}}") & (acc["depth"] == 1))
-    return _until(rest, TOKENS, start, depth, closed)
+    return once(text, lambda t: once(F.nullif(F.instr(t, "{{" + name), F.lit(0)), lambda at: once(F.substr(t, at), lambda rest: _until(rest, TOKENS, start, depth, closed))))
 
 
 def infobox_param(text: Column, template: str, param: str) -> Column:
     """The trimmed value of a parameter of a template, up to the next bar outside of braces and brackets; null if absent or empty."""
-    body = _template(text, template)
+    return _param(_template(text, template), param)
+
+
+def _param(body: Column, param: str) -> Column:
     pattern = f"(?s)^.*?\\|[{WHITE}]*{param}[{WHITE}]*=(.*)$"
-    value = F.when(body.rlike(pattern), F.regexp_extract(body, pattern, 1))
+    value = once(body, lambda b: F.when(b.rlike(pattern), F.regexp_extract(b, pattern, 1)))
     start = F.struct(F.lit(0).alias("brace"), F.lit(0).alias("bracket"), F.lit(0).alias("n"), F.lit(False).alias("done"))
     depths = lambda acc, token: {"brace": acc["brace"] + _turn(token, "{{", "}}"), "bracket": acc["bracket"] + _turn(token, "[[", "]]")}
 
@@ -50,20 +53,23 @@ def infobox_param(text: Column, template: str, param: str) -> Column:
         over = (acc["brace"] == 0) & ((token == "}}") | ((token == "|") & (acc["bracket"] == 0)))
         return F.when(over, 0).otherwise(F.length(token)), over
 
-    return present(js_trim(_until(value, TOKENS, start, depths, ends)))
+    return present(js_trim(once(value, lambda v: _until(v, TOKENS, start, depths, ends))))
 
 
 def entry(c: Column) -> Column:
     """Struct display, link_target of one entry; null if it names no deity."""
-    s = js_trim(c)
+    return once(js_trim(c), _entry)
+
+
+def _entry(s: Column) -> Column:
     link = r"\[\[([^\]|]+)(?:\|([^\]]+))?\]\]"
     target = js_trim(F.regexp_extract(s, link, 1))
     bare = js_trim(F.regexp_replace(F.regexp_replace(s, "[（(][^）)]*[）)]", ""), "^[（(]", ""))
+    plain = once(bare, lambda b: F.when((b != "") & ~b.rlike("^(ほか|他|以下|など|等)"), F.struct(b.alias("display"), F.lit(None).cast("string").alias("link_target"))))
     return (
         F.when((s == "") | s.rlike(DELEGATED), None)
         .when(s.rlike(link), F.struct(js_trim(F.coalesce(present(F.regexp_extract(s, link, 2)), F.regexp_extract(s, link, 1))).alias("display"), target.alias("link_target")))
-        .when((bare == "") | bare.rlike("^(ほか|他|以下|など|等)"), None)
-        .otherwise(F.struct(bare.alias("display"), F.lit(None).cast("string").alias("link_target")))
+        .otherwise(plain)
     )
 
 
@@ -74,7 +80,7 @@ def deities(raw: Column) -> Column:
 
 def shrine_info(pages: DataFrame, text: str = "text") -> DataFrame:
     """Adds deities (display, link_target, role, source), delegated_to_wikidata, has_aidono_marker and raw of a shrine's infobox."""
-    raw = pages.withColumn("raw", infobox_param(F.col(text), SHRINE, "祭神"))
+    raw = spread(pages).withColumn("raw", infobox_param(F.col(text), SHRINE, "祭神"))
     r = F.col("raw")
     named = F.filter(deities(r), lambda x: ~x["display"].isin(*MARKERS))
     full = F.transform(named, lambda x: F.struct(x["display"].alias("display"), x["link_target"].alias("link_target"), F.lit("unknown").alias("role"), F.lit("jawp").alias("source")))
@@ -89,7 +95,7 @@ def shrine_info(pages: DataFrame, text: str = "text") -> DataFrame:
 def temple_info(pages: DataFrame, text: str = "text") -> DataFrame:
     """Adds honzon (display, link_target, role, source), denomination, fudasho and raw of a temple's infobox."""
     t = F.col(text)
-    raw = pages.withColumn("raw", infobox_param(t, TEMPLE, "本尊"))
+    raw = spread(pages).withColumn("raw", infobox_param(t, TEMPLE, "本尊"))
     full = F.transform(deities(F.col("raw")), lambda x: F.struct(x["display"].alias("display"), x["link_target"].alias("link_target"), F.lit("unknown").alias("role"), F.lit("jawp").alias("source")))
     return raw.withColumns({
         "honzon": F.coalesce(full, F.array().cast("array<struct<display:string,link_target:string,role:string,source:string>>")),

@@ -10,7 +10,7 @@ from keidai.plans.network_queries import MASTER_SQL, master_tables
 from keidai.plans.table_queries import SCORE_SQL, priority_inputs, read
 from keidai.plans.text_queries import LINES_SQL, order_lines, pick
 from keidai.sources import dumps, masters, samples
-from keidai.sources.shared import fresh_folder
+from keidai.sources.shared import fresh_folder, kept
 from keidai.streaming import pageviews
 
 QUERIES: dict = {}
@@ -308,11 +308,12 @@ def infobox_to_search(spark, sf_dir):
     body = F.when(k % 9 == 0, F.lit("{{神社|祭神={{wikidata|P825}}}}")).otherwise(F.concat(F.lit("{{神社\n|　祭神　= "), entries, F.lit("\n|社格=一宮}}")))
     part = read(spark, sf_dir, "part")
     pages = wikitext.shrine_info(part.select(k.alias("site_id"), body.alias("text")))
-    deities = pages.select("site_id", F.posexplode("deities").alias("pos", "d")).select("site_id", "pos", "d.display", "d.link_target", F.lit(None).cast("string").alias("qid"))
+    # Outer, as a filter on empty arrays would be pushed down to where the file is read, and read every page twice and on one core.
+    deities = pages.select("site_id", F.posexplode_outer("deities").alias("pos", "d")).where("pos IS NOT NULL").select("site_id", "pos", "d.display", "d.link_target", F.lit(None).cast("string").alias("qid"))
     n = F.col("n_nationkey")
     nation = read(spark, sf_dir, "nation")
     clusters = nation.select(n.cast("int").alias("ord"), word(n, "n").alias("id"), word(n, "NATION_", "命").alias("label"), F.array().cast("array<string>").alias("qids"), F.array().cast("array<string>").alias("aliases"))
-    found = identity.resolve_deities(deities, clusters)
+    found = kept(identity.resolve_deities(deities, clusters), "deities")  # they are counted before they are dealt
     rule = lambda b, weight, rank: nation.select(word(n, "n").alias("cluster"), word(b, "b").alias("benefit"), F.lit(weight).alias("weight"), F.lit(rank).alias("weight_rank"), F.lit(0).alias("pos"), F.when(n % 8 == 7, "NO_AUTO_MAPPING").alias("policy"))
     mapping = rule(n % 6, "primary", 0).unionByName(rule(n % 4 + 6, "secondary", 1))
     taxonomy = spark.range(10).select(word(F.col("id"), "b").alias("benefit"), word(F.col("id") % 3, "m").alias("major"))

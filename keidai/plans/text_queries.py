@@ -133,7 +133,8 @@ def infoboxes_of_parts(spark, sf_dir):
         .otherwise("{{wikidata|property|P825}}")
     )
     pages = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("前文{{神社\n|名称="), F.col("p_name"), F.lit("\n|祭神="), field, F.lit("\n|社格={{ウィキ座標|1}}}}本文 |祭神=外")).alias("text"))
-    return wikitext.shrine_info(pages).select("p_partkey", F.inline(F.transform("deities", lambda d: F.struct(d["display"].alias("display"), d["link_target"].alias("link_target")))))
+    named = F.transform("deities", lambda d: F.struct(d["display"].alias("display"), d["link_target"].alias("link_target")))
+    return wikitext.shrine_info(pages).select("p_partkey", F.inline_outer(named)).where("display IS NOT NULL")  # outer, as a filter on empty arrays would be pushed down to where the file is read
 
 
 @query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '阿弥陀如来' || CAST(p_partkey AS VARCHAR) ELSE '' END AS honzon, CASE WHEN p_partkey % 3 = 0 THEN '浄土真宗本願寺派' ELSE '天台宗' END AS denomination,

@@ -282,3 +282,14 @@ def test_rows_of_sites_are_dealt_by_what_they_become(spark, monkeypatch):
         assert out.where("site_id IS NULL AND benefit_id = 'b3'").count() == 2  # rows without a site are of none
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert f"hashpartitioning(site_id#" in plan and "site_id, benefit_id" not in plan and f", {n // 10 + 1}), REPARTITION_BY_NUM" in plan
+
+
+def test_an_infobox_is_folded_once_and_off_the_reading_task(spark, sf):
+    from keidai.plans.catalogue import QUERIES
+
+    for name in ("infoboxes_of_parts", "temples_of_parts"):
+        lines = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        at = next(i for i, line in enumerate(lines) if "Repartition " in line)
+        assert not any("aggregate(" in line for line in lines[at + 1 :])
+        folds = sum(line.count("aggregate(regexp_extract_all(") for line in lines)
+        assert folds <= (2 if name == "infoboxes_of_parts" else 10)  # the template and the value, of each parameter
