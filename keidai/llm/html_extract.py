@@ -4,11 +4,13 @@ aligned nodes whose text never changes are the host's template, those whose text
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +20,10 @@ from keidai.llm.common import ship, small, written
 
 #: A node is template if its text is the same in so many pages of a host with as many different texts.
 TEMPLATE_PAGES = 5
-#: Pairs of siblings that are weighed at once, at most; longer lists that neither begin nor end alike are matched in order of their keys, first come first.
+#: Weights of pairs of siblings that are held at once, at most; of longer lists some rows are held, and those between them are found again.
 PAIRS = 1 << 20
+#: From so many siblings on, a row of weights is an array.
+WIDE = 64
 #: Characters of exemplars, and nodes of mappings, that a task remembers; then it starts anew.
 HELD_CHARS, HELD_NODES = 4_000_000, 500_000
 
@@ -276,39 +280,60 @@ class Matching:
         pairs = [*zip(xs[:low], ys[:low]), *zip(xs[len(xs) - high :], ys[len(ys) - high :])]
         return pairs, xs[low : len(xs) - high], ys[low : len(ys) - high]
 
-    def candidates(self, xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]] | None:
-        """For lists too long to be weighed: each node with the next of its key."""
-        if len(xs) * len(ys) <= PAIRS:
-            return None
-        later: dict[str, list[int]] = {}
-        for j, y in reversed(list(enumerate(ys))):
-            later.setdefault(y.key, []).append(j)
-        out, at = [], 0
-        for x in xs:
-            places = later.get(x.key, [])
-            while places and places[-1] < at:
-                places.pop()
-            if places:
-                at = places.pop() + 1
-                out.append((x, ys[at - 1]))
-        return out
-
     def weight(self, x: Node, y: Node) -> int:
         if x.sig == y.sig:
             return x.full
         own = PAIR + (x.mark != "" and x.mark == y.mark)
         return own if not x.children or not y.children else self.known[x.sig, y.sig]
 
-    def rows(self, xs: list[Node], ys: list[Node]) -> list[list[int]]:
-        """Weights of the best order-preserving mappings of the first nodes of two lists."""
-        best = [[0] * (len(ys) + 1)]
+    def rows(self, xs: list[Node], ys: list[Node], above: list[int] | np.ndarray) -> Iterator[list[int] | np.ndarray]:
+        """Weights of the best order-preserving mappings of the first nodes of two lists: a row for each of the first list, below the row above them."""
+        if len(ys) < WIDE:
+            above = [int(n) for n in above]
+            for x in xs:
+                row = [0]
+                for j, y in enumerate(ys):
+                    w = above[j] + self.weight(x, y) if x.key == y.key else 0
+                    row.append(max(w, above[j + 1], row[j]))
+                yield row
+                above = row
+            return
+        different = {y.sig: y for y in ys}
+        number = {sig: i for i, sig in enumerate(different)}
+        at = np.fromiter((number[y.sig] for y in ys), np.int64, len(ys))
+        above, known = np.asarray(above, np.int64), {}
         for x in xs:
-            above, row = best[-1], [0]
-            for j, y in enumerate(ys):
-                w = above[j] + self.weight(x, y) if x.key == y.key else 0
-                row.append(max(w, above[j + 1], row[j]))
-            best.append(row)
-        return best
+            if x.sig not in known:
+                if len(known) * len(ys) > PAIRS:
+                    known.clear()
+                known[x.sig] = np.fromiter((self.weight(x, y) if x.key == y.key else 0 for y in different.values()), np.int64, len(different))
+            w = known[x.sig][at]
+            row = np.zeros(len(ys) + 1, np.int64)
+            np.maximum.accumulate(np.maximum(above[1:], np.where(w > 0, above[:-1] + w, 0)), out=row[1:])
+            yield row
+            above = row
+
+    def walk(self, xs: list[Node], ys: list[Node], above: list[int] | np.ndarray, out: list[tuple[Node, Node]]) -> int:
+        """Adds the pairs of the best mapping of two lists, the last first; returns how many of ys come before all that xs are paired with. `above` is the row above xs."""
+        if len(xs) * len(ys) <= PAIRS or len(xs) == 1:
+            best = [above, *self.rows(xs, ys, above)]
+            i, j = len(xs), len(ys)
+            while i and j:
+                if best[i][j] == best[i - 1][j]:
+                    i -= 1
+                elif best[i][j] == best[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    out.append((xs[i], ys[j]))
+            return j
+        step = -(-len(xs) // 16)
+        starts = [(0, above), *((i, row) for i, row in enumerate(self.rows(xs[:-1], ys, above), 1) if i % step == 0)]
+        j = len(ys)
+        for i, row in reversed(starts):
+            if j:
+                j = self.walk(xs[i : i + step], ys[:j], row[: j + 1], out)
+        return j
 
     def weigh(self, a: Node, b: Node) -> None:
         """Weights of all pairs of subtrees that the mapping of a and b needs, the deepest first."""
@@ -319,14 +344,15 @@ class Matching:
                 waiting.pop()
                 continue
             pairs, xs, ys = self.sides(x, y)
-            chosen = self.candidates(xs, ys)
-            needed = [(c, d) for c in xs for d in ys if c.key == d.key] if chosen is None else chosen
-            lacking = {(c.sig, d.sig): (c, d) for c, d in needed if c.children and d.children and c.sig != d.sig and (c.sig, d.sig) not in self.known}
-            if lacking:
-                waiting += lacking.values()
+            cs, ds = ({c.sig: c for c in nodes if c.children}.values() for nodes in (xs, ys))
+            lacking = ((c, d) for c in cs for d in ds if c.key == d.key and c.sig != d.sig and (c.sig, d.sig) not in self.known)
+            if some := list(itertools.islice(lacking, PAIRS)):
+                waiting += some
                 continue
-            inner = self.rows(xs, ys)[-1][-1] if chosen is None else sum(self.weight(c, d) for c, d in chosen)
-            self.known[x.sig, y.sig] = PAIR + (x.mark != "" and x.mark == y.mark) + sum(c.full for c, _ in pairs) + inner
+            row = [0]
+            for row in self.rows(xs, ys, [0] * (len(ys) + 1)):
+                pass
+            self.known[x.sig, y.sig] = PAIR + (x.mark != "" and x.mark == y.mark) + sum(c.full for c, _ in pairs) + int(row[-1])
             waiting.pop()
 
     def __call__(self, a: Node, b: Node) -> list[tuple[int, int]]:
@@ -343,20 +369,8 @@ class Matching:
                 continue
             pairs, xs, ys = self.sides(x, y)
             waiting += pairs
-            chosen = self.candidates(xs, ys)
-            if chosen is not None:
-                waiting += chosen
-                continue
-            best = self.rows(xs, ys)
-            i, j = len(xs), len(ys)
-            while i and j:
-                if best[i][j] == best[i - 1][j]:
-                    i -= 1
-                elif best[i][j] == best[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    waiting.append((xs[i], ys[j]))
+            if xs and ys:
+                self.walk(xs, ys, [0] * (len(ys) + 1), waiting)
         return out
 
 

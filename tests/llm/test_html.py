@@ -207,3 +207,26 @@ def test_ties_repeated_rows_and_clashing_columns(spark):
     found = H.extract(pages)
     assert found.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted(r["text"] for r in found.collect()) == sorted(f"Body {i % 6}" for i in range(24))
+
+
+def test_long_lists_are_matched_as_short_ones_are(monkeypatch):
+    """The best mapping at any length: one that moves a list's first sibling to its end costs that sibling alone."""
+    import random
+
+    def tree(tags):
+        return H.blocks_of("".join(f"<{t}>{x}</{t}>" for t, x in tags))[0]
+
+    rows = [("p", f"x{i % 7}") for i in range(1100)]
+    a, b = tree([("ul", "first"), *rows]), tree([*[(t, x + "y") for t, x in rows], ("ul", "last")])
+    assert H.matched(a, b)[0] == 1101  # the root and all paragraphs
+    rng = random.Random(5)
+    for n in (3, 20, 90):
+        for _ in range(12):
+            lists = [[(rng.choice(("p", "ul", "div")), f"{rng.choice('abc')}{'<h2>t</h2>' if rng.random() < 0.3 else ''}") for _ in range(n)] for _ in range(2)]
+            found = []
+            for pairs, wide in ((1 << 20, 64), (1 << 20, 1), (1 << 20, 1000), (10, 1000), (10, 1), (200, 64)):
+                monkeypatch.setattr(H, "PAIRS", pairs)
+                monkeypatch.setattr(H, "WIDE", wide)
+                k, to = H.matched(*map(tree, lists))
+                found.append((k, sorted(to)))
+            assert all(f == found[0] for f in found)
