@@ -64,7 +64,6 @@ def kansuji(c: Column) -> Column:
 
     A unit without a digit before it counts once, a ligature drops a digit before it, the later of two digits wins.
     """
-    s = js_trim(c)
     start = F.struct(F.lit(0).alias("section"), F.lit(None).cast("int").alias("digit"), F.lit(False).alias("bad"))
 
     def step(acc: Column, ch: Column) -> Column:
@@ -75,8 +74,8 @@ def kansuji(c: Column) -> Column:
             (acc["bad"] | F.coalesce(digit, unit, ligature).isNull()).alias("bad"),
         )
 
-    folded = F.aggregate(F.filter(F.split(s, ""), lambda x: x != ""), start, step, lambda acc: F.when(~acc["bad"], acc["section"] + F.coalesce(acc["digit"], F.lit(0))))
-    return F.when((s == "") | has_defect(s), F.lit(None)).when(s.rlike("^[0-9]+$"), s.try_cast("int")).otherwise(folded)
+    folded = lambda s: F.aggregate(F.filter(F.split(s, ""), lambda x: x != ""), start, step, lambda acc: F.when(~acc["bad"], acc["section"] + F.coalesce(acc["digit"], F.lit(0))))
+    return once(js_trim(c), lambda s: F.when((s == "") | has_defect(s), F.lit(None)).when(s.rlike("^[0-9]+$"), s.try_cast("int")).otherwise(folded(s)))
 
 
 def seats(c: Column) -> Column:

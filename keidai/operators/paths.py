@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keidai.functions.text import round_half_up
+from keidai.sources.shared import kept
 
 #: Lines of a segment, where segments are cut by line number.
 SEGMENT_LINES = 1 << 16
@@ -51,6 +52,9 @@ def carry_forward(rows: DataFrame, partition: list[str], order: list[str], outer
     found over one row a segment. So one partition may hold all rows, and no task does.
     """
     rows, by = _in_segments(rows, partition, segment)
+    if segment is not None:  # rows are read twice, and what makes their headings may be costly
+        rows = kept(rows.withColumns({"_outer": outer, "_inner": inner}), "headed")
+        outer, inner = F.col("_outer"), F.col("_inner")
     sub = F.when(outer.isNotNull(), F.lit("")).otherwise(inner)
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumns({"outer": F.last(outer, True).over(w), "inner": F.last(sub, True).over(w)})
@@ -58,10 +62,10 @@ def carry_forward(rows: DataFrame, partition: list[str], order: list[str], outer
         return local.withColumns({"outer": F.coalesce("outer", F.lit("")), "inner": F.coalesce("inner", F.lit(""))})
     at = F.struct(*order)
     latest = lambda c: F.max_by(c, F.when(c.isNotNull(), at))
-    ends = rows.withColumns({"_outer": outer, "_inner": sub}).groupBy(*by).agg(latest(F.col("_outer")).alias("_outer"), latest(F.col("_inner")).alias("_inner"))
+    ends = rows.withColumn("_inner", sub).groupBy(*by).agg(latest(F.col("_outer")).alias("_outer"), latest(F.col("_inner")).alias("_inner"))
     before = Window.partitionBy(*partition).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
     begins = ends.select(*by, F.last("_outer", True).over(before).alias("_outer"), F.last("_inner", True).over(before).alias("_inner"))
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
     joined = local.alias("a").join(begins.alias("b"), on=same, how="left")
-    kept = [c for c in local.columns if c not in ("outer", "inner", "_segment")]
-    return joined.select(*[F.col(f"a.{c}") for c in kept], F.coalesce("a.outer", "b._outer", F.lit("")).alias("outer"), F.coalesce("a.inner", "b._inner", F.lit("")).alias("inner"))
+    others = [c for c in local.columns if c not in ("outer", "inner", "_outer", "_inner", "_segment")]
+    return joined.select(*[F.col(f"a.{c}") for c in others], F.coalesce("a.outer", "b._outer", F.lit("")).alias("outer"), F.coalesce("a.inner", "b._inner", F.lit("")).alias("inner"))

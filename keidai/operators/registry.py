@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keidai.functions.joins import spread
 from keidai.functions.text import WHITE, has_defect, js_trim, kansuji, present, seats
 from keidai.operators.paths import carry_forward, segment_of
 
@@ -61,7 +62,7 @@ def defects(line: Column) -> Column:
 
 def classified(lines: DataFrame) -> DataFrame:
     """Lines (volume, line_no, line) trimmed and not empty, with their kind (province, district, shrine, unparsed) and the headings they stand under."""
-    rows = lines.withColumn("line", js_trim(F.col("line"))).where("line <> ''").withColumn("split", name_and_note(F.col("line")))
+    rows = spread(lines).withColumn("line", js_trim(F.col("line"))).where("line <> ''").withColumn("split", name_and_note(F.col("line")))
     line = F.col("line")
     kind = (
         F.when(is_header(line, PROVINCE), "province")

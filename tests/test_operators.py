@@ -293,3 +293,15 @@ def test_an_infobox_is_folded_once_and_off_the_reading_task(spark, sf):
         assert not any("aggregate(" in line for line in lines[at + 1 :])
         folds = sum(line.count("aggregate(regexp_extract_all(") for line in lines)
         assert folds <= (2 if name == "infoboxes_of_parts" else 10)  # the template and the value, of each parameter
+
+
+def test_lines_are_classified_once(spark, sf):
+    """What carries headings forward reads rows with their kinds and headings, which were found once and over all cores."""
+    from keidai.plans.text_queries import order_lines
+    from keidai.operators import registry
+
+    out = registry.classified(order_lines(spark, sf))
+    assert out.inputFiles() and all("headed" in f for f in out.inputFiles())
+    assert out.columns == ["volume", "line_no", "line", "split", "kind", "province", "district"]
+    numeral = spark.range(1).select(text.kansuji(F.concat(F.lit("二十"), F.col("id").cast("string"))).alias("n"))
+    assert numeral._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
