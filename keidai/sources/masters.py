@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keidai.functions.joins import dealt, parts_of, spread
 from keidai.functions.text import deity_key
 from keidai.operators.gaps import MAJORS
 from keidai.sources.shared import kept
@@ -72,96 +74,148 @@ def absent(df: DataFrame, key: str, dimension: DataFrame, dim_key: str) -> DataF
     return df.join(dimension.select(F.col(dim_key).alias("dim_key")).distinct(), F.col(key) == F.col("dim_key"), "left_anti")
 
 
-#: Stands for the first definition's id in a message.
-OWNER = "\x01"
-CLAIM = "struct<kind:string,space:string,key:string,ord:int,pos:int,id:string,alias:string,rule:string,severity:string,file:string,message:string>"
+#: What is said of a broken rule: severity, file and message; {a} and {b} are the claim's, {owner} is the id that defined its key first. A form begins with its rule.
+FORMS = {
+    "V1": ("error", "benefits", '未知の大分類ID "{a}"。許可されるのは ' + ", ".join(MAJORS)),
+    "V2": ("error", "benefits", '細分類ID "{a}" が重複しています'),
+    "V3": ("error", "benefits", "大分類が欠けています: {a}"),
+    "V4": ("error", "deity_clusters", 'クラスタID "{a}" が重複しています'),
+    "V5": ("warning", "deity_clusters", '別名 "{a}" が {owner} と {b} の両方にあります。先に定義された {owner} が優先されます'),
+    "V5b": ("warning", "deity_clusters", '別名 "{a}" の正規形が {owner} と重なります'),
+    "V6": ("error", "cluster_benefits", 'クラスタ "{a}" が deity_clusters.yaml に存在しません'),
+    "V7": ("error", "cluster_benefits", 'クラスタ "{a}" の割り当てが重複しています'),
+    "V8 primary": ("error", "cluster_benefits", '{a}.primary の御利益ID "{b}" が benefits.yaml に存在しません'),
+    "V8 secondary": ("error", "cluster_benefits", '{a}.secondary の御利益ID "{b}" が benefits.yaml に存在しません'),
+    "V9": ("error", "cluster_benefits", '{a}: "{b}" が primary と secondary の両方にあります'),
+    "V10": ("warning", "cluster_benefits", "{a}: primary が {b} 件あります。設計方針は「1〜2個だけ」です"),
+    "V11": ("warning", "cluster_benefits", "{a}: primary が空です。検索に一切出てきません"),
+    "V12": ("warning", "deity_clusters", 'クラスタ "{a}" に御利益の割り当てがありません。この祭神からは何も導出されません'),
+    "V13": ("error", "etiquette_overrides", "{a}: source_type が official なのに source_url がありません"),
+    "V14": ("warning", "etiquette_overrides", "{a}: source_url があるのに pending のままです。official に昇格させてください"),
+    "V15": ("warning", "etiquette_overrides", "{a}: 一次情報の裏取りが未了です（{b} は表示されません）"),
+    "V16": ("error", "pilgrimage_groups", 'グループID "{a}" が重複しています'),
+    "V16 kind": ("error", "pilgrimage_groups", '{a}: 未知の kind "{b}"'),
+    "V17": ("warning", "pilgrimage_groups", "{a}: numbered なのに total_count がありません。収録率を管理できません"),
+    "V17 disputed": ("warning", "pilgrimage_groups", "{a}: kind が sandai です。諸説あるなら disputed: true を付けてください"),
+}
+CLAIM = "struct<space:string,key:string,defines:boolean,at:bigint,form:string,a:string,b:string>"
 
 
 def claims(t: dict[str, DataFrame]) -> DataFrame:
-    """What each row of the tables says, one pass over each table: `define` a key of a space, `refer` to one, or an `issue` of its own.
+    """What each row of the tables says, one pass over each table: it defines a key of a space, refers to one, or is an issue by itself, without a space.
 
-    A definition has the rule that a later one of the same key breaks, a reference the rule that it breaks if nothing defines its key.
+    A definition has the form that a later one of the same key breaks, a reference the form that it breaks if nothing defines its key. `at`
+    is the claim's place: its row's, then its own in the row. A claim has no message yet, only what goes into it.
     """
     c = F.col
-    said = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     none = F.lit(None).cast("string")
 
-    def claim(kind: str, rule: str | None, severity: str | None, file: str, message: Column, space: str | None = None, key: Column = none, pos: Column = F.lit(0), id_: Column = none, alias: Column = none) -> Column:
+    def claim(defines: bool, form: str | None, a: Column = none, b: Column = none, space: str | None = None, key: Column = none, pos: Column = F.lit(0)) -> Column:
         text = lambda v: F.lit(v).cast("string")
-        return F.struct(text(kind), text(space), key.cast("string"), c("ord").cast("int"), pos.cast("int"), id_.cast("string"), alias.cast("string"), text(rule), text(severity), F.lit(f"{file}.yaml"), message.cast("string")).cast(CLAIM)
+        at = F.shiftleft(F.coalesce(c("ord"), F.lit(-(2**31))).cast("long"), 32) + pos
+        return F.struct(text(space), key.cast("string"), F.lit(defines), at, text(form), a.cast("string"), b.cast("string")).cast(CLAIM)
+
+    def define(form: str | None, space: str, key: Column, a: Column = none, b: Column = none, pos: Column = F.lit(0)) -> Column:
+        return claim(True, form, a, b, space, key, pos)
 
-    def issue(when: Column, rule: str, severity: str, file: str, message: Column) -> Column:
-        return F.when(when, claim("issue", rule, severity, file, message))
+    def refer(form: str, space: str, key: Column, a: Column, b: Column = none) -> Column:
+        return claim(False, form, a, b, space, key)
+
+    def issue(when: Column, form: str, a: Column, b: Column = none) -> Column:
+        return F.when(when, claim(False, form, a, b))
 
     one = lambda *found: F.array_compact(F.array(*found))
     known = lambda column: c(column).isin(*MAJORS)
     unsourced = F.coalesce("source_url", F.lit("")) == ""
     spelled = F.concat(F.array("label"), "aliases")
-    uses = lambda kind: F.transform(kind, lambda b: claim("refer", "V8", "error", "cluster_benefits", said(c("cluster"), f'.{kind} の御利益ID "', b, '" が benefits.yaml に存在しません'), "minor", b))
-    shared = lambda rule, space, key, message: F.transform(spelled, lambda a, i: claim("define", rule, "warning", "deity_clusters", message(a), space, key(a), i, c("id"), a))
+    uses = lambda kind: F.transform(kind, lambda b: refer(f"V8 {kind}", "minor", b, c("cluster"), b))
+    shared = lambda form, space, key: F.transform(spelled, lambda a, i: define(form, space, key(a), a, c("id"), i))
     rows = {
-        "majors": one(
-            claim("define", None, None, "benefits", none, "major", c("id")),
-            issue(~known("id"), "V1", "error", "benefits", said('未知の大分類ID "', c("id"), '"。許可されるのは ' + ", ".join(MAJORS))),
-        ),
-        "minors": one(F.when(known("major_id"), claim("define", "V2", "error", "benefits", said('細分類ID "', c("id"), '" が重複しています'), "minor", c("id")))),
+        "majors": one(define(None, "major", c("id")), issue(~known("id"), "V1", c("id"))),
+        "minors": one(F.when(known("major_id"), define("V2", "minor", c("id"), c("id")))),
         "clusters": F.concat(
-            one(
-                claim("define", "V4", "error", "deity_clusters", said('クラスタID "', c("id"), '" が重複しています'), "cluster", c("id")),
-                claim("refer", "V12", "warning", "deity_clusters", said('クラスタ "', c("id"), '" に御利益の割り当てがありません。この祭神からは何も導出されません'), "mapping", c("id")),
-            ),
-            shared("V5", "alias", lambda a: a, lambda a: said('別名 "', a, f'" が {OWNER} と ', c("id"), f" の両方にあります。先に定義された {OWNER} が優先されます")),
-            shared("V5b", "spelling", deity_key, lambda a: said('別名 "', a, f'" の正規形が {OWNER} と重なります')),
+            one(define("V4", "cluster", c("id"), c("id")), refer("V12", "mapping", c("id"), c("id"))),
+            shared("V5", "alias", lambda a: a),
+            shared("V5b", "spelling", deity_key),
         ),
         "mappings": F.concat(
             one(
-                claim("define", "V7", "error", "cluster_benefits", said('クラスタ "', c("cluster"), '" の割り当てが重複しています'), "mapping", c("cluster")),
-                claim("refer", "V6", "error", "cluster_benefits", said('クラスタ "', c("cluster"), '" が deity_clusters.yaml に存在しません'), "cluster", c("cluster")),
-                issue(c("policy").isNull() & (F.size("primary") > 2), "V10", "warning", "cluster_benefits", said(c("cluster"), ": primary が ", F.size("primary").cast("string"), " 件あります。設計方針は「1〜2個だけ」です")),
-                issue(c("policy").isNull() & (F.size("primary") == 0), "V11", "warning", "cluster_benefits", said(c("cluster"), ": primary が空です。検索に一切出てきません")),
+                define("V7", "mapping", c("cluster"), c("cluster")),
+                refer("V6", "cluster", c("cluster"), c("cluster")),
+                issue(c("policy").isNull() & (F.size("primary") > 2), "V10", c("cluster"), F.size("primary")),
+                issue(c("policy").isNull() & (F.size("primary") == 0), "V11", c("cluster")),
             ),
             uses("primary"),
             uses("secondary"),
-            F.transform(F.array_intersect("primary", "secondary"), lambda b: claim("issue", "V9", "error", "cluster_benefits", said(c("cluster"), ': "', b, '" が primary と secondary の両方にあります'))),
+            F.transform(F.array_intersect("primary", "secondary"), lambda b: claim(False, "V9", c("cluster"), b)),
         ),
         "overrides": one(
-            issue((c("source_type") == "official") & unsourced, "V13", "error", "etiquette_overrides", said(c("name"), ": source_type が official なのに source_url がありません")),
-            issue((c("source_type") == "pending") & ~unsourced, "V14", "warning", "etiquette_overrides", said(c("name"), ": source_url があるのに pending のままです。official に昇格させてください")),
-            issue(c("status") == "PENDING_VERIFICATION", "V15", "warning", "etiquette_overrides", said(c("name"), ": 一次情報の裏取りが未了です（", c("label"), " は表示されません）")),
+            issue((c("source_type") == "official") & unsourced, "V13", c("name")),
+            issue((c("source_type") == "pending") & ~unsourced, "V14", c("name")),
+            issue(c("status") == "PENDING_VERIFICATION", "V15", c("name"), c("label")),
         ),
         "groups": one(
-            claim("define", "V16", "error", "pilgrimage_groups", said('グループID "', c("id"), '" が重複しています'), "group", c("id")),
-            issue(~c("kind").isin(*PILGRIMAGE_KINDS), "V16", "error", "pilgrimage_groups", said(c("id"), ': 未知の kind "', c("kind"), '"')),
-            issue(c("numbered") & c("total_count").isNull(), "V17", "warning", "pilgrimage_groups", said(c("id"), ": numbered なのに total_count がありません。収録率を管理できません")),
-            issue((c("kind") == "sandai") & ~c("disputed"), "V17", "warning", "pilgrimage_groups", said(c("id"), ": kind が sandai です。諸説あるなら disputed: true を付けてください")),
+            define("V16", "group", c("id"), c("id")),
+            issue(~c("kind").isin(*PILGRIMAGE_KINDS), "V16 kind", c("id"), c("kind")),
+            issue(c("numbered") & c("total_count").isNull(), "V17", c("id")),
+            issue((c("kind") == "sandai") & ~c("disputed"), "V17 disputed", c("id")),
         ),
     }
     spark = t["majors"].sparkSession
-    wanted = spark.createDataFrame(list(enumerate(MAJORS)), "ord int, id string").select(F.array(claim("refer", "V3", "error", "benefits", c("id"), "major", c("id"))).alias("claims"))
-    out = wanted
+    out = spark.createDataFrame(list(enumerate(MAJORS)), "ord int, id string").select(F.array(refer("V3", "major", c("id"), c("id"))).alias("claims"))
     for name, found in rows.items():
-        out = out.unionAll(t[name].select(found.alias("claims")))
+        table = spread(t[name]) if name == "clusters" else t[name]  # spellings are folded, which takes much longer than reading
+        out = out.unionAll(table.select(found.alias("claims")))
     return out.select(F.inline("claims"))
 
 
+def said(broken: DataFrame, *forms: str, owner: str | None = None) -> DataFrame:
+    """rule, severity, file, message of broken claims (form, a, b) of some forms; `owner` is the column of the first definition's id."""
+    values = {"{a}": F.col("a"), "{b}": F.col("b"), "{owner}": F.coalesce(owner, F.lit("")) if owner else F.lit("")}
+    written = lambda text: F.concat(*[values.get(p, F.lit(p)) for p in re.split(r"(\{[a-z]+\})", text) if p])
+
+    def of(part: int, what: Callable[[str], Column]) -> Column:
+        out = F.when(F.lit(False), F.lit(""))
+        for form in forms:
+            out = out.when(F.col("form") == form, what(FORMS[form][part]))
+        return out
+
+    return broken.select(F.substring_index("form", " ", 1).alias("rule"), of(0, F.lit).alias("severity"), of(1, lambda f: F.lit(f"{f}.yaml")).alias("file"), of(2, written).alias("message"))
+
+
+def against_first(rows: DataFrame) -> DataFrame:
+    """Claims on keys (k: space and key, as one), with the place of their key's first definition, null if there is none.
+
+    Both sides are dealt by key into parts of bounded numbers of rows, and only a part's distinct keys and first places are held: nothing is
+    sorted, and claims on a frequent key stream past its one entry.
+    """
+    k = F.concat_ws(":", "space", "key").alias("k")  # a null key is one of its own
+    parts = parts_of(rows)
+    first = dealt(rows.where("defines").select(k, "at"), parts, "k").groupBy("k").agg(F.min("at").alias("first"))
+    return dealt(rows.select(k, "defines", "at", "form", "a", "b"), parts, "k").join(first.hint("shuffle_hash"), "k", "left")
+
+
 def validate(t: dict[str, DataFrame]) -> DataFrame:
     """Every broken rule: rule, severity, file, message.
 
-    The tables are read once, into their rows' claims; one grouped shuffle finds each key's first definition, and the claims meet it again by
-    an equi-join that may be split where a key is frequent. So the work is that of the rows, whatever the number of rules.
+    The tables are read once, into their rows' claims, and claims on keys meet the first definition of their key. So the work is that of the
+    rows, whatever the number of rules; messages are made of what is broken alone.
     """
     c = F.col
     rows = kept(claims(t), "claims")
-    first = rows.where("kind = 'define'").groupBy(c("space").alias("f_space"), c("key").alias("f_key")).agg(F.min(F.struct("ord", "pos", "id", "alias")).alias("f"))
-    met = rows.join(first, (c("space") == c("f_space")) & c("key").eqNullSafe(c("f_key")), "left")
-    later = F.struct("ord", "pos") > F.struct("f.ord", "f.pos")
-    other = (c("id") != c("f.id")) & ((c("rule") == "V5") | (c("alias") != c("f.alias")))
-    broken = F.when(c("kind") == "issue", True).when(c("kind") == "refer", c("f").isNull()).when(c("space").isin("alias", "spelling"), other).otherwise(c("rule").isNotNull() & later)
-    found = met.where(broken)
-    alone = found.where("rule <> 'V3'").select("rule", "severity", "file", F.replace("message", F.lit(OWNER), F.coalesce("f.id", F.lit(""))).alias("message"))
+    alone = rows.where("space IS NULL")
+    broken = F.when(c("defines"), c("at") > c("first")).otherwise(c("first").isNull())
+    keyed = against_first(rows.where("space NOT IN ('major', 'alias', 'spelling')")).where(broken)
+    # An alias may come again, but not with another id than its first one's; of definitions at one place the least id counts.
+    met = against_first(rows.where("space IN ('alias', 'spelling')"))
+    owners = met.where("at = first").groupBy("k").agg(F.min(F.struct("b", "a")).alias("owner"))
+    shared = met.join(owners.hint("shuffle_hash"), "k").where((c("b") != c("owner.b")) & ((c("form") == "V5") | (c("a") != c("owner.a"))))
     # The majors that are missing, ten at most, are one issue.
-    missing = found.where("rule = 'V3'").groupBy("rule", "severity", "file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "message"))), lambda x: x["message"]), ", ").alias("m"))
-    return alone.unionAll(missing.select("rule", "severity", "file", F.concat(F.lit("大分類が欠けています: "), "m")))
+    missing = against_first(rows.where("space = 'major'")).where(broken & c("form").isNotNull())
+    names = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "a"))), lambda x: x["a"]), ", ")
+    missing = missing.groupBy("form").agg(names.alias("a")).withColumn("b", F.lit(None).cast("string"))
+    out = said(alone, "V1", "V9", "V10", "V11", "V13", "V14", "V15", "V16 kind", "V17", "V17 disputed").unionAll(said(keyed, "V2", "V4", "V6", "V7", "V8 primary", "V8 secondary", "V12", "V16"))
+    return out.unionAll(said(shared, "V5", "V5b", owner="owner.b")).unionAll(said(missing, "V3"))
 
 
 class MasterDataError(ValueError):

@@ -332,6 +332,28 @@ def test_rules_of_masters_read_each_table_once(spark, sf):
     assert plan(masters.claims(t)).count("FileScan parquet") == 6
 
 
+def test_claims_meet_first_definitions_without_a_sort_of_them(spark):
+    rows = {
+        "minors": [(i, "enmusubi", f"b{i // 2}", "x") for i in range(40)] + [(40, "enmusubi", None, "x"), (41, "enmusubi", None, "x")],
+        "clusters": [(0, "a", "甲", "shinto", [], ["丙", "一命"], None), (1, "a", "甲", "shinto", [], ["丙"], None), (2, "b", "乙", "shinto", [], ["丙", "一"], None), (2, "c", "丁", "shinto", [], ["乙"], None)],
+        "mappings": [(i, "a" if i else None, ["b1"] * (i == 1), ["gone", "b1"], "p") for i in range(9)],
+    }
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = masters.validate(masters.tables(spark, rows))
+        got = sorted(((r["rule"], r["message"]) for r in out.collect()), key=str)
+        text = plan(out)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in text and text.count("ShuffledHashJoin") >= 4 and "REPARTITION_BY_NUM" in text
+    kinds = {k: sum(rule == k for rule, _ in got) for k in {rule for rule, _ in got}}
+    assert kinds == {"V2": 21, "V3": 1, "V4": 1, "V5": 2, "V5b": 1, "V6": 1, "V7": 7, "V8": 9, "V9": 1, "V12": 2}
+    assert ("V2", None) in got and ("V6", None) in got  # a null key is a key
+    said = {m for rule, m in got if rule.startswith("V5")}
+    assert said == {'別名 "丙" が a と b の両方にあります。先に定義された a が優先されます', '別名 "乙" が b と c の両方にあります。先に定義された b が優先されます', '別名 "一" の正規形が a と重なります'}
+
+
 def test_page_views_meet_titles_before_anything_is_shuffled(spark):
     lines_ = spark.createDataFrame([(i, f"ja.wikipedia {t} 1 user {i} A") for i, t in enumerate(["a_b", "a_b", "c_d", "e"])], "at int, value string")
     titles = spark.createDataFrame([("a b",), ("a_b",), ("c_d",)], "title string")
