@@ -243,6 +243,7 @@ def report(issues: DataFrame) -> DataFrame:
     """part, rule, message, line: what render() says as a table, for any number of issues: part 0 has the counts, 1 the errors, 2 the warnings."""
     c = F.col
     error = c("severity") == "error"
+    issues = kept(issues, "issues")  # they are counted and listed
     counts = issues.agg(F.count_if(error).alias("e"), F.count_if(~error).alias("w"))
     first = counts.select(F.lit(0).alias("part"), F.lit("").alias("rule"), F.lit("").alias("message"), F.format_string("errors: %d, warnings: %d", "e", "w").alias("line"))
     rest = issues.select(F.when(error, 1).otherwise(2).alias("part"), "rule", "message", F.concat(F.lit("["), c("severity"), F.lit("] "), c("file"), F.lit(": "), c("message")).alias("line"))

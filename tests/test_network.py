@@ -354,6 +354,13 @@ def test_claims_meet_first_definitions_without_a_sort_of_them(spark):
     assert said == {'別名 "丙" が a と b の両方にあります。先に定義された a が優先されます', '別名 "乙" が b と c の両方にあります。先に定義された b が優先されます', '別名 "一" の正規形が a と重なります'}
 
 
+def test_a_report_finds_its_issues_once(spark, sf):
+    issues = masters.validate(network_queries.master_tables(spark, sf))
+    out = masters.report(issues)
+    assert plan(out).count("FileScan parquet") == 2 and "Join" not in plan(out)
+    assert out.count() == issues.count() + 1
+
+
 def test_page_views_meet_titles_before_anything_is_shuffled(spark):
     lines_ = spark.createDataFrame([(i, f"ja.wikipedia {t} 1 user {i} A") for i, t in enumerate(["a_b", "a_b", "c_d", "e"])], "at int, value string")
     titles = spark.createDataFrame([("a b",), ("a_b",), ("c_d",)], "title string")
