@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keidai.functions.geo import TILE, tile_of
+from keidai.functions.joins import spread
 from keidai.functions.tables import register_tables
 from keidai.operators import access, gaps, nearby, paths, priority, rules, running
 from keidai.plans.table_queries import NOW, RATIO_SQL, monthly, read
 from keidai.plans.text_queries import GAP_MAJORS, GAP_REGIONS, NOTES, PROVINCES, listed, order_lines, pick
 from keidai.sources import lines, masters, pageview_api, tiles, versions
-from keidai.sources.shared import fresh_folder
+from keidai.sources.shared import fresh_folder, kept
 from keidai.streaming import pageviews
 
 QUERIES: dict = {}
@@ -160,7 +161,7 @@ def climb_of_one_path(spark, sf_dir):
 SELECT event_type || ' ' || CAST(user_id AS VARCHAR) AS title, CAST(2025 AS INTEGER) AS year, CAST(x.month AS INTEGER) AS month, CAST(n * x.f AS DOUBLE) AS views FROM e, m""")
 def replayed_months(spark, sf_dir):
     """Three months, of which one comes twice and one is corrected later; a batch is applied twice and an old version comes last."""
-    counts = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    counts = kept(spread(read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))), "counts")
     user = F.col("user_id").cast("string")
     root = fresh_folder(spark, "months")
 

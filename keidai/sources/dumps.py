@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keidai.functions.joins import small_side
-from keidai.functions.text import WHITE, body_text, encode_component, file_name, js_trim
+from keidai.functions.text import WHITE, body_text, encode_component, file_name, js_trim, once
 
 # Titles by work.
 CLASSICAL_TITLES = {
@@ -67,14 +67,15 @@ def parse_pageview_line(line: Column, wiki: str = "ja.wikipedia", agent: str = "
 
     A line of fewer than five columns raises an error whatever it is of: the format has changed then.
     """
-    trimmed = js_trim(line)
-    parts = F.split(trimmed, f"[{WHITE}]+")
-    at = lambda i: F.get(parts, F.lit(i))
-    total = at(4).try_cast("double")
-    fine = (at(0) == wiki) & (at(3) == agent) & total.isNotNull() & (F.abs(total) < F.lit(float("inf")))
-    row = F.struct(at(1).alias("title"), at(2).alias("page_id"), total.alias("views"))
-    broken = F.raise_error(F.concat(F.lit("page-view line with fewer than 5 columns: "), F.substring(trimmed, 1, 200)))
-    return F.when((trimmed == "") | trimmed.startswith("#"), None).when(F.size(parts) < 5, broken.cast(row_type())).when(fine, row)
+    def of(trimmed: Column, parts: Column) -> Column:
+        at = lambda i: F.get(parts, F.lit(i))
+        total = at(4).try_cast("double")
+        fine = (at(0) == wiki) & (at(3) == agent) & total.isNotNull() & (F.abs(total) < F.lit(float("inf")))
+        row = F.struct(at(1).alias("title"), at(2).alias("page_id"), total.alias("views"))
+        broken = F.raise_error(F.concat(F.lit("page-view line with fewer than 5 columns: "), F.substring(trimmed, 1, 200)))
+        return F.when((trimmed == "") | trimmed.startswith("#"), None).when(F.size(parts) < 5, broken.cast(row_type())).when(fine, row)
+
+    return once(js_trim(line), lambda trimmed: once(F.split(trimmed, f"[{WHITE}]+"), lambda parts: of(trimmed, parts)))
 
 
 def row_type() -> T.StructType:

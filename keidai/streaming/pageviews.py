@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keidai.functions.joins import small_side
 from keidai.sources.dumps import parse_pageview_line
+from keidai.sources.shared import kept
 from keidai.sources.versions import current_parts, manifest, publish_parts
 
 #: Year and month in the name of a dump, which is a file or a folder of part files.
@@ -58,9 +59,10 @@ def upsert(spark: SparkSession, rows: DataFrame, root: str, batch: str) -> bool:
     """
     if f"{BATCH}{batch}" in manifest(spark, root):
         return False
+    rows = kept(rows.select(*[c.split()[0] for c in MONTH.split(", ")]), "batch")  # parsed once, however often months and versions are asked for
     months = {r["month"] for r in rows.select("month").distinct().collect()}  # the months of one batch
     again = small_side(rows.select(*VERSION).distinct())  # versions that are there already count once
-    both = current_parts(spark, root, "month", MONTH, months).join(again, VERSION, "left_anti").unionByName(rows.select(*[c.split()[0] for c in MONTH.split(", ")]))
+    both = current_parts(spark, root, "month", MONTH, months).join(again, VERSION, "left_anti").unionByName(rows)
     publish_parts(spark, root, "month", latest(both), "month", note={f"{BATCH}{batch}": {"months": sorted(months)}})
     return True
 

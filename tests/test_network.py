@@ -235,6 +235,28 @@ def test_a_stream_of_months_counts_files_once(spark, tmp_path):
     assert [tuple(r) for r in pageviews.months_of(spark, root, {"2025-02"}).collect()] == [("う", 2025, 2, 9.0)]
 
 
+def test_a_batch_of_months_is_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+    line = lambda i: (f"ja.wikipedia t{i} {i} user {i} A1", "/d/pageviews-202501-user", i)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([line(i) for i in range(20)], "value string, path string, at int").withColumn("modified", F.lit("2026-01-01").cast("timestamp"))
+    rows = rows.mapInArrow(counted, rows.schema)
+    assert pageviews.upsert(spark, pageviews.file_rows(rows), f"file://{tmp_path}/t", "a")
+    assert seen.value == 20 and pageviews.months_of(spark, f"file://{tmp_path}/t").count() == 20
+
+
+def test_a_line_of_page_views_is_split_once(spark):
+    out = spark.createDataFrame([("\u3000ja.wikipedia a 1 user 5 A \n",), ("",), ("# c",), ("en.wikipedia a 1 user 5 A",), (None,)], "value string").select(dumps.parse_pageview_line(F.col("value")).alias("r"))
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("split(") == 1 and text.count("regexp_replace(") == 1
+    assert [r["r"] and tuple(r["r"]) for r in out.collect()] == [("a", "1", 5.0), None, None, None, None]
+
+
 def test_running_medians_equal_all_months_at_once(spark, tmp_path):
     rng = random.Random(4)
     rows = [(f"t{i}", y, m, float(rng.randint(0, 9)) if rng.random() < 0.9 else None) for i in range(12) for y in (2023, 2024, 2025) for m in range(1, 13)]
